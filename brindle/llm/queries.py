@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ring_shards, token_store, url_rules
+from brindle.llm import containment, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
+from brindle.llm.texts import fold
 from brindle.session import scratch_path, table
 
 #: Production parameters of the queries; every operator takes them as arguments.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
 #: host, path, verdict
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -22,11 +24,36 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(spark, path)
 
 
+def _judged(scored: DataFrame, remainder: int, divisor: int) -> DataFrame:
+    return scored.select("doc_id", fold(remainder, divisor).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_gam.train(docs, labels.where(~fold(1, 3)))
+    return _judged(quality_gam.score(docs, model, ["doc_id"]), 1, 3)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_fm.train(docs, labels.where(~fold(0, 5)))
+    return _judged(toxicity_fm.score(docs, model, ["doc_id"]), 0, 5)
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the counts of shards differ by one at most."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -35,7 +62,17 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op5_url_rules, op9_ring_shards)}
+def piece_digest(docs: DataFrame) -> DataFrame:
+    """Per document its ids, their number, and the size and crc32 of the text that they decode to."""
+    coded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), F.octet_length("text").cast("bigint").alias("decoded_bytes"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op9_ring_shards, op10_pieces)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import containment, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
+from brindle.llm import containment, html_layout, near_dups, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
 from brindle.llm.texts import fold
 from brindle.session import scratch_path, table
 
@@ -54,6 +54,14 @@ def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.components(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the counts of shards differ by one at most."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -72,7 +80,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op9_ring_shards, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

@@ -17,6 +17,7 @@ ids; an empty table gives no rows.
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import arrow_map, process_cache
+from brindle.llm.texts import Remembered, arrow_map, process_cache
 
 SPACE = "▁"
-#: Segments and neighbouring pieces that a worker remembers at most.
-CACHE_SEGMENTS = 300_000
+#: Segments (and runs inside them), and pairs of pieces, that a worker remembers at most.
+CACHE_SEGMENTS = 200_000
+CACHE_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -93,47 +95,99 @@ class PieceModel:
         if any(SPACE in t.lstrip(SPACE) for t in self.id):
             raise ValueError("pieces with a space mark inside are not supported")
         self.segment = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.known: dict[str, bytes] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.inside = {t[i : i + 2] for t in self.id for i in range(len(t) - 1)}
+        self.known = Remembered(self._segment_ids, CACHE_SEGMENTS)
+        self.runs = Remembered(self._run_ids, CACHE_SEGMENTS)
+        self.beside: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
 
-    def _merge(self, text: str) -> list[str]:
-        """Pieces that merging leaves of a short text: always the neighbours of best score, leftmost first."""
+    def _merge(self, text: str, keep_last: bool = False) -> list[str]:
+        """Pieces that merging leaves of a short text: always the neighbours of best score, leftmost first.
+
+        ``keep_last`` stops before the merge that would leave one piece.
+        """
         parts = list(text)
-        while len(parts) > 1:
-            best = max((self.score[self.id[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.id) if any(a + b in self.id for a, b in zip(parts, parts[1:])) else None
+        while len(parts) > 1 + keep_last:
+            joined = [self.id.get(a + b) for a, b in zip(parts, parts[1:])]
+            best = max((i for i in joined if i is not None), key=self.score.__getitem__, default=None)
             if best is None:
                 break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            i = joined.index(best)
+            parts[i : i + 2] = [self.text[best]]
         return parts
 
-    def _stays(self, left: int | None, right: int) -> bool:
-        """Whether merging the two pieces' joined text leaves just these two (or the one)."""
-        key = -1 if left is None else left, right
-        found = self.beside.get(key)
-        if found is None:
-            pieces = [self.text[i] for i in (left, right) if i is not None]
-            if len(self.beside) >= CACHE_SEGMENTS:
-                self.beside.clear()
-            found = self.beside[key] = self._merge("".join(pieces)) == pieces
+    def _halves(self, i: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes a piece; () for a single character, None if merging never makes it."""
+        found = self.halves.get(i, False)
+        if found is False:
+            parts = self._merge(self.text[i], keep_last=True)
+            if len(self.text[i]) == 1:
+                found = ()
+            elif len(parts) == 2 and all(p in self.id and self._halves(self.id[p]) is not None for p in parts):
+                found = self.id[parts[0]], self.id[parts[1]]
+            else:
+                found = None
+            self.halves[i] = found
         return found
 
+    def _spine(self, i: int, side: int) -> list[int]:
+        """The pieces at one edge of a piece, from its outermost character to itself."""
+        out = [i]
+        while half := self._halves(out[-1]):
+            out.append(half[side])
+        return out[::-1]
+
+    def _stays(self, left: int, right: int) -> bool:
+        """Whether merging the joined text of two pieces leaves just these two.
+
+        The pieces that meet at the border grow along the left piece's right edge and the right
+        piece's left edge, by falling scores. They must never merge with each other: not as soon as
+        both are there and their union's turn comes, which is before either grows on. Of equal
+        scores the leftmost comes first.
+        """
+        if self._halves(right) is None or self._halves(left) is None:
+            return False
+        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
+        score, last = self.score, -np.inf
+        while True:
+            up_a = score[a[i + 1]] if i + 1 < len(a) else last
+            up_b = score[b[j + 1]] if j + 1 < len(b) else last
+            union = self.id.get(self.text[a[i]] + self.text[b[j]])
+            if union is not None:
+                turn = min(score[union], score[a[i]] if i else np.inf, score[b[j]] if j else np.inf)
+                if turn > up_a and turn >= up_b:
+                    return False
+            if up_a == up_b == last:
+                return True
+            if up_a >= up_b:
+                i += 1
+            else:
+                j += 1
+
     def _sweep(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
         n = len(text)
-        best: list[float] = [0.0] + [-np.inf] * n
         last: list[tuple[int, int] | None] = [None] * (n + 1)  # length and id of the piece that ends a prefix
-        bpe, done = self.model == BPE, [True] + [False] * n
-        for end, (size, i) in self.automaton.iter(text):
-            end += 1
-            start = end - size
-            if not done[start]:
-                continue
-            if bpe:
-                if not done[end] and self._stays(None, i) and (start == 0 or self._stays(last[start][1], i)):
-                    last[end], done[end] = (size, i), True
-            elif best[start] + self.score[i] > best[end]:
-                best[end], last[end], done[end] = best[start] + self.score[i], (size, i), True
+        if self.model == BPE:
+            beside = self.beside
+            if len(beside) >= CACHE_PAIRS:
+                beside.clear()
+            for at, found in self.automaton.iter(text):  # of the pieces that end here, the longest first
+                start = at + 1 - found[0]
+                if last[at + 1] is not None or start and last[start] is None:
+                    continue
+                key = (last[start][1] + 1 if start else 0) << 32 | found[1]
+                good = beside.get(key)
+                if good is None:
+                    good = beside[key] = self._stays(last[start][1], found[1]) if start else self._halves(found[1]) is not None
+                if good:
+                    last[at + 1] = found
+        else:
+            best = [0.0] + [-np.inf] * n
+            for at, found in self.automaton.iter(text):
+                score = best[at + 1 - found[0]] + self.score[found[1]]
+                if score > best[at + 1]:
+                    best[at + 1], last[at + 1] = score, found
         ids = []
         while n:
             size, i = last[n]
@@ -141,35 +195,24 @@ class PieceModel:
             n -= size
         return ids[::-1]
 
-    def _segment_ids(self, segment: str) -> list[int]:
-        ids, run = [], []
-        for c in [*segment, None]:
-            if c in self.letters:
-                run.append(c)
-                continue
-            if run:
-                ids += self._sweep("".join(run))
-                run = []
-            if c is not None:
-                ids += [self.bytes[b] for b in c.encode()] if len(self.bytes) == 256 else [self.unknown]
-        return ids
+    def _run_ids(self, run: str) -> bytes:
+        if run in self.id or self.letters.issuperset(run):
+            ids = self._sweep(run)
+        else:  # one character that no piece has
+            ids = [self.bytes[b] for b in run.encode()] if len(self.bytes) == 256 else [self.unknown]
+        return np.array(ids, "<i4").tobytes()
+
+    def _segment_ids(self, segment: str) -> bytes:
+        """Ids of a segment as bytes: it is cut where no piece holds the two characters that meet."""
+        cuts = [i for i, pair in enumerate(map(operator.add, segment, segment[1:]), 1) if pair not in self.inside]
+        return b"".join([self.runs[segment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(segment)])])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32 bytes."""
         if not text:
             return b""
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known, out = self.known, []
-        for s in self.segment.findall(marked):
-            got = known.get(s)
-            if got is None:
-                got = np.array(self._segment_ids(s), "<i4").tobytes()
-                if len(s) < 64:
-                    if len(known) >= CACHE_SEGMENTS:
-                        known.clear()
-                    known[s] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.segment.findall(marked)))
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "raw"):

@@ -17,19 +17,33 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handled at once, so that memory follows the batch and not the task.
 SLICE = 512
-#: Distinct words whose hash a worker remembers at most.
-CACHE_WORDS = 200_000
+#: Distinct words of a generation that a worker remembers at most.
+CACHE_WORDS = 150_000
 
 
-class WordHashes(dict):
-    """word -> 8 bytes of its 64-bit hash, remembered up to CACHE_WORDS words."""
+class Remembered(dict):
+    """key -> find(key), remembered in two generations of at most ``limit`` keys: what was used lately stays."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+    def __init__(self, find: Callable, limit: int = CACHE_WORDS):
+        self.find, self.limit, self.old = find, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        self[key] = found
         return found
 
+
+class WordHashes(Remembered):
+    """word -> 8 bytes of its 64-bit hash."""
+
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_digest)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 

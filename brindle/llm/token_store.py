@@ -13,7 +13,9 @@ store with no rows. Columns of the input other than doc_id and text are not stor
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,41 +23,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.llm.texts import CACHE_WORDS, arrow_map, process_cache
+from brindle.llm.texts import arrow_map, process_cache
 
 #: Appended to each document.
 END_ID = 1
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 64 << 20
 BLOOM_FPP = 0.01
-
-
-def _encoder(vocabulary: str):
-    """texts -> their ids as little-endian uint32 bytes.
-
-    White space never lies inside a token of these vocabularies (the pre-tokenizer drops it), so
-    a text's ids are those of its pieces between ASCII white space; the library encodes each
-    distinct piece of a batch once.
+#: Chunks and parts of a generation whose ids a worker remembers at most, besides those of one batch.
+CHUNKS = 150_000
+PARTS = 200_000
+#: Where a lower-cased chunk is cut: between an ASCII letter and an ASCII digit or symbol other than an apostrophe.
+_CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-@[-`{-~])|(?<=[!-&(-@[-`{-~])(?=[a-z])")
+
+
+class _Generations(dict):
+    """What was learned or used lately: of two generations, the older is forgotten when the younger is full."""
+
+    def __init__(self, limit: int):
+        self.limit, self.old = limit, {}
+
+    def missing(self, wanted: set[bytes]) -> list[bytes]:
+        """Those of ``wanted`` that are not known; the others are in the young generation from now on."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        rest = wanted - self.keys()
+        again = rest & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return list(rest - again)
+
+
+class _Encoder:
+    """texts -> their ids as little-endian uint32 bytes, the library encoding each distinct part once.
+
+    With a vocabulary of words that end in a suffix, white space never lies inside a token, nor does
+    a token span an ASCII letter and an ASCII digit or symbol other than an apostrophe, and the case
+    of letters doesn't matter. So a text's ids are those of its chunks between ASCII white space,
+    and a chunk's those of the parts that _CUT leaves. Texts that may hold a special token, and all
+    texts of other vocabularies, are encoded as they are.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(vocabulary)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.by_part = bool(suffix)
+        tokens = self.library.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if suffix and t.endswith(suffix)]] = True
+        self.chunks, self.parts = _Generations(CHUNKS), _Generations(PARTS)
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Parts of ASCII letters, joined by spaces: each is one word, whose last token has the suffix."""
+        for at in range(0, len(words), 4096):
+            group = words[at : at + 4096]
+            ids = b"".join(self._ids([b" ".join(group[i : i + 64]) for i in range(0, len(group), 64)]))
+            ends = ((np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4).tolist()
+            self.parts.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends))))
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and (not self.by_part or b"<|" in t)]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
+        cut = {i: t.lower().split() for i, t in enumerate(texts) if t and not out[i]}
+        new = self.chunks.missing(set().union(*cut.values()))
+        split = [[c] if c.isalpha() else _CUT.split(c) for c in new]
+        unseen = self.parts.missing(set().union(*split))
+        self._learn_words([p for p in unseen if p.isalpha()])
+        rest = [p for p in unseen if not p.isalpha()]
+        self.parts.update(zip(rest, self._ids(rest)))
+        known = self.parts
+        self.chunks.update((c, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for c, s in zip(new, split))
+        for i, c in cut.items():
+            out[i] = b"".join(map(self.chunks.__getitem__, c))
+        return out
+
+
+def _encoder(vocabulary: str) -> _Encoder:
+    """The encoder of this Python worker."""
     kept = process_cache()
     if vocabulary not in kept:
-        kept[vocabulary] = Tokenizer.from_file(vocabulary), {}
-    library, known = kept[vocabulary]
-
-    def encode(texts: list[bytes | None]) -> list[bytes]:
-        pieces = [(t or b"").split() for t in texts]
-        new = list(set().union(*pieces) - known.keys())
-        if len(known) + len(new) > 2 * CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*pieces))
-        for piece, found in zip(new, library.encode_batch([x.decode() for x in new], add_special_tokens=False)):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in pieces]
-
-    return encode
+        kept[vocabulary] = _Encoder(vocabulary)
+    return kept[vocabulary]
 
 
 def write_store(documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
@@ -82,7 +138,7 @@ def write_store(documents: DataFrame, path: str, vocabulary: str, end_id: int =
     (
         rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("compression", "zstd").mode("errorifexists").orc(path)
+        .option("compression", "snappy").mode("errorifexists").orc(path)
     )
 
 

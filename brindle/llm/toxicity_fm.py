@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import CACHE_WORDS, arrow_map, labelled_sample, sigmoid
+from brindle.llm.texts import Remembered, arrow_map, labelled_sample, sigmoid
 
 TRAINING_ROWS = 12_000
 TERMS = 512
@@ -61,18 +61,11 @@ class Machine:
         return self.base + linear
 
 
-class KnownTerms(dict):
+class KnownTerms(Remembered):
     """word -> bytes of the 2-byte numbers of the features that it holds."""
 
     def __init__(self, known: dict[int, int]):
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        got = [self.known[t] for t in terms(word) if t in self.known]
-        found = self[word] = np.array(got, np.uint16).tobytes()
-        return found
+        super().__init__(lambda word: np.array([known[t] for t in terms(word) if t in known], np.uint16).tobytes())
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         got = np.frombuffer(b"".join(map(self.__getitem__, (text or "").lower().split())), np.uint16)

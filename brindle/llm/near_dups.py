@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.llm.texts import WordHashes, arrow_map, mixed, shingle_hashes
+from brindle.llm.texts import WordHashes, arrow_map, broadcast_if_small, mixed, shingle_hashes
 from brindle.session import materialize
 
 SIDE = 16
@@ -45,8 +45,6 @@ PERCENT = 80
 SMALL_BUCKET = 4
 #: Links that a class outside its bucket's main component tries in one round.
 ROUND_LINKS = 64
-#: Ids up to this number are broadcast to select their texts; more are joined.
-BROADCAST_IDS = 1_000_000
 _PRIMES = np.random.default_rng(11).integers(1, 1 << 63, (2, 2 * SIDE * DEPTH), dtype=np.uint64)
 _MULTIPLY, _ADD = _PRIMES[0] | np.uint64(1), _PRIMES[1]
 
@@ -176,8 +174,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 def _sets_of(found: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """(id, s): the full sets, as sorted hashes, of the classes that have any link to verify."""
     ids = materialize(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary")).join(broadcast_if_small(ids), "id", "left_semi")
 
     def make():
         hashes = WordHashes()

@@ -179,9 +179,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
     return fit(x, np.array([r[0] for r in rows], float))
 
 
-def score(documents: DataFrame, model: Gam, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``documents`` with ``score``, the probability that the text is good."""
-    rows = documents.select(F.col("text").cast("binary").alias("_text"), *keep)
+def score(documents: DataFrame, model: Gam, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``documents`` with ``name``, the probability that the text is good."""
+    kept = [c for c in keep if c != name]  # the score takes the place of a column of its name
+    rows = documents.select(F.col("text").cast("binary").alias("_text"), *kept)
 
     def make():
         def step(batch: pa.RecordBatch) -> list:
@@ -190,5 +191,5 @@ def score(documents: DataFrame, model: Gam, keep: list[str]) -> DataFrame:
 
         return step
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return arrow_map(rows, f"{kinds}, score double", make)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema)
+    return arrow_map(rows, f"{kinds}, `{name}` double", make)

@@ -153,10 +153,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
 def apply_rules(documents: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> DataFrame:
     """Per document the base counts, ``base_failed``, ``probability`` and ``kept``."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # three blocks of 2**HASH_BITS weights, whatever the input
+    shared = spark.sparkContext.broadcast((model.weights, model.offset, model.slope))  # three blocks of 2**HASH_BITS weights, whatever the input
 
     def make():
-        hashes, m = WordHashes(), shared.value
+        hashes, m = WordHashes(), NgramModel(*shared.value)
 
         def step(batch: pa.RecordBatch) -> list:
             texts = batch.column(1).to_pylist()

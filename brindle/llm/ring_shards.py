@@ -64,7 +64,7 @@ def assign(df: DataFrame, key: Column, ties: list[Column], n_shards: int, virtua
     One shuffle of the rows given, by cell; the plan of at most CELLS + shards x points intervals
     is broadcast.
     """
-    spark, names = df.sparkSession, df.columns
+    spark, names = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
     hashed = df.withColumn("_h", F.xxhash64(key)).withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int"))
     counts = {r[0]: r[1] for r in hashed.groupBy("_cell").count().collect()}
     plan = spark.createDataFrame(place(counts, n_shards, virtual_nodes) or [(-1, 0, 0, 0, 0)], "_cell int, _lo bigint, _hi bigint, shard int, _slot bigint")

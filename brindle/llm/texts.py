@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 SLICE = 512
 #: Distinct words of a generation that a worker remembers at most.
 CACHE_WORDS = 150_000
+#: Ids that are broadcast to a join at most.
+BROADCAST_IDS = 1_000_000
 
 
 class Remembered(dict):
@@ -114,5 +116,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def broadcast_if_small(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, with a broadcast hint if it has at most ``rows`` rows; else it is joined by sorting."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))

@@ -144,8 +144,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", trainin
     return fit(at, value, row, np.array([r[1] for r in rows], float), known)
 
 
-def score(documents: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``documents`` with ``score``, the probability that the text is toxic."""
+def score(documents: DataFrame, model: Machine, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``documents`` with ``name``, the probability that the text is toxic."""
+    kept = [c for c in keep if c != name]  # the score takes the place of a column of its name
 
     def make():
         lookup = KnownTerms(model.known)
@@ -156,5 +157,5 @@ def score(documents: DataFrame, model: Machine, keep: list[str]) -> DataFrame:
 
         return step
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return arrow_map(documents.select(F.col("text").alias("_text"), *keep), f"{kinds}, score double", make)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema)
+    return arrow_map(documents.select(F.col("text").alias("_text"), *kept), f"{kinds}, `{name}` double", make)

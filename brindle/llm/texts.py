@@ -75,9 +75,9 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_brindle_process_cache", {})
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = SLICE) -> DataFrame:
     """``df.mapInArrow``: ``make()`` is called once a task and gives a function from a slice of
-    at most SLICE rows to the list of output columns (arrays or lists)."""
+    at most ``rows`` rows to the list of output columns (arrays or lists)."""
     kinds = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -86,9 +86,9 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
+            for at in range(0, batch.num_rows, rows):
                 step = step or make()
-                columns = step(batch.slice(at, SLICE))
+                columns = step(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)

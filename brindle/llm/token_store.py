@@ -19,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,39 +30,43 @@ from brindle.llm.texts import arrow_map, process_cache
 END_ID = 1
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 64 << 20
+#: Texts encoded at once.
+SLICE = 2048
 BLOOM_FPP = 0.01
 #: Chunks and parts of a generation whose ids a worker remembers at most, besides those of one batch.
-CHUNKS = 150_000
-PARTS = 200_000
+REMEMBERED = 150_000
 #: Where a lower-cased chunk is cut: between an ASCII letter and an ASCII digit or symbol other than an apostrophe.
 _CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-@[-`{-~])|(?<=[!-&(-@[-`{-~])(?=[a-z])")
+#: Parts that are one word of letters, before and after normalization.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
-class _Generations(dict):
-    """What was learned or used lately: of two generations, the older is forgotten when the younger is full."""
+class _Generations:
+    """key -> bytes for what was learned or used lately; of two generations the older is forgotten."""
 
-    def __init__(self, limit: int):
-        self.limit, self.old = limit, {}
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def missing(self, wanted: set[bytes]) -> list[bytes]:
-        """Those of ``wanted`` that are not known; the others are in the young generation from now on."""
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        rest = wanted - self.keys()
-        again = rest & self.old.keys()
-        self.update((k, self.old[k]) for k in again)
-        return list(rest - again)
+    def missing(self, wanted) -> list[bytes]:
+        """Those of the distinct keys ``wanted`` that are not known; the others are young from now on."""
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        rest = [k for k in wanted if k not in self.young]
+        again = [k for k in rest if k in self.old]
+        self.young.update((k, self.old[k]) for k in again)
+        return [k for k in rest if k not in self.young] if again else rest
 
 
 class _Encoder:
-    """texts -> their ids as little-endian uint32 bytes, the library encoding each distinct part once.
+    """texts -> their ids, the library encoding each distinct part once.
 
     With a vocabulary of words that end in a suffix, white space never lies inside a token, nor does
     a token span an ASCII letter and an ASCII digit or symbol other than an apostrophe, and the case
     of letters doesn't matter. So a text's ids are those of its chunks between ASCII white space,
-    and a chunk's those of the parts that _CUT leaves. Texts that may hold a special token, and all
-    texts of other vocabularies, are encoded as they are.
+    and a chunk's those of the parts that _CUT leaves. A batch's chunks are numbered by Arrow, the
+    distinct ones looked up, and the ids gathered. Texts that may hold a special token, and all texts
+    of other vocabularies, are encoded as they are.
     """
 
     def __init__(self, vocabulary: str):
@@ -74,36 +79,49 @@ class _Encoder:
         tokens = self.library.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if suffix and t.endswith(suffix)]] = True
-        self.chunks, self.parts = _Generations(CHUNKS), _Generations(PARTS)
+        self.chunks, self.parts = _Generations(), _Generations()
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[bytes]) -> None:
-        """Parts of ASCII letters, joined by spaces: each is one word, whose last token has the suffix."""
+        """Parts of letters, joined by spaces: each is one word, whose last token has the suffix."""
         for at in range(0, len(words), 4096):
             group = words[at : at + 4096]
-            ids = b"".join(self._ids([b" ".join(group[i : i + 64]) for i in range(0, len(group), 64)]))
+            ids = b"".join(self._ids([b" ".join(group[i : i + 64]).decode() for i in range(0, len(group), 64)]))
             ends = ((np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4).tolist()
-            self.parts.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends))))
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        out = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and (not self.by_part or b"<|" in t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        cut = {i: t.lower().split() for i, t in enumerate(texts) if t and not out[i]}
-        new = self.chunks.missing(set().union(*cut.values()))
+            self.parts.young.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        new = self.chunks.missing(chunks)
         split = [[c] if c.isalpha() else _CUT.split(c) for c in new]
         unseen = self.parts.missing(set().union(*split))
-        self._learn_words([p for p in unseen if p.isalpha()])
-        rest = [p for p in unseen if not p.isalpha()]
-        self.parts.update(zip(rest, self._ids(rest)))
-        known = self.parts
-        self.chunks.update((c, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for c, s in zip(new, split))
-        for i, c in cut.items():
-            out[i] = b"".join(map(self.chunks.__getitem__, c))
-        return out
+        self._learn_words([p for p in unseen if _LETTERS.fullmatch(p)])
+        rest = [p for p in unseen if not _LETTERS.fullmatch(p)]
+        known = self.parts.young
+        known.update(zip(rest, self._ids([p.decode() for p in rest])))
+        self.chunks.young.update((c, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for c, s in zip(new, split))
+        return [self.chunks.young[c] for c in chunks]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of a string array, one text after the other, and each text's number of ids."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) if self.by_part else np.ones(len(texts), bool)
+        own = self._ids(texts.filter(pa.array(whole)).to_pylist())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(whole), "", texts)))
+        numbered = lists.flatten().dictionary_encode()
+        ids = self._chunk_ids(numbered.dictionary.cast(pa.binary()).to_pylist())
+        at, sizes = numbered.indices.to_numpy(zero_copy_only=False), np.array([len(x) // 4 for x in ids], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        so_far = np.concatenate([[0], np.cumsum(sizes[at])])
+        gathered = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(starts[at] - so_far[:-1], sizes[at]) + np.arange(so_far[-1])]
+        ends = so_far[lists.offsets.to_numpy()]
+        if not own:
+            return gathered, np.diff(ends)
+        found = [gathered[a:b] for a, b in zip(ends, ends[1:])]
+        for i, x in zip(np.flatnonzero(whole), own):
+            found[i] = np.frombuffer(x, np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
 
 def _encoder(vocabulary: str) -> _Encoder:
@@ -116,25 +134,25 @@ def _encoder(vocabulary: str) -> _Encoder:
 
 def write_store(documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Encode every text and write the store; files follow each other in ascending doc_id order."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def make():
         encode, start = _encoder(vocabulary), 0
 
         def step(batch: pa.RecordBatch) -> list:
             nonlocal start
-            ids = [x + end for x in encode(batch.column(1).to_pylist())]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = start + np.cumsum(counts)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            starts, start = ends - counts, int(ends[-1])
-            return [batch.column(0), starts, counts, tokens]
+            ids, counts = encode(batch.column(1))
+            tokens = np.full(len(ids) + len(counts), end_id, np.int32)
+            tokens[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            counts = counts + 1
+            ends = np.cumsum(counts)
+            rows = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(tokens))
+            starts, start = start + ends - counts, start + int(ends[-1])
+            return [batch.column(0), starts, counts, rows]
 
         return step
 
-    ordered = documents.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
-    rows = arrow_map(ordered, "doc_id bigint, start_in_file bigint, n_tokens bigint, tokens array<int>", make)
+    ordered = documents.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    rows = arrow_map(ordered, "doc_id bigint, start_in_file bigint, n_tokens bigint, tokens array<int>", make, SLICE)
     (
         rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES))
@@ -159,8 +177,8 @@ def store_digest(spark: SparkSession, path: str) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> list:
             tokens = batch.column(3)
-            values, offsets = tokens.values.to_numpy().astype("<u4"), tokens.offsets.to_numpy()
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+            values, offsets = memoryview(tokens.values.to_numpy().astype("<u4", copy=False)).cast("B"), tokens.offsets.to_numpy()
+            crcs = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:])]
             return [batch.column(0), batch.column(1), batch.column(2), np.diff(offsets).astype(np.int64), np.array(crcs, np.int64)]
 
         return step

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,18 +46,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage: a lost executor repeats no earlier stage, as the rows lie in the
-    shared folder. Nothing is kept on executors.
+    shared folder. Nothing is kept on executors. The path is added to ``kept``, for ``release``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if kept is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, kept: list[str]) -> None:
+    """Remove written tables that nothing reads any more, and let Spark drop the shuffle files of their jobs."""
+    for path in kept:
+        drop_path(spark, path)
+    kept.clear()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder as soon as nothing reads it any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

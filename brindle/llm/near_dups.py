@@ -13,10 +13,9 @@ unrelated texts.
    keys into buckets and links each bucket's classes with the member nearest to the bucket's
    consensus (small buckets: with each other). Buckets that partitions share are linked through
    their centres. So links are in proportion to rows, not to pairs.
-3. Links are verified on the full sets, those first that join different components.
-4. Buckets that still hold several components are searched on: their members outside the
-   bucket's largest component are compared with all others of the bucket, in rounds of at most
-   ``ROUND_LINKS`` links per class by closeness, until no comparable pair is left unverified.
+3. Links are verified on the full sets; verified links make components.
+4. Where a large bucket still holds several components, its members are compared across them on
+   their full sets, block by block, and each member reports one link to each other component.
 
 Components are found by alternating large-star and small-star steps; every step is written to the
 shared folder. Nothing but counts reaches the driver.
@@ -33,29 +32,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from brindle.llm.texts import WordHashes, arrow_map, broadcast_if_small, mixed, shingle_hashes
-from brindle.session import materialize
+from brindle.session import materialize, release
 
 SIDE = 16
 DEPTH = 3
 PERCENT = 80
 #: Buckets up to this size link all their members directly.
 SMALL_BUCKET = 4
-#: Links that a class outside its bucket's main component tries in one round.
-ROUND_LINKS = 64
-_PRIMES = np.random.default_rng(11).integers(1, 1 << 63, (2, 2 * SIDE * DEPTH), dtype=np.uint64)
-_MULTIPLY, _ADD = _PRIMES[0] | np.uint64(1), _PRIMES[1]
+#: Classes of a block when members of different components are compared.
+BLOCK = 500
+_PARAMETERS = np.random.default_rng(11).integers(0, 1 << 32, (2, 2 * SIDE * DEPTH, 1), dtype=np.uint32)
+_MULTIPLY, _ADD = _PARAMETERS[0] | np.uint32(1), _PARAMETERS[1]
 
 
 def minhash_keys(found: np.ndarray) -> np.ndarray:
     """2 x SIDE keys (uint32) of a set of 64-bit hashes."""
-    least = np.full(len(_ADD), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048, None] * _MULTIPLY[None, :] + _ADD[None, :]
-        part ^= part >> np.uint64(31)
-        np.minimum(least, part.min(0), out=least)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_ADD), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 4096):
+        part = short[at : at + 4096] * _MULTIPLY
+        part += _ADD
+        np.minimum(least, part.min(1), out=least)
     key = np.zeros(2 * SIDE, np.uint64)
     for k in range(DEPTH):
         key = mixed(key + least[k::DEPTH])
@@ -86,26 +85,40 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 _LINKS = "bucket bigint, a bigint, b bigint"
 
 
-def _buckets(run, first: np.ndarray, ids: np.ndarray, second: np.ndarray, opening, closing) -> None:
-    """Call ``run(bucket, members, second keys, shared)`` for each bucket of two members or more.
+_STEP = (np.arange(SIDE, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
-    ``first`` holds sorted first keys, ``second`` each row's second keys. Buckets of the partition's
-    opening and closing keys may go on in other partitions: they are shared, whatever their size.
+
+def _buckets(keep, first: np.ndarray, ids: np.ndarray, second: np.ndarray, opening, closing) -> None:
+    """Find the buckets of rows with sorted first keys and give ``keep(kind, bucket, a, b)`` their links.
+
+    Buckets of the partition's opening and closing keys may go on in other partitions: their members
+    and centres are reported whatever their size.
     """
-    edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1], True]) if len(first) else [0]
-    for lo, hi in zip(edges, edges[1:]):
-        shared = first[lo] == opening or first[lo] == closing
-        if hi - lo == 1 and not shared:
-            continue
-        for j in range(SIDE):
-            order = np.argsort(second[lo:hi, j], kind="stable")
-            column = second[lo:hi][order, j]
-            cut = np.flatnonzero(np.r_[True, column[1:] != column[:-1], True])
-            for a, b in zip(cut, cut[1:]):
-                if b - a > 1 or shared:
-                    rows = lo + order[a:b]
-                    bucket = mixed(mixed(first[lo : lo + 1] + np.uint64(j)) + column[a : a + 1].astype(np.uint64))
-                    run(int(bucket[0] >> np.uint64(1)), ids[rows], second[rows], bool(shared))
+    if not len(first):
+        return
+    alone = np.r_[True, first[1:] != first[:-1]] & np.r_[first[1:] != first[:-1], True]
+    border = (first == opening) | (first == closing)
+    rows = np.flatnonzero(~alone | border)
+    names = (mixed(mixed(first[rows, None] + _STEP) + second[rows].astype(np.uint64)) >> np.uint64(1)).ravel()
+    order = np.argsort(names)
+    names, row = names[order].astype(np.int64), rows[order // SIDE]
+    cut = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True]) if len(names) else np.zeros(1, np.int64)
+    start, size = cut[:-1], np.diff(cut)
+    shared = border[row[start]]
+    for n in range(2, SMALL_BUCKET + 1):
+        members = ids[row[start[size == n][:, None] + np.arange(n)]]
+        for i in range(n):
+            for j in range(i):
+                keep(0, 0, members[:, i], members[:, j])
+    for at, n, is_shared in zip(start[(size > SMALL_BUCKET) | shared], size[(size > SMALL_BUCKET) | shared], shared[(size > SMALL_BUCKET) | shared]):
+        here = row[at : at + n]
+        members, bucket = ids[here], names[at]
+        c = _centre(second[here]) if n > SMALL_BUCKET else 0
+        if n > SMALL_BUCKET:
+            keep(0, 0, np.delete(members, c), np.full(n - 1, members[c]))
+        keep(1, bucket, members, members)
+        if is_shared:
+            keep(2, bucket, members[c : c + 1], members[c : c + 1])
 
 
 def _centre(second: np.ndarray) -> int:
@@ -128,20 +141,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         out: list[np.ndarray] = []
 
         def keep(kind: int, bucket: int, a: np.ndarray, b: np.ndarray) -> None:
-            out.append(np.stack([np.full(len(a), kind), np.full(len(a), bucket if kind else 0), np.minimum(a, b), np.maximum(a, b)], 1))
-
-        def run(bucket: int, members: np.ndarray, keys: np.ndarray, shared: bool) -> None:
-            n, c = len(members), 0
-            if 1 < n <= SMALL_BUCKET:
-                a, b = np.triu_indices(n, 1)
-                keep(0, bucket, members[a], members[b])
-            elif n > SMALL_BUCKET:
-                c = _centre(keys)
-                keep(0, bucket, np.delete(members, c), np.full(n - 1, members[c]))
-            if n > SMALL_BUCKET or shared:
-                keep(1, bucket, members, members)
-            if shared:
-                keep(2, bucket, members[c : c + 1], members[c : c + 1])
+            out.append(np.stack([np.full(len(a), kind), np.full(len(a), bucket), np.minimum(a, b), np.maximum(a, b)], 1))
 
         def found():
             once = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 4), np.int64)
@@ -160,20 +160,20 @@ def candidate_links(classes: DataFrame) -> DataFrame:
                 rows = tuple(map(np.concatenate, zip(rest, rows)))
             opening = rows[0][0] if opening is None else opening
             cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
-            _buckets(run, *(x[:cut] for x in rows), opening, None)
+            _buckets(keep, *(x[:cut] for x in rows), opening, None)
             rest = tuple(x[cut:] for x in rows)
             if sum(map(len, out)) > 500_000:
                 yield from found()
         if rest is not None:
-            _buckets(run, *rest, opening, rest[0][-1])
+            _buckets(keep, *rest, opening, rest[0][-1])
         yield from found()
 
     return ordered.mapInArrow(link, f"kind tinyint, {_LINKS}")
 
 
-def _sets_of(found: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+def _sets_of(found: DataFrame, documents: DataFrame, width: int, passing: list[str]) -> DataFrame:
     """(id, s): the full sets, as sorted hashes, of the classes that have any link to verify."""
-    ids = materialize(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ids = materialize(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", passing)
     wanted = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary")).join(broadcast_if_small(ids), "id", "left_semi")
 
     def make():
@@ -186,24 +186,25 @@ def _sets_of(found: DataFrame, documents: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    return materialize(arrow_map(wanted, "id bigint, s array<bigint>", make), "sets")
+    return materialize(arrow_map(wanted, "id bigint, s array<bigint>", make), "sets", passing)
 
 
 def _verified(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) of class ids with whether the full sets are similar enough."""
+    """The links (a, b) of class ids whose full sets are similar enough."""
     pairs = links.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("of")).select("a", "b", (100 * F.col("n") >= percent * (F.col("of") - F.col("n"))).alias("ok"))
+    return pairs.select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("of")).where(100 * F.col("n") >= percent * (F.col("of") - F.col("n"))).select("a", "b", F.lit(True).alias("ok"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
     """(id, component): each id of the undirected ``edges`` (a, b) with the least id that it reaches.
 
     Large-star links the greater neighbours of an id with its least neighbour, small-star the
     smaller ones; both keep what is connected and end in stars. Only the count of edges and a
-    checksum of each step reach the driver.
+    checksum of each step reach the driver. The result is a written table, noted in ``written``.
     """
-    now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    spark, kept, before = edges.sparkSession, [], []
+    now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", before)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -211,58 +212,93 @@ def connected(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
         # small star: u and its neighbours below u go to the least of these
-        large = materialize(large.distinct(), "large-star")
+        large = materialize(large.distinct(), "large-star", before)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(low.select(F.col("m").alias("a"), "b"))
-        now = materialize(small.distinct(), "small-star")
+        now = materialize(small.distinct(), "small-star", kept)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        release(spark, before)
+        before, kept = kept, []
         if found == mark or not found[0]:
             break
         mark = found
-    return now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    done = materialize(now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")), "components", written)
+    release(spark, before)
+    return done
 
 
 def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``documents``."""
+    spark, passing, parts_at = documents.sparkSession, [], []
     signed = materialize(signatures(documents, width), "signatures")
-    classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n_shingles"))
+    classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min("keys").alias("keys"))
     classes = materialize(classes, "classes")
-    texts = documents.select("doc_id", "text")
-    found = materialize(candidate_links(classes), "links")
-    spans = found.where("kind = 2").groupBy("bucket").agg(F.min("a").alias("a"), F.max("a").alias("b"))
-    across = found.where("kind = 2").select("bucket", F.col("a").alias("c")).join(spans, "bucket").where("c > a").select("a", F.col("c").alias("b"))
-    todo = materialize(found.where("kind = 0").select("a", "b").unionByName(across).distinct(), "todo")
-    sets, done = _sets_of(found, texts, width), None
-    while True:
-        checked = materialize(_verified(todo, sets, percent), "checked")
-        done = checked if done is None else done.unionByName(checked)
-        parts = materialize(connected(done.where("ok")), "components")
-        todo = materialize(_left_over(found, classes, parts, done, percent), "todo")
-        if todo.isEmpty():
-            break
-    # equal sets, then verified links; an id whose rows have several sets takes the least component
+    found = materialize(candidate_links(classes), "links", passing)
+    spans = found.where("kind = 2").groupBy("bucket").agg(F.min("a").alias("a"))
+    across = found.where("kind = 2").select("bucket", F.col("a").alias("b")).join(spans, "bucket").where("b > a").select("a", "b")
+    links = materialize(found.where("kind = 0").select("a", "b").unionByName(across).distinct(), "candidates", passing)
+    sets = _sets_of(found, documents, width, passing)
+    sure = materialize(_verified(links, sets, percent), "verified", passing)
+    parts = connected(sure, passing)
+    more = materialize(_across_components(found, parts, sets, percent, passing), "across", passing)
+    if not more.isEmpty():
+        parts = connected(sure.unionByName(more), parts_at)
+    else:
+        parts = materialize(parts, "components", parts_at)
+    release(spark, passing)
+    # equal sets, then links
     linked = signed.select("doc_id", "n_shingles", "set_id")
     named = classes.select("set_id", "class_id").join(parts, F.col("class_id") == parts["id"], "left").select("set_id", F.coalesce("component", "class_id").alias("component"))
     return linked.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _left_over(found: DataFrame, classes: DataFrame, parts: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large buckets' members in different components that are not verified yet.
+def _across_components(found: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, passing: list[str]) -> DataFrame:
+    """Links (a, b) between different components whose members share a large bucket.
 
-    Pairs whose sizes rule out the similarity are none. Only members outside their bucket's largest
-    component seek partners, each at most ROUND_LINKS in this round, those of closest keys first.
+    Components that meet in buckets form groups. Of each group, the members outside its largest
+    component are compared with all its members: blocks of BLOCK members by blocks of BLOCK such
+    members, each pair of blocks one small task that counts common shingles by postings and
+    reports one link for a member and each other component. So a group of any size is spread,
+    and what is reported follows its members and components, not its pairs.
     """
-    members = found.where("kind = 1").select("bucket", F.col("a").alias("class_id"))
-    members = members.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    mixed_ones = materialize(members.join(main, "bucket").join(classes.select("class_id", "n_shingles", F.expr(f"substring(keys, {4 * SIDE + 1}, {4 * SIDE})").alias("keys")), "class_id"), "mixed")
-    x = mixed_ones.where("component <> main").select("bucket", F.col("class_id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("keys").alias("kx"))
-    y = mixed_ones.select("bucket", F.col("class_id").alias("y"), F.col("component").alias("cy"), F.col("n_shingles").alias("ny"), F.col("keys").alias("ky"))
-    pairs = x.join(y, "bucket").where((F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "kx", "ky").dropDuplicates(["a", "b"])
-    pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    agree = sum((F.substring("kx", 4 * j + 1, 4) == F.substring("ky", 4 * j + 1, 4)).cast("int") for j in range(SIDE))
-    ranked = pairs.withColumn("n", F.row_number().over(W.partitionBy("x").orderBy(agree.desc(), "a", "b")))
-    return ranked.where(F.col("n") <= ROUND_LINKS).select("a", "b").distinct()
+    label = parts.withColumnRenamed("id", "class_id")
+    members = found.where("kind = 1").select("bucket", F.col("a").alias("class_id")).join(label, "class_id", "left")
+    members = members.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
+    mixed_ones = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "lo")
+    met = materialize(members.join(mixed_ones, "bucket").select("class_id", "component", "lo").distinct(), "met", passing)
+    group = connected(met.select(F.col("lo").alias("a"), F.col("component").alias("b")), passing).select(F.col("id").alias("component"), F.col("component").alias("grp"))
+    inside = met.select("class_id", "component").distinct().join(group, "component", "left").select("class_id", "component", F.coalesce("grp", "component").alias("grp"))
+    inside = materialize(inside, "groups", passing)
+    counts = inside.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    shape = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
+    shape = shape.select("grp", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("asks"))
+    rows = inside.join(shape, "grp").join(sets.select(F.col("id").alias("class_id"), "s"), "class_id")
+    block = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = rows.select("grp", block("blocks").alias("x"), each("asks").alias("y"), F.lit(False).alias("asks"), "class_id", "component", "s")
+    asking = rows.where("component <> main").select("grp", each("blocks").alias("x"), block("asks").alias("y"), F.lit(True).alias("asks"), "class_id", "component", "s")
+
+    def compare(key, pdf):
+        import pandas as pd
+
+        ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = []
+        if len(ask) and len(have):
+            lengths = np.array([len(s) for s in have["s"]])
+            everything = np.concatenate(have["s"].to_list())
+            order = np.argsort(everything)
+            everything, owner = everything[order], np.repeat(np.arange(len(have)), lengths)[order]
+            ids, comps = have["class_id"].to_numpy(), have["component"].to_numpy()
+            for a, comp, s in zip(ask["class_id"], ask["component"], ask["s"]):
+                lo, hi = np.searchsorted(everything, s, "left"), np.searchsorted(everything, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(have))
+                hit = (100 * both >= percent * (len(s) + lengths - both)) & (comps != comp)
+                for c in np.unique(comps[hit]):
+                    b = ids[hit & (comps == c)][0]
+                    out.append((min(a, b), max(a, b), True))
+        return pd.DataFrame(out, columns=["a", "b", "ok"])
+
+    return own.unionByName(asking).groupBy("grp", "x", "y").applyInPandas(compare, "a bigint, b bigint, ok boolean")

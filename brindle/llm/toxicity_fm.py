@@ -54,7 +54,7 @@ class Machine:
     factors: np.ndarray
 
     def margins(self, at: np.ndarray, value: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-        linear = np.bincount(row, self.weights[at] * value, n_rows)
+        linear = np.bincount(row, self.weights[at] * value, n_rows).astype(float)  # of no terms at all, bincount counts in integers
         v = self.factors[at] * value[:, None]
         for k in range(v.shape[1]):
             linear += 0.5 * (np.bincount(row, v[:, k], n_rows) ** 2 - np.bincount(row, v[:, k] ** 2, n_rows))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,10 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column | str) -> Column:
-    """The vector at length 1; a zero vector stays as it is."""
+    """The vector at length 1; a zero vector stays as it is. The norm is bound once for all elements."""
     a = F.col(a) if isinstance(a, str) else a
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    once = F.array(F.struct(a.alias("v"), norm(a).alias("n")))
+    return F.element_at(F.transform(once, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x.cast("double")).otherwise(x.cast("double") / s["n"]))), 1)
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float = 0.7, strict: bool = False, tie_breaks: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
@@ -92,25 +93,31 @@ def ivf_search(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def hashed_embedding(c: Column | str, dimension: int = 64) -> Column:
+def hashed_words(texts, dimension: int = 64) -> list[list[float]]:
     """A deterministic stand-in for a model: signed counts of hashed words, at length 1."""
-    from brindle.functions.text import words
+    import zlib
 
-    hashes = F.transform(words(F.lower(F.col(c) if isinstance(c, str) else c)), lambda w: F.xxhash64(w))
-    cell = lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimension)) == i, F.when(h < 0, -1.0).otherwise(1.0)).otherwise(0.0))
-    return normalized(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), cell))
+    import numpy as np
+
+    out = []
+    for t in texts:
+        h = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], np.int64)
+        v = np.bincount(h % dimension, np.where(h >> 31, -1.0, 1.0), dimension).astype(float)
+        n = np.sqrt(v @ v)
+        out.append((v / n if n else v).tolist())
+    return out
 
 
 def embed(rows: DataFrame, text: str, provider: Callable | None = None, dimension: int = 64, name: str = "embedding") -> DataFrame:
-    """``rows`` with a vector of ``text``. ``provider`` is a function from a pandas Series of texts to a
-    list of vectors, run in Arrow batches; without one the hashed stand-in is used."""
-    if provider is None:
-        return rows.withColumn(name, hashed_embedding(text, dimension))
-    import pandas as pd
+    """``rows`` with a vector of ``text``, made in Arrow batches.
+
+    ``provider`` is a function from a pandas Series of texts to a list of vectors: the seam for a
+    model. Without one the hashed stand-in is used.
+    """
 
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, v)) for v in provider(batch)])
+        return pd.Series([list(map(float, v)) for v in (hashed_words(batch, dimension) if provider is None else provider(batch))], dtype=object)
 
     return rows.withColumn(name, run(text))
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch handled at once, so that memory follows the batch and not the task.
 SLICE = 512
@@ -75,13 +77,18 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_brindle_process_cache", {})
 
 
+#: Settings of Arrow batches: name, value if nobody set it, value for whole texts.
+BATCH_SETTINGS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2048"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"))
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = SLICE) -> DataFrame:
     """``df.mapInArrow``: ``make()`` is called once a task and gives a function from a slice of
     at most ``rows`` rows to the list of output columns (arrays or lists)."""
-    kinds = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(kinds)
+    spark = df.sparkSession
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    for name, usual, most in BATCH_SETTINGS:  # texts are long: a batch is bounded by bytes, unless the session says otherwise
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None

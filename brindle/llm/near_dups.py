@@ -189,11 +189,11 @@ def _sets_of(found: DataFrame, documents: DataFrame, width: int, passing: list[s
     return materialize(arrow_map(wanted, "id bigint, s array<bigint>", make), "sets", passing)
 
 
-def _verified(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(links: DataFrame, sets: DataFrame, percent: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """The links (a, b) of class ids whose full sets are similar enough."""
     pairs = links.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("of")).where(100 * F.col("n") >= percent * (F.col("of") - F.col("n"))).select("a", "b", F.lit(True).alias("ok"))
+    return pairs.select("a", "b", *keep, both.alias("n"), (F.size("sa") + F.size("sb")).alias("of")).where(100 * F.col("n") >= percent * (F.col("of") - F.col("n"))).select("a", "b", *keep, F.lit(True).alias("ok"))
 
 
 def connected(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
@@ -237,9 +237,18 @@ def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) ->
     found = materialize(candidate_links(classes), "links", passing)
     spans = found.where("kind = 2").groupBy("bucket").agg(F.min("a").alias("a"))
     across = found.where("kind = 2").select("bucket", F.col("a").alias("b")).join(spans, "bucket").where("b > a").select("a", "b")
-    links = materialize(found.where("kind = 0").select("a", "b").unionByName(across).distinct(), "candidates", passing)
+    links = found.where("kind = 0").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
+    links = materialize(links, "candidates", passing)
     sets = _sets_of(found, documents, width, passing)
-    sure = materialize(_verified(links, sets, percent), "verified", passing)
+    # first each class's commonest link, which mostly decides; then only what joins different components
+    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
+    best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sure = materialize(_verified(best, sets, percent), "verified", passing)
+    parts = connected(sure, passing)
+    label = lambda c, name: parts.select(F.col("id").alias(c), F.col("component").alias(name))
+    rest = links.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
+    joined = _verified(materialize(rest, "rest", passing), sets, percent, ["x", "y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ok").distinct()
+    sure = sure.unionByName(materialize(joined, "joined", passing))
     parts = connected(sure, passing)
     more = materialize(_across_components(found, parts, sets, percent, passing), "across", passing)
     if not more.isEmpty():

@@ -30,8 +30,8 @@ from brindle.llm.texts import Remembered, arrow_map, process_cache
 
 SPACE = "▁"
 #: Segments (and runs inside them), and pairs of pieces, that a worker remembers at most.
-CACHE_SEGMENTS = 200_000
-CACHE_PAIRS = 500_000
+CACHE_SEGMENTS = 100_000
+CACHE_PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
@@ -271,3 +271,19 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         return step
 
     return arrow_map(encoded.select("doc_id", "ids"), "doc_id bigint, ids array<int>, text string", make)
+
+
+def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, ids, text): ``encode`` and ``decode`` in one pass, with one automaton a worker."""
+    shared = _shared_model(documents, model_path)
+
+    def make():
+        m = model(model_path, shared.value)
+
+        def step(batch: pa.RecordBatch) -> list:
+            found = [m.encode(t or "") for t in batch.column(1).to_pylist()]
+            return [batch.column(0), _lists(found), [m.decode(np.frombuffer(x, "<i4")) for x in found]]
+
+        return step
+
+    return arrow_map(documents.select("doc_id", "text"), "doc_id bigint, ids array<int>, text string", make)

@@ -72,7 +72,7 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piece_digest(docs: DataFrame) -> DataFrame:
     """Per document its ids, their number, and the size and crc32 of the text that they decode to."""
-    coded = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    coded = pieces.round_trip(docs, PIECE_MODEL)
     return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), F.octet_length("text").cast("bigint").alias("decoded_bytes"))
 
 

@@ -34,7 +34,7 @@ STRIPE_BYTES = 64 << 20
 SLICE = 2048
 BLOOM_FPP = 0.01
 #: Chunks and parts of a generation whose ids a worker remembers at most, besides those of one batch.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 #: Where a lower-cased chunk is cut: between an ASCII letter and an ASCII digit or symbol other than an apostrophe.
 _CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-@[-`{-~])|(?<=[!-&(-@[-`{-~])(?=[a-z])")
 #: Parts that are one word of letters, before and after normalization.

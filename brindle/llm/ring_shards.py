@@ -59,15 +59,15 @@ def place(counts: dict[int, int], n_shards: int, virtual_nodes: int = VIRTUAL_NO
 
 
 def assign(df: DataFrame, key: Column, ties: list[Column], n_shards: int, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
-    """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
+    """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard), in place of columns of these names.
 
     One shuffle of the rows given, by cell; the plan of at most CELLS + shards x points intervals
     is broadcast.
     """
-    spark, names = df.sparkSession, [c for c in df.columns if c not in ("shard", "slot")]
-    hashed = df.withColumn("_h", F.xxhash64(key)).withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS).cast("int"))
-    counts = {r[0]: r[1] for r in hashed.groupBy("_cell").count().collect()}
-    plan = spark.createDataFrame(place(counts, n_shards, virtual_nodes) or [(-1, 0, 0, 0, 0)], "_cell int, _lo bigint, _hi bigint, shard int, _slot bigint")
-    ranked = hashed.withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy("_h", *ties)).cast("bigint") - 1)
-    hit = (ranked["_cell"] == plan["_cell"]) & (ranked["_rank"] >= plan["_lo"]) & (ranked["_rank"] < plan["_hi"])
-    return ranked.join(F.broadcast(plan), hit).select(*[ranked[c] for c in names], "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    spark, kept = df.sparkSession, [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    hashed = df.select(F.struct(*kept).alias("row"), F.xxhash64(key).alias("h"), F.struct(*ties).alias("ties")).withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int"))
+    counts = {r[0]: r[1] for r in hashed.groupBy("cell").count().collect()}
+    plan = spark.createDataFrame(place(counts, n_shards, virtual_nodes) or [(-1, 0, 0, 0, 0)], "cell int, lo bigint, hi bigint, shard int, first bigint")
+    ranked = hashed.withColumn("n", F.row_number().over(W.partitionBy("cell").orderBy("h", "ties")).cast("bigint") - 1)
+    hit = (ranked["cell"] == plan["cell"]) & (ranked["n"] >= plan["lo"]) & (ranked["n"] < plan["hi"])
+    return ranked.join(F.broadcast(plan), hit).select("row.*", "shard", (F.col("first") + F.col("n") - F.col("lo")).alias("slot"))

@@ -157,5 +157,5 @@ def score(documents: DataFrame, model: Machine, keep: list[str], name: str = "sc
 
         return step
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema)
-    return arrow_map(documents.select(F.col("text").alias("_text"), *kept), f"{kinds}, `{name}` double", make)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[f"`{c}`" for c in kept]).schema)
+    return arrow_map(documents.select(F.col("text").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept, 1)]), f"{kinds}, `{name}` double", make)

@@ -19,16 +19,23 @@ THRESHOLD = 0.5
 NEAR_DUP_WIDTH = 5
 
 
+def _fresh(docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    return "probability" + "_" * (1 + max(map(len, docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model finds good."""
     model = quality_gam.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_gam.score(docs, model, docs.columns, "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    name = _fresh(docs)
+    return quality_gam.score(docs, model, docs.columns, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model finds clean."""
     model = toxicity_fm.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity_fm.score(docs, model, docs.columns, "_toxic").where(F.col("_toxic") < THRESHOLD).drop("_toxic")
+    name = _fresh(docs)
+    return toxicity_fm.score(docs, model, docs.columns, name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

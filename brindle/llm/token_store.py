@@ -33,8 +33,8 @@ STRIPE_BYTES = 64 << 20
 #: Texts encoded at once.
 SLICE = 2048
 BLOOM_FPP = 0.01
-#: Chunks and parts of a generation whose ids a worker remembers at most, besides those of one batch.
-REMEMBERED = 200_000
+#: Parts of a generation whose ids a worker remembers at most, besides those of one batch.
+REMEMBERED = 300_000
 #: Where a lower-cased chunk is cut: between an ASCII letter and an ASCII digit or symbol other than an apostrophe.
 _CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-@[-`{-~])|(?<=[!-&(-@[-`{-~])(?=[a-z])")
 #: Parts that are one word of letters, before and after normalization.
@@ -65,7 +65,7 @@ class _Encoder:
     a token span an ASCII letter and an ASCII digit or symbol other than an apostrophe, and the case
     of letters doesn't matter. So a text's ids are those of its chunks between ASCII white space,
     and a chunk's those of the parts that _CUT leaves. A batch's chunks are numbered by Arrow, the
-    distinct ones looked up, and the ids gathered. Texts that may hold a special token, and all texts
+    distinct ones cut and their parts looked up, and the ids gathered. Texts that may hold a special token, and all texts
     of other vocabularies, are encoded as they are.
     """
 
@@ -79,7 +79,7 @@ class _Encoder:
         tokens = self.library.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if suffix and t.endswith(suffix)]] = True
-        self.chunks, self.parts = _Generations(), _Generations()
+        self.parts = _Generations()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,15 +93,16 @@ class _Encoder:
             self.parts.young.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends))))
 
     def _chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
-        new = self.chunks.missing(chunks)
-        split = [[c] if c.isalpha() else _CUT.split(c) for c in new]
-        unseen = self.parts.missing(set().union(*split))
-        self._learn_words([p for p in unseen if _LETTERS.fullmatch(p)])
-        rest = [p for p in unseen if not _LETTERS.fullmatch(p)]
+        split = [None if c.isalpha() else _CUT.split(c) for c in chunks]
+        wanted = {c for c, s in zip(chunks, split) if s is None}
+        wanted.update(*[s for s in split if s])
+        words, rest = [], []
+        for p in self.parts.missing(wanted):
+            (words if p.isalpha() or _LETTERS.fullmatch(p) else rest).append(p)
+        self._learn_words(words)
         known = self.parts.young
         known.update(zip(rest, self._ids([p.decode() for p in rest])))
-        self.chunks.young.update((c, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for c, s in zip(new, split))
-        return [self.chunks.young[c] for c in chunks]
+        return [known[c] if s is None else known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s]) for c, s in zip(chunks, split)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of a string array, one text after the other, and each text's number of ids."""
@@ -111,10 +112,12 @@ class _Encoder:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(whole), "", texts)))
         numbered = lists.flatten().dictionary_encode()
         ids = self._chunk_ids(numbered.dictionary.cast(pa.binary()).to_pylist())
-        at, sizes = numbered.indices.to_numpy(zero_copy_only=False), np.array([len(x) // 4 for x in ids], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        so_far = np.concatenate([[0], np.cumsum(sizes[at])])
-        gathered = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(starts[at] - so_far[:-1], sizes[at]) + np.arange(so_far[-1])]
+        at, sizes = numbered.indices.to_numpy(zero_copy_only=False), np.array([len(x) // 4 for x in ids], np.int32)
+        starts, n = np.cumsum(sizes, dtype=np.int32) - sizes, sizes[at]
+        so_far = np.concatenate([np.zeros(1, np.int32), np.cumsum(n, dtype=np.int32)])
+        index = np.arange(so_far[-1], dtype=np.int32)
+        index += np.repeat(starts[at] - so_far[:-1], n)
+        gathered = np.frombuffer(b"".join(ids), np.uint32)[index]
         ends = so_far[lists.offsets.to_numpy()]
         if not own:
             return gathered, np.diff(ends)
@@ -141,10 +144,11 @@ def write_store(documents: DataFrame, path: str, vocabulary: str, end_id: int =
         def step(batch: pa.RecordBatch) -> list:
             nonlocal start
             ids, counts = encode(batch.column(1))
-            tokens = np.full(len(ids) + len(counts), end_id, np.int32)
-            tokens[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-            counts = counts + 1
+            counts = counts.astype(np.int64) + 1
             ends = np.cumsum(counts)
+            tokens, inner = np.full(ends[-1], end_id, np.int32), np.ones(ends[-1], bool)
+            inner[ends - 1] = False
+            tokens[inner] = ids
             rows = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(tokens))
             starts, start = start + ends - counts, start + int(ends[-1])
             return [batch.column(0), starts, counts, rows]

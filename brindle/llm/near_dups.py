@@ -110,29 +110,30 @@ def _buckets(keep, first: np.ndarray, ids: np.ndarray, second: np.ndarray, openi
         for i in range(n):
             for j in range(i):
                 keep(0, 0, members[:, i], members[:, j])
-    for at, n, is_shared in zip(start[(size > SMALL_BUCKET) | shared], size[(size > SMALL_BUCKET) | shared], shared[(size > SMALL_BUCKET) | shared]):
+    large = (size > SMALL_BUCKET) | shared
+    for at, n, is_shared in zip(start[large], size[large], shared[large]):
         here = row[at : at + n]
-        members, bucket = ids[here], names[at]
-        c = _centre(second[here]) if n > SMALL_BUCKET else 0
-        if n > SMALL_BUCKET:
-            keep(0, 0, np.delete(members, c), np.full(n - 1, members[c]))
-        keep(1, bucket, members, members)
+        members = ids[here]
+        c = _centre(second[here], members)
+        keep(1, members[c], np.delete(members, c), np.full(n - 1, members[c]))
         if is_shared:
-            keep(2, bucket, members[c : c + 1], members[c : c + 1])
+            keep(2, names[at], members[c : c + 1], members[c : c + 1])
 
 
-def _centre(second: np.ndarray) -> int:
-    """The member that agrees with the commonest value of each column most often."""
+def _centre(second: np.ndarray, ids: np.ndarray) -> int:
+    """The member that agrees with the commonest value of each column most often; of equals the least id,
+    so that the buckets of one group of near copies have few centres."""
     agree = np.zeros(len(second), np.int64)
     for j in range(SIDE):
         values, back, n = np.unique(second[:, j], return_inverse=True, return_counts=True)
         agree += back == np.argmax(n)
-    return int(np.argmax(agree))
+    best = np.flatnonzero(agree == agree.max())
+    return int(best[np.argmin(ids[best])])
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """Links (kind, bucket, a, b) of the buckets: kind 0 a link to verify (a < b); 1 the bucket of a large
-    bucket's member a; 2 a centre (a) of a bucket that other partitions may hold too."""
+    """Links (kind, bucket, a, b) with a <= b. Kind 0: two members of a small bucket; 1: a member and the centre
+    (``bucket``) of a large bucket; 2: the centre (a) of a part of a bucket that other partitions may hold too."""
     rows = classes.select("class_id", "keys", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.substring(F.col("keys"), i * 4 + 1, 4))).alias("i", "part"))
     rows = rows.select(F.xxhash64("i", "part").alias("first"), "class_id", F.expr(f"substring(keys, {4 * SIDE + 1}, {4 * SIDE})").alias("second"))
     ordered = rows.repartitionByRange("first", "class_id").sortWithinPartitions("first", "class_id")
@@ -237,7 +238,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) ->
     found = materialize(candidate_links(classes), "links", passing)
     spans = found.where("kind = 2").groupBy("bucket").agg(F.min("a").alias("a"))
     across = found.where("kind = 2").select("bucket", F.col("a").alias("b")).join(spans, "bucket").where("b > a").select("a", "b")
-    links = found.where("kind = 0").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
+    links = found.where("kind < 2").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
     links = materialize(links, "candidates", passing)
     sets = _sets_of(found, documents, width, passing)
     # first each class's commonest link, which mostly decides; then only what joins different components
@@ -250,7 +251,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) ->
     joined = _verified(materialize(rest, "rest", passing), sets, percent, ["x", "y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ok").distinct()
     sure = sure.unionByName(materialize(joined, "joined", passing))
     parts = connected(sure, passing)
-    more = materialize(_across_components(found, parts, sets, percent, passing), "across", passing)
+    more = materialize(_across_components(found, across, parts, sets, percent, passing), "across", passing)
     if not more.isEmpty():
         parts = connected(sure.unionByName(more), parts_at)
     else:
@@ -262,7 +263,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) ->
     return linked.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _across_components(found: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, passing: list[str]) -> DataFrame:
+def _across_components(found: DataFrame, across: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, passing: list[str]) -> DataFrame:
     """Links (a, b) between different components whose members share a large bucket.
 
     Components that meet in buckets form groups. Of each group, the members outside its largest
@@ -272,13 +273,14 @@ def _across_components(found: DataFrame, parts: DataFrame, sets: DataFrame, perc
     and what is reported follows its members and components, not its pairs.
     """
     label = parts.withColumnRenamed("id", "class_id")
-    members = found.where("kind = 1").select("bucket", F.col("a").alias("class_id")).join(label, "class_id", "left")
-    members = members.select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
-    mixed_ones = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "lo")
-    met = materialize(members.join(mixed_ones, "bucket").select("class_id", "component", "lo").distinct(), "met", passing)
-    group = connected(met.select(F.col("lo").alias("a"), F.col("component").alias("b")), passing).select(F.col("id").alias("component"), F.col("component").alias("grp"))
-    inside = met.select("class_id", "component").distinct().join(group, "component", "left").select("class_id", "component", F.coalesce("grp", "component").alias("grp"))
-    inside = materialize(inside, "groups", passing)
+    held = found.where("kind = 1").select("bucket", F.explode(F.array("a", "b")).alias("class_id")).unionByName(across.select(F.col("a").alias("bucket"), F.explode(F.array("a", "b")).alias("class_id")))
+    members = held.distinct().join(label, "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
+    members = materialize(members, "members", passing)
+    met = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "lo")
+    met = materialize(members.join(met, "bucket").where("component > lo").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct(), "met", passing)
+    group = connected(met, passing).select(F.col("id").alias("component"), F.col("component").alias("grp"))
+    group = group.unionByName(group.select(F.col("grp").alias("component"), "grp").distinct())
+    inside = materialize(members.select("class_id", "component").distinct().join(group, "component").select("class_id", "component", "grp"), "groups", passing)
     counts = inside.groupBy("grp", "component").agg(F.count("*").alias("n"))
     shape = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
     shape = shape.select("grp", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("asks"))

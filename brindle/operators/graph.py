@@ -189,7 +189,7 @@ def triples(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def local_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, triple, rank): for each query (query_id, pattern) the first entity whose name holds the pattern, and its triples."""
-    hit = entities.join(F.broadcast(queries), F.contains(F.lower("name"), F.lower("pattern")))
+    hit = entities.join(queries, F.contains(F.lower("name"), F.lower("pattern")))
     first = hit.groupBy("query_id").agg(F.min(F.struct("name", "id")).alias("e")).select("query_id", F.col("e.id").alias("id"))
     t = triples(relations, entities)
     own = first.join(t.withColumnRenamed("source_id", "id"), "id").select("query_id", "triple").unionByName(first.join(t.withColumnRenamed("target_id", "id"), "id").select("query_id", "triple")).distinct()
@@ -218,7 +218,7 @@ def rank_entities(related: DataFrame, asked: DataFrame, scores: DataFrame, k: in
 
     ``related``: query_id, id, type, name. ``asked``: query_id, q_type, q_name. ``scores``: id, pagerank, betweenness.
     """
-    pairs = related.join(F.broadcast(asked), "query_id", "left")
+    pairs = related.join(asked, "query_id", "left")
     point = F.when(F.col("name") == F.col("q_name"), 1.0).when(F.col("type") == F.col("q_type"), 0.5).otherwise(0.0)
     got = pairs.groupBy("query_id", "id").agg(F.sum(point).alias("s")).join(scores, "id", "left")
     got = got.select("query_id", "id", F.round(F.col("s") + 0.3 * F.coalesce("pagerank", F.lit(0.0)) + 0.2 * F.coalesce("betweenness", F.lit(0.0)), 6).alias("score"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
+from brindle.session import few
 
 
 def tokens(c: Column | str) -> Column:
@@ -43,10 +44,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def asked_counts(docs: DataFrame, terms: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
-    """(id, dl, term, tf) of the asked terms only: a document's tokens meet the broadcast distinct terms before any shuffle."""
+    """(id, dl, term, tf) of the asked terms only: a document's tokens meet the distinct terms
+    first; adaptive execution broadcasts these while they are small."""
     wanted = terms.select("term").distinct()
     rows = docs.select(F.col(id_column).alias("id"), tokens(content).alias("_t")).select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return rows.join(F.broadcast(wanted), "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return rows.join(wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def match(counts: DataFrame, terms: DataFrame, mode: str = "all") -> DataFrame:
@@ -92,14 +94,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: st
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avg_dl")))
     weights = df.crossJoin(F.broadcast(size))  # one row of statistics
-    scored = counts.join(F.broadcast(weights), "term").withColumn("part", part)
-    summed = scored.join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    scored = counts.join(weights, "term").withColumn("part", part)
+    summed = scored.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     return summed.withColumn("score", F.round(F.least(F.col("score") / clip, F.lit(1.0)) if clip else F.col("score"), 6))
 
 
 def contains_search(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """(query_id, id, score) of documents that hold a word of the query as a substring, by term frequency relevance."""
-    pairs = docs.select(F.col(id_column).alias("id"), F.col(content).alias("_c"), F.lower(content).alias("_low"), T.word_count(content).alias("_n")).crossJoin(F.broadcast(queries.select("query_id", T.words(F.lower("query_text")).alias("_q"))))
+    pairs = docs.select(F.col(id_column).alias("id"), F.col(content).alias("_c"), F.lower(content).alias("_low"), T.word_count(content).alias("_n")).crossJoin(few(queries.select("query_id", T.words(F.lower("query_text")).alias("_q"))))
     hits = F.aggregate("_q", F.lit(0), lambda a, t: a + ((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t)).cast("int"))
     return pairs.select("query_id", "id", F.when(F.col("_n") > 0, F.round(F.least(F.lit(1.0), hits / F.col("_n")), 6)).otherwise(0.0).alias("score")).where("score > 0")
 

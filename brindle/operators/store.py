@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions import text as T
+from brindle.session import few
 
 CHUNK_COLUMNS = (
     "id string, content string, document_id string, document_title string, document_type string, chunk_index int, start_char int, end_char int, token_count int, "
@@ -93,7 +94,7 @@ def visible(rows: DataFrame, users: DataFrame) -> DataFrame:
     own = users.select("user_id", F.explode("studies").alias("study_id")).distinct()
     listed = rows.join(own, "study_id")
     admins = users.where(F.array_contains("permissions", "admin")).select("user_id")
-    return listed.select("user_id", *rows.columns).unionByName(rows.crossJoin(F.broadcast(admins.limit(1000))).select("user_id", *rows.columns)).distinct()
+    return listed.select("user_id", *rows.columns).unionByName(rows.crossJoin(few(admins)).select("user_id", *rows.columns)).distinct()
 
 
 # --- snapshots ---------------------------------------------------------------------------------

@@ -41,6 +41,12 @@ def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: floa
     best k of each query are kept in every task before rows move (a group limit below the window).
     Of equal scores the columns ``tie_breaks`` (descending) and then the least id decide.
     """
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return search_blocks(chunks, queries, k, threshold=threshold, strict=strict, tie_breaks=tie_breaks, exclude_self=exclude_self)
+    return _search(chunks, queries, k, threshold, strict, tie_breaks, exclude_self)
+
+
+def _search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float, strict: bool, tie_breaks: tuple[str, ...], exclude_self: bool) -> DataFrame:
     base = chunks.select("id", *tie_breaks, F.col("embedding").alias("_v"), norm(F.col("embedding")).alias("_nv"))
     asked = queries.select("query_id", F.col("query_embedding").alias("_q"), norm(F.col("query_embedding")).alias("_nq"))
     n = F.col("_nv") * F.col("_nq")
@@ -53,14 +59,15 @@ def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: floa
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "id", "score", "rank")
 
 
-def search_blocks(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, **how) -> DataFrame:
-    """``search`` for any number of queries: as many scans of the chunks as there are blocks of queries."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    parts = [search(chunks, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, **how) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def search_blocks(
+    chunks: DataFrame, queries: DataFrame, k: int | None, block: int = QUERY_BLOCK, threshold: float = 0.7, strict: bool = False, tie_breaks: tuple[str, ...] = (), exclude_self: bool = False
+) -> DataFrame:
+    """``search`` for any number of queries: as many scans of the chunks as there are blocks of about ``block`` queries."""
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(n):
+        part = _search(chunks, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k, threshold, strict, tie_breaks, exclude_self)
+        out = part if out is None else out.unionByName(part)
     return out
 
 

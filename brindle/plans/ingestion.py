@@ -57,7 +57,7 @@ def query_graph(queries: DataFrame, entities: DataFrame, relations: DataFrame, s
     """
     asked = graph.advanced_entities(queries.select(F.col("query_id").alias("document_id"), F.col("query_text").alias("content")))
     asked = asked.withColumn("n", F.row_number().over(W.partitionBy("document_id").orderBy("pos"))).where("n <= 3").select(F.col("document_id").alias("query_id"), F.col("type").alias("q_type"), F.col("name").alias("q_name"))
-    hit = entities.join(F.broadcast(asked), (F.col("type") == F.col("q_type")) & F.contains("name", F.col("q_name")))
+    hit = entities.join(asked, (F.col("type") == F.col("q_type")) & F.contains("name", F.col("q_name")))
     hit = hit.withColumn("n", F.row_number().over(W.partitionBy("query_id", "q_type", "q_name").orderBy("name", "id"))).where("n <= 5").select("query_id", F.col("id").alias("start"))
     near = graph.paths(relations, hit.select("start").distinct(), hops).select("start", F.col("target").alias("id")).distinct()
     related = hit.join(near, "start").select("query_id", "id").unionByName(hit.select("query_id", F.col("start").alias("id"))).distinct()

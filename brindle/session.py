@@ -69,6 +69,13 @@ def release(spark: SparkSession, kept: list[str]) -> None:
     spark._jvm.System.gc()
 
 
+def few(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else the planner chooses."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder as soon as nothing reads it any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

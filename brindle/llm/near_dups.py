@@ -172,9 +172,9 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(link, f"kind tinyint, {_LINKS}")
 
 
-def _sets_of(found: DataFrame, documents: DataFrame, width: int, passing: list[str]) -> DataFrame:
+def _sets_of(links: DataFrame, documents: DataFrame, width: int, passing: list[str]) -> DataFrame:
     """(id, s): the full sets, as sorted hashes, of the classes that have any link to verify."""
-    ids = materialize(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", passing)
+    ids = materialize(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), "ids", passing)
     wanted = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary")).join(broadcast_if_small(ids), "id", "left_semi")
 
     def make():
@@ -240,7 +240,7 @@ def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) ->
     across = found.where("kind = 2").select("bucket", F.col("a").alias("b")).join(spans, "bucket").where("b > a").select("a", "b")
     links = found.where("kind < 2").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
     links = materialize(links, "candidates", passing)
-    sets = _sets_of(found, documents, width, passing)
+    sets = _sets_of(links, documents, width, passing)
     # first each class's commonest link, which mostly decides; then only what joins different components
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -273,7 +273,8 @@ def _across_components(found: DataFrame, across: DataFrame, parts: DataFrame, se
     and what is reported follows its members and components, not its pairs.
     """
     label = parts.withColumnRenamed("id", "class_id")
-    held = found.where("kind = 1").select("bucket", F.explode(F.array("a", "b")).alias("class_id")).unionByName(across.select(F.col("a").alias("bucket"), F.explode(F.array("a", "b")).alias("class_id")))
+    pairs = found.where("kind = 1").select("bucket", "a", "b").unionByName(across.select(F.col("a").alias("bucket"), "a", "b")).distinct()
+    held = pairs.select("bucket", F.col("a").alias("class_id")).unionByName(pairs.select("bucket", F.col("b").alias("class_id")))
     members = held.distinct().join(label, "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
     members = materialize(members, "members", passing)
     met = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "lo")

@@ -146,14 +146,14 @@ def _(spark, d):
 
 
 def both_chunks(spark, d):
-    """Documents that have a vector of the same number."""
-    rows = text_chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    """All documents, with the vector of the same number where there is one; vector search finds only those."""
+    rows = text_chunks(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
     return rows.withColumn("last_accessed", F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")))
 
 
 def both_queries(spark, d):
-    """Benchmark items that have a vector of the same number."""
-    return item_queries(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id")
+    """All benchmark items, with the vector of the same number where there is one."""
+    return item_queries(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
 
 
 _BOTH = f"""docs AS (SELECT doc_id AS id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),

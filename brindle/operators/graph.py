@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
-from brindle.session import materialize, release
+from brindle.session import few, materialize, release
 
 # --- extraction --------------------------------------------------------------------------------
 
@@ -322,13 +322,30 @@ def near_components(edges: DataFrame, eps: float = 0.5, least: int = 2) -> DataF
     """(id, community): density clusters by cosine distance of adjacency rows.
 
     With two points to a core, clusters are the components of the pairs that share
-    (1 - eps) x sqrt(degree x degree) neighbours; pairs come from shared neighbours only.
+    t x sqrt(degree x degree) neighbours, t = 1 - eps. Nodes of equal rows are one class. Where one
+    shared neighbour is enough (degree x degree up to 1 / t**2), a neighbour's classes are linked to
+    that of least degree. Other pairs share two neighbours and t**2 x degree of each, so they meet in
+    the first neighbours of both, of least degree first, and are counted on their full rows; thus a
+    hub's neighbours are not paired with each other for the hub alone.
     """
+    t2 = (1 - eps) ** 2
     deg = degrees(edges)
-    ways = materialize(both_ways(edges).join(deg.select(F.col("id").alias("u"), "degree"), "u"), "ways")
-    shared = ways.select("v", F.col("u").alias("a"), F.col("degree").alias("da")).join(ways.select("v", F.col("u").alias("b"), F.col("degree").alias("db")), "v").where("a < b")
-    close = shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("da").alias("da"), F.first("db").alias("db")).where(F.col("n") / F.sqrt(F.col("da") * F.col("db")) >= 1 - eps - 1e-9).select("a", "b")
-    parts = components(deg.select("id"), materialize(close, "close")).select("id", F.col("component").alias("community"))
+    near = both_ways(edges).join(deg.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v")
+    rows = near.groupBy("u").agg(F.transform(F.array_sort(F.collect_list(F.struct("dv", "v"))), lambda x: x["v"]).alias("near"))
+    rows = materialize(rows.withColumn("class_id", F.min("u").over(W.partitionBy("near"))), "rows")
+    classes = rows.where("u = class_id").select(F.col("u").alias("id"), "near", F.size("near").alias("d"))
+    at = classes.select("id", "d", F.explode("near").alias("v"))
+    first = at.groupBy("v").agg(F.min_by(F.struct("id", "d"), F.struct("d", "id")).alias("m"))
+    sure = at.join(first, "v").where((F.col("m.id") != F.col("id")) & (F.col("m.d") * F.col("d") <= 1 / t2 + 1e-9)).select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b"))
+    head = F.slice("near", F.lit(1), F.col("d") - F.greatest(F.lit(2), F.ceil(t2 * F.col("d") - 1e-9).cast("int")) + 1)
+    heads = classes.where("d > 1").select("id", "d", F.explode(head).alias("v"))
+    pairs = heads.select("v", F.col("id").alias("a"), F.col("d").alias("da")).join(heads.select("v", F.col("id").alias("b"), F.col("d").alias("db")), "v").where("a < b")
+    pairs = pairs.where((F.col("da") * t2 <= F.col("db") + 1e-9) & (F.col("db") * t2 <= F.col("da") + 1e-9)).select("a", "b").distinct()
+    side = lambda c: few(classes.select(F.col("id").alias(c), F.col("near").alias(f"near_{c}")))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = full.where(F.size(F.array_intersect("near_a", "near_b")) / F.sqrt(F.size("near_a") * F.size("near_b").cast("double")) >= 1 - eps - 1e-9).select("a", "b")
+    parts = components(classes.select("id"), materialize(sure.unionByName(close).distinct(), "close")).withColumnRenamed("id", "class_id")
+    parts = rows.select(F.col("u").alias("id"), "class_id").join(parts, "class_id").select("id", F.col("component").alias("community"))
     big = parts.groupBy("community").count().where(F.col("count") >= least).select("community")
     return parts.join(big, "community").select("id", "community")
 
@@ -377,39 +394,42 @@ def _small(edges: DataFrame) -> list:
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness), normalised, by one accumulation a source; sources are spread over tasks, the bounded graph is sent to each."""
     pairs = _small(edges)
-    near: dict = {}
-    for a, b in pairs:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    shared = edges.sparkSession.sparkContext.broadcast(near)
-    n = len(near)
+    names = sorted({x for p in pairs for x in p})
+    n, place = len(names), {x: i for i, x in enumerate(names)}
+    ends = np.array([(place[a], place[b]) for a, b in pairs], np.int64).reshape(-1, 2)
+    ways = np.concatenate([ends, ends[:, ::-1]])
+    ways = ways[np.lexsort((ways[:, 1], ways[:, 0]))]
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast((names, np.searchsorted(ways[:, 0], np.arange(n + 1)), np.ascontiguousarray(ways[:, 1])))
 
     def run(batches):
-        graph = shared.value
-        score = dict.fromkeys(graph, 0.0)
+        names, first, to = shared.value
+        place = {x: i for i, x in enumerate(names)}
+        score = np.zeros(len(names))
         for pdf in batches:
             for s in pdf["id"]:
-                order, back, count, far = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for u in queue:
-                    order.append(u)
-                    for v in graph[u]:
-                        if v not in far:
-                            far[v], count[v], back[v] = far[u] + 1, 0.0, []
-                            queue.append(v)
-                        if far[v] == far[u] + 1:
-                            count[v] += count[u]
-                            back[v].append(u)
-                owed = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in back[v]:
-                        owed[u] += count[u] / count[v] * (1 + owed[v])
-                    if v != s:
-                        score[v] += owed[v]
-        yield pd.DataFrame({"id": list(score), "part": np.fromiter(score.values(), float, len(score))})
+                s = place[s]
+                far, count, owed = np.full(len(names), -1), np.zeros(len(names)), np.zeros(len(names))
+                far[s], count[s] = 0, 1.0
+                edge, steps = np.array([s]), []
+                while len(edge):
+                    k = first[edge + 1] - first[edge]
+                    u, v = np.repeat(edge, k), to[np.repeat(first[edge] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                    far[v[far[v] < 0]] = len(steps) + 1
+                    on = far[v] == len(steps) + 1
+                    u, v = u[on], v[on]
+                    np.add.at(count, v, count[u])
+                    steps.append((u, v))
+                    edge = np.unique(v)
+                for u, v in reversed(steps):
+                    np.add.at(owed, u, count[u] / count[v] * (1 + owed[v]))
+                owed[s] = 0.0
+                score += owed
+        yield pd.DataFrame({"id": names, "part": score})
 
     kind = edges.schema["a"].dataType.simpleString()
-    parts = degrees(edges).select("id").repartition("id").mapInPandas(run, f"id {kind}, part double")
+    tasks = spark.sparkContext.defaultParallelism  # a number of its own, so that few ids aren't put into one task
+    parts = degrees(edges).select("id").repartition(tasks, "id").mapInPandas(run, f"id {kind}, part double")
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return parts.groupBy("id").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
 

@@ -227,19 +227,19 @@ def _(spark, d):
 
 @query("betweenness")
 def _(spark, d):
-    """On the property graph of regions and nations, whose size is fixed."""
-    return graph.betweenness(graph.undirected(relations(spark, d).where("type = 'part_of'")))
+    """On the property graph, with all customers and suppliers."""
+    return graph.betweenness(graph.undirected(relations(spark, d)))
 
 
 @query("louvain")
 def _(spark, d):
-    return graph.louvain(graph.undirected(relations(spark, d).where("type = 'part_of'")))
+    return graph.louvain(graph.undirected(relations(spark, d)))
 
 
 @query("density_communities", f"""WITH {_R}, ed AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM r WHERE type = 'part_of'), ways AS (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed)
     SELECT u AS id, min(u) OVER (PARTITION BY v) AS community FROM ways WHERE u LIKE 'n%'""")
 def _(spark, d):
-    return graph.near_components(graph.undirected(relations(spark, d).where("type = 'part_of'")))
+    return graph.near_components(graph.undirected(relations(spark, d)))
 
 
 @query("kmeans_communities")

@@ -1,13 +1,16 @@
 """Queries reach every row of their tables, against plain versions of them."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 
+from brindle.operators import graph
 from brindle.plans import catalog
 
+SMALL = "/root/testdata/sf0.001"
 PLACES = 6
 
 
@@ -59,3 +62,83 @@ def test_statistics_cover_all_documents(spark, folder):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = {r["id"]: r["score"] for r in catalog.QUERIES["hybrid_bm25"](spark, folder).where("query_id = 5").collect()}
     assert got == pytest.approx({i: 0.3 * s for i, s in plain_bm25(docs, "red zebra").items()}, abs=2e-9)
+
+
+# --- graph -------------------------------------------------------------------------------------
+
+
+def neighbours(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return near
+
+
+def some_edges(seed, n, m):
+    rng = random.Random(seed)
+    return sorted({(min(p), max(p)) for p in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if p[0] != p[1]})
+
+
+def frame(spark, pairs):
+    return spark.createDataFrame(pairs, "a bigint, b bigint")
+
+
+def hops(near, s):
+    far, queue = {s: 0}, [s]
+    for u in queue:
+        for v in near[u]:
+            if v not in far:
+                far[v] = far[u] + 1
+                queue.append(v)
+    return far
+
+
+def plain_betweenness(near):
+    far = {s: hops(near, s) for s in near}
+    count = {}
+    for s in near:
+        count[s] = {s: 1}
+        for v in sorted(far[s], key=far[s].get):
+            if v != s:
+                count[s][v] = sum(count[s][u] for u in near[v] if far[s][u] == far[s][v] - 1)
+    n, out = len(near), {}
+    for v in near:
+        part = sum(count[s][v] * count[v][t] / count[s][t] for s in near if s != v and v in far[s] for t in far[s] if t not in (s, v) and far[s][v] + far[v][t] == far[s][t])
+        out[v] = part / ((n - 1) * (n - 2))
+    return out
+
+
+def plain_near_components(near, t=0.5):
+    root = {u: u for u in near}
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    for a in near:
+        for b in near:
+            if a < b and len(near[a] & near[b]) >= t * math.sqrt(len(near[a]) * len(near[b])) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    sizes = Counter(map(find, near))
+    return {u: find(u) for u in near if sizes[find(u)] > 1}
+
+
+@pytest.mark.parametrize("name", ["betweenness", "louvain", "density_communities"])
+def test_graph_queries_reach_customers_and_suppliers(spark, name):
+    got = {r["id"][0] for r in catalog.QUERIES[name](spark, SMALL).select("id").collect()}
+    assert {"c", "s"} <= got
+
+
+def test_betweenness_brute_force(spark):
+    pairs = some_edges(1, 30, 45)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(frame(spark, pairs)).collect()}
+    assert got == pytest.approx(plain_betweenness(neighbours(pairs)), abs=1e-6)
+
+
+@pytest.mark.parametrize("pairs", [some_edges(2, 40, 60), some_edges(3, 25, 120), [(0, i) for i in range(1, 30)] + [(i, i + 100) for i in range(1, 15)], [(i, 50 + j) for i in range(6) for j in range(7)]])
+def test_near_components_brute_force(spark, pairs):
+    got = {r["id"]: r["community"] for r in graph.near_components(frame(spark, pairs)).collect()}
+    assert got == plain_near_components(neighbours(pairs))

@@ -359,24 +359,56 @@ def kmeans_communities(edges: DataFrame, k: int = 5, seed: int = 42) -> DataFram
     return KMeans(k=k, seed=seed, predictionCol="community").fit(rows).transform(rows).select("id", "community")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
-    """(source, id, hops) by breadth-first steps from every source at once; each step keeps only new pairs."""
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, hops) by breadth-first steps from every source at once, until no new pair is found; each step keeps only new pairs."""
     ways = materialize(both_ways(edges), "ways")
     seen = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")), "reached")
-    edge = seen
-    for h in range(1, most + 1):
+    edge, h = seen, 0
+    while True:
+        h += 1
         edge = edge.select("source", F.col("id").alias("u")).join(ways, "u").select("source", F.col("v").alias("id")).distinct().join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(h))
         edge = materialize(edge, "reached")
         if edge.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(edge)
-    return seen
+
+
+#: Nodes (about) whose distances to all others closeness finds at once, as bits of each row.
+CLOSENESS_BLOCK = 1024
 
 
 def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, closeness) of the sources, scaled by the share of nodes that they reach."""
-    n = nodes.count()
-    d = distances(edges, sources).groupBy(F.col("source").alias("id")).agg(F.sum("hops").alias("total"), (F.count("*") - 1).alias("reached"))
+    """(id, closeness) of the sources, scaled by the share of nodes that they reach. ``nodes`` has both ends of every edge.
+
+    Nodes are dealt into blocks. For each block every row holds a bit for each of its nodes: those reached
+    so far, and those reached by the last step. A step unites the neighbours' new bits, until there are none.
+    """
+    spark, n = nodes.sparkSession, nodes.count()
+    ways = materialize(both_ways(edges), "ways")
+    blocks = max(1, -(-n // CLOSENESS_BLOCK))
+    placed = nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    placed = materialize(placed.withColumn("slot", F.row_number().over(W.partitionBy("block").orderBy("id")) - 1), "slots")
+    sums, passing = None, []
+    for block, top in placed.groupBy("block").agg(F.max("slot")).orderBy("block").collect():
+        words = range(top // 64 + 1)
+        bit = lambda i: F.when((F.col("block") == block) & (F.floor(F.col("slot") / 64) == i), F.expr("shiftleft(1L, slot % 64)")).otherwise(F.lit(0).cast("bigint"))  # noqa: B023, E731
+        now = placed.select("id", F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("reached"), *[bit(i).alias(f"s{i}") for i in words], *[bit(i).alias(f"n{i}") for i in words])
+        now, hops, old = materialize(now, "bits", passing), 0, []
+        some = " OR ".join(f"n{i} <> 0" for i in words)
+        while not now.where(some).isEmpty():
+            hops, old, passing = hops + 1, passing, []
+            got = ways.join(now.where(some).select(F.col("id").alias("v"), *[f"n{i}" for i in words]), "v").groupBy(F.col("u").alias("id")).agg(*[F.bit_or(f"n{i}").alias(f"g{i}") for i in words])
+            new = now.select("id", "total", "reached", *[f"s{i}" for i in words]).join(got, "id", "left").select("id", "total", "reached", *[f"s{i}" for i in words], *[F.expr(f"coalesce(g{i} & ~s{i}, 0L)").alias(f"n{i}") for i in words])
+            found = F.expr(" + ".join(f"bit_count(n{i})" for i in words))
+            new = new.select("id", (F.col("total") + hops * found).alias("total"), (F.col("reached") + found).alias("reached"), *[F.expr(f"s{i} | n{i}").alias(f"s{i}") for i in words], *[f"n{i}" for i in words])
+            now = materialize(new, "bits", passing)
+            release(spark, old)
+        part = materialize(now.select("id", "total", "reached"), "sums")
+        release(spark, passing)
+        sums = part if sums is None else sums.unionByName(part)
+    if sums is None:
+        return sources.select("id", F.lit(0.0).alias("closeness"))
+    d = sums.join(sources.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("total").alias("total"), F.sum("reached").alias("reached"))
     return d.select("id", F.when((F.col("total") > 0) & F.lit(n > 1), F.round(F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1), 6)).otherwise(0.0).alias("closeness"))
 
 

@@ -142,3 +142,29 @@ def test_betweenness_brute_force(spark):
 def test_near_components_brute_force(spark, pairs):
     got = {r["id"]: r["community"] for r in graph.near_components(frame(spark, pairs)).collect()}
     assert got == plain_near_components(neighbours(pairs))
+
+
+def plain_closeness(near, n):
+    out = {}
+    for s in near:
+        far = hops(near, s)
+        total, reached = sum(far.values()), len(far) - 1
+        out[s] = reached / total * reached / (n - 1) if total else 0.0
+    return out
+
+
+def test_closeness_of_every_user(spark):
+    events = {r["event_id"]: r["user_id"] for r in spark.read.parquet(f"{SMALL}/events.parquet").collect()}
+    near = neighbours((u, events[e + 1]) for e, u in events.items() if e + 1 in events and events[e + 1] != u)
+    got = {r["id"]: r["closeness"] for r in catalog.QUERIES["closeness"](spark, SMALL).collect()}
+    assert got == pytest.approx(plain_closeness(near, len(near)), abs=1e-6)
+
+
+def test_closeness_of_a_long_path(spark, monkeypatch):
+    """Longer than any fixed number of steps, in blocks, with parts that don't reach each other."""
+    monkeypatch.setattr(graph, "CLOSENESS_BLOCK", 30)
+    pairs = [(i, i + 1) for i in range(36)] + [(100, 101)]
+    near = neighbours(pairs)
+    nodes = spark.createDataFrame([(i,) for i in [*near, 500]], "id bigint")
+    got = {r["id"]: r["closeness"] for r in graph.closeness(nodes, frame(spark, pairs), nodes).collect()}
+    assert got == pytest.approx({**plain_closeness(near, len(near) + 1), 500: 0.0}, abs=1e-6)

@@ -269,34 +269,65 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).withColumn("density", ratio)  # one row each
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, pagerank) on the undirected graph; what isolated nodes hold is dealt out evenly."""
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, pagerank) on the undirected graph; what isolated nodes hold is dealt out evenly.
+
+    Without a number of ``iterations`` it goes on until ranks change by less than ``tolerance`` in all, which
+    the damping brings about within ln(tolerance / 2) / ln(damping) steps on any graph.
+    """
     spark, kept, old = nodes.sparkSession, [], []
     n = nodes.count()
     ways = materialize(both_ways(edges).join(degrees(edges).select(F.col("id").alias("u"), "degree"), "u"), "ways")
     loose = nodes.join(degrees(edges), "id", "left_anti").select("id", F.lit(True).alias("loose"))
     base = materialize(nodes.join(loose, "id", "left").select("id", F.coalesce("loose", F.lit(False)).alias("loose")), "nodes")
     now = base.select("id", "loose", F.lit(1.0 / max(n, 1)).alias("r"))
-    for _ in range(iterations):
+    done = 0
+    while iterations is None or done < iterations:
         spare = now.where("loose").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s")).first()[0]
         into = ways.join(now.select(F.col("id").alias("u"), "r"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") / F.col("degree")).alias("in"))
-        now = materialize(base.join(into, "id", "left").select("id", "loose", ((1 - damping) / max(n, 1) + damping * (F.coalesce("in", F.lit(0.0)) + spare / max(n, 1))).alias("r")), "ranks", kept)
+        after = base.join(into, "id", "left").select("id", "loose", ((1 - damping) / max(n, 1) + damping * (F.coalesce("in", F.lit(0.0)) + spare / max(n, 1))).alias("r"))
+        after = materialize(after.join(now.select("id", F.col("r").alias("was")), "id"), "ranks", kept)
+        moved = after.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0
+        now, done = after.select("id", "loose", "r"), done + 1
         release(spark, old)
         old, kept = kept, []
+        if iterations is None and moved < tolerance:
+            break
     return now.select("id", F.round("r", 9).alias("pagerank"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, label): synchronous; each node takes its neighbours' commonest label, of equals the least. Counts combine before they move."""
+def label_propagation(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label): synchronous; each node takes its neighbours' commonest label, of equals the least. Counts combine before they move.
+
+    Without a number of ``rounds`` it goes on until labels are stable. Where they repeat with a period instead
+    (as the two sides of a bipartite graph may), each node gets the least label that it has in the period.
+    """
     spark, kept, old = edges.sparkSession, [], []
     ways = materialize(both_ways(edges), "ways")
     now = ways.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
+
+    def step(now: DataFrame) -> DataFrame:
         votes = ways.join(now.select(F.col("id").alias("v"), "label"), "v").groupBy("u", "label").agg(F.count("*").alias("n"))
-        now = materialize(votes.groupBy("u").agg(F.min(F.struct(-F.col("n"), "label")).alias("m")).select(F.col("u").alias("id"), F.col("m.label").alias("label")), "labels", kept)
+        return votes.groupBy("u").agg(F.min(F.struct(-F.col("n"), "label")).alias("m")).select(F.col("u").alias("id"), F.col("m.label").alias("label"))
+
+    seen: dict = {}
+    done = 0
+    while rounds is None or done < rounds:
+        now = materialize(step(now), "labels", kept)
+        done += 1
         release(spark, old)
         old, kept = kept, []
-    return now
+        if rounds is None:
+            mark = now.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")), F.sum(F.hash("label", "id").cast("bigint"))).first()
+            if mark in seen:
+                break
+            seen[mark] = done
+    period = done - seen[mark] if rounds is None else 1
+    least = now
+    for _ in range(period - 1):
+        now = materialize(step(now), "labels")
+        least = materialize(least.unionByName(now).groupBy("id").agg(F.min("label").alias("label")), "least")
+    return least
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def _pagerank_sql(n: int) -> str:
 
 @query("pagerank", _pagerank_sql(5))
 def _(spark, d):
-    return graph.pagerank(user_nodes(spark, d), user_edges(spark, d), 5).withColumn("pagerank", F.round("pagerank", 6))
+    return graph.pagerank(user_nodes(spark, d), user_edges(spark, d)).withColumn("pagerank", F.round("pagerank", 6))
 
 
 def _labels_sql(n: int) -> str:
@@ -209,7 +209,7 @@ def _labels_sql(n: int) -> str:
 
 @query("label_propagation", _labels_sql(3))
 def _(spark, d):
-    return graph.label_propagation(user_edges(spark, d), 3)
+    return graph.label_propagation(user_edges(spark, d))
 
 
 @query("connected_components", f"WITH RECURSIVE {_U}, c AS (SELECT id, id AS x FROM nodes UNION SELECT c.id, w.v FROM c JOIN ways w ON w.u = c.x) SELECT id, min(x) AS component FROM c GROUP BY id")

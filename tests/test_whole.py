@@ -168,3 +168,38 @@ def test_closeness_of_a_long_path(spark, monkeypatch):
     nodes = spark.createDataFrame([(i,) for i in [*near, 500]], "id bigint")
     got = {r["id"]: r["closeness"] for r in graph.closeness(nodes, frame(spark, pairs), nodes).collect()}
     assert got == pytest.approx({**plain_closeness(near, len(near) + 1), 500: 0.0}, abs=1e-6)
+
+
+def plain_labels(near):
+    now, states = {u: u for u in near}, []
+    while now not in states:
+        states.append(now)
+        votes = {u: Counter(now[v] for v in near[u]) for u in near}
+        now = {u: min(votes[u], key=lambda x: (-votes[u][x], x)) for u in near}  # noqa: B023
+    return {u: min(s[u] for s in states[states.index(now) :]) for u in near}
+
+
+def test_labels_until_stable(spark):
+    """A path, whose least label takes many rounds, beside a square and a star, whose labels swap sides."""
+    pairs = [(i, i + 1) for i in range(0, 9)] + [(0, 2), (20, 21), (21, 22), (22, 23), (20, 23), (30, 31), (30, 32)]
+    got = {r["id"]: r["label"] for r in graph.label_propagation(frame(spark, pairs)).collect()}
+    assert got == plain_labels(neighbours(pairs)) and len({got[i] for i in (30, 31, 32)}) == 1
+
+
+def test_pagerank_until_stable(spark):
+    pairs = [(0, i) for i in range(1, 6)] + [(5, 6)]
+    near = neighbours(pairs)
+    n, want = len(near), dict.fromkeys(near, 1 / len(near))
+    for _ in range(300):
+        want = {u: 0.5 / n + 0.5 * sum(want[v] / len(near[v]) for v in near[u]) for u in near}
+    nodes = spark.createDataFrame([(i,) for i in near], "id bigint")
+    got = {r["id"]: r["pagerank"] for r in graph.pagerank(nodes, frame(spark, pairs), damping=0.5, tolerance=1e-4).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize(("name", "operator"), [("label_propagation", "label_propagation"), ("pagerank", "pagerank")])
+def test_queries_set_no_number_of_rounds(spark, monkeypatch, name, operator):
+    given, run = [], getattr(graph, operator)
+    monkeypatch.setattr(graph, operator, lambda *a, **k: given.append((a, k)) or run(*a, 1))
+    catalog.QUERIES[name](spark, SMALL)
+    assert [k for a, k in given if not any(isinstance(x, int) for x in a)] == [{}]

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +73,77 @@ def shingle_hashes(words: list[bytes], width: int, hashes: WordHashes) -> np.nda
     return out
 
 
+class PartIds:
+    """Parts of texts -> their ids, remembered in bulk: the parts lie in one Arrow array, their ids in another.
+
+    ``learn`` gets distinct new parts and returns (the order in which it took them, all their ids in
+    that order, their numbers of ids). At most ``limit`` parts and ``LIMIT_BYTES`` bytes of them stay
+    from one batch to the next, those that were used last.
+    """
+
+    LIMIT_BYTES = 64 << 20
+
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int = 600_000):
+        self.learn, self.limit = learn, limit
+        self.parts = pa.array([], pa.binary())
+        self.ids, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.used, self.batches = np.empty(0, np.int32), 0
+
+    def __call__(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) of a binary array of parts, one part after the other, and where each part's begin (one number more)."""
+        self.batches += 1
+        at = self._places(parts)
+        self.used[at] = self.batches
+        n = self.sizes[at]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
+        kind = np.int32 if ends[-1] < 1 << 31 and len(self.ids) < 1 << 31 else np.int64
+        index = np.arange(ends[-1], dtype=kind)
+        index += np.repeat((self.starts[at] - ends[:-1]).astype(kind), n)
+        return self.ids[index], ends
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        at = pc.index_in(parts, value_set=self.parts)
+        if not at.null_count:
+            return at.to_numpy()
+        missed = at.is_null()
+        self.used[at.drop_null().to_numpy()] = self.batches
+        new = parts.filter(missed)
+        fresh = new.unique()
+        forgot = self._forget(fresh)
+        known = len(self.parts)
+        order, ids, sizes = self.learn(fresh.to_pylist())
+        fresh = fresh.take(pa.array(order))
+        self.parts = pa.concat_arrays([self.parts, fresh])
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, sizes]).astype(np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.used = np.concatenate([self.used, np.full(len(fresh), self.batches, np.int32)])
+        if forgot:  # places have changed
+            return pc.index_in(parts, value_set=self.parts).to_numpy()
+        out = at.fill_null(0).to_numpy().copy()
+        out[missed.to_numpy(zero_copy_only=False)] = pc.index_in(new, value_set=fresh).to_numpy() + known
+        return out
+
+    def _forget(self, fresh: pa.Array) -> bool:
+        """Keep what this batch uses, and of the rest what was used last, if ``fresh`` is too much for all to stay."""
+        if len(self.parts) + len(fresh) <= self.limit and self.parts.nbytes + fresh.nbytes <= self.LIMIT_BYTES:
+            return False
+        lengths, last = pc.binary_length(self.parts).to_numpy(), np.argsort(-self.used, kind="stable")
+        keep = np.zeros(len(last), bool)
+        keep[last] = (np.arange(len(last)) < self.limit // 2) & (np.cumsum(lengths[last], dtype=np.int64) < self.LIMIT_BYTES // 2)
+        keep |= self.used == self.batches
+        self.parts, self.ids = self.parts.filter(pa.array(keep)), self.ids[np.repeat(keep, self.sizes)]
+        self.sizes, self.used = self.sizes[keep], self.used[keep]
+        return True
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array without nulls, and where each text begins in them (one number more)."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.empty(0, np.uint8)), edges - edges[0]
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, for what is dear to load."""
     return sys.__dict__.setdefault("_brindle_process_cache", {})
@@ -83,10 +155,14 @@ BATCH_SETTINGS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "204
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = SLICE) -> DataFrame:
     """``df.mapInArrow``: ``make()`` is called once a task and gives a function from a slice of
-    at most ``rows`` rows to the list of output columns (arrays or lists)."""
+    at most ``rows`` rows to the list of output columns (arrays or lists).
+
+    Texts are long: where the session has Spark's defaults, it gets the bounds of BATCH_SETTINGS, for
+    this and later queries (plans read them when they run, so they can't be put back here).
+    """
     spark = df.sparkSession
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    for name, usual, most in BATCH_SETTINGS:  # texts are long: a batch is bounded by bytes, unless the session says otherwise
+    for name, usual, most in BATCH_SETTINGS:
         if spark.conf.get(name, usual) == usual:
             spark.conf.set(name, most)
 
@@ -102,8 +178,37 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
 
 
 def fold(remainder: int, divisor: int):
-    """Whether a row's ``doc_id`` has this crc32 remainder."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == remainder
+    """Whether a row's ``doc_id`` has this crc32 remainder; a null id has the empty text's, which is 0."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor == remainder
+
+
+def row_key(documents: DataFrame):
+    """A 64-bit key of a row's doc_id and text, null or not."""
+    return F.xxhash64(documents["doc_id"], documents["text"].cast("binary"))
+
+
+def fresh_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with a number if need be: a name that none of ``columns`` has in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (wanted, *(f"{wanted}{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that ``gone`` (doc_id, row: distinct, a written table) doesn't name by id, null or not, and key."""
+    return _named(documents, gone, "left_anti").select(documents.columns)
+
+
+def _named(documents: DataFrame, rows: DataFrame, how: str, name: str | None = None) -> DataFrame:
+    name = name or fresh_name("_row", documents.columns)
+    keyed = documents.withColumn(name, row_key(documents))
+    rows = broadcast_if_small(rows.select(F.col("doc_id").alias("_id"), F.col("row").alias("_key")))
+    return keyed.join(rows, (keyed[name] == rows["_key"]) & keyed["doc_id"].eqNullSafe(rows["_id"]), how)
+
+
+def once(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each of ``rows`` (doc_id, row: distinct, a written table)."""
+    name = fresh_name("_row", documents.columns)
+    return _named(documents, rows, "left_semi", name).dropDuplicates(["doc_id", name]).select(documents.columns)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:

@@ -45,27 +45,41 @@ def confidence(kind: Column, name: Column, matched: Column) -> Column:
     return F.least(F.lit(1.0), F.round(score, 6))
 
 
+def _typed_matches(c: Column, order: int, kind: str, pattern: str, group: int, accept: float, window: int) -> Column:
+    """array<struct<type, name, confidence, context, pos>> of one pattern's matches in a text, in text order.
+
+    A match starts where the last one ended, after the piece between them.
+    """
+    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (0, group)]
+    gaps = F.transform(F.split(c, pattern, -1), F.length)
+    both = F.filter(F.zip_with(F.zip_with(*found, lambda m, n: F.struct(m.alias("m"), n.alias("n"))), gaps, lambda x, g: F.struct(x["m"].alias("m"), x["n"].alias("n"), g.alias("g"))), lambda x: x["m"].isNotNull())
+    none = F.array().cast("array<struct<m:string,n:string,start:int>>")
+
+    def place(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["g"]
+        return F.struct((start + F.length(x["m"])).alias("at"), F.array_append(acc["out"], F.struct(x["m"].alias("m"), x["n"].alias("n"), start.alias("start"))).alias("out"))
+
+    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda acc: acc["out"])
+
+    def entity(x: Column, i: Column) -> Column:
+        name = F.upper(F.regexp_replace(T.strip(x["n"]), T.SPACE, " "))
+        return F.struct(
+            F.lit(kind).alias("type"), name.alias("name"), confidence(F.lit(kind), name, x["m"]).alias("confidence"),
+            T.context_window(c, x["start"], x["start"] + F.length(x["m"]), window).alias("context"), (F.lit(order << 40) + i).alias("pos"),
+        )
+
+    return F.filter(F.transform(placed, entity), lambda e: e["confidence"] > accept)
+
+
 def advanced_entities(docs: DataFrame, accept: float = 0.5, window: int = 100) -> DataFrame:
     """(document_id, type, name, confidence, context, pos): matches of the typed patterns, the best per type and name.
 
-    Positions come from the pieces between matches, as for personal data. Ties go to the first match.
+    One pass over the texts; only matches leave the row. Ties go to the first match: by pattern, then by place.
     """
     c = F.col("content")
-    parts = []
-    for order, (kind, p, group) in enumerate((k, p, g) for k, ps in V.ADVANCED_ENTITY_PATTERNS.items() for p, g in ps):
-        pattern = f"(?imU){p}"
-        whole, names = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-        both = F.zip_with(whole, names, lambda m, n: F.struct(m.alias("m"), n.alias("n")))
-        parts.append(docs.select("document_id", "content", F.lit(order).alias("pattern"), F.lit(kind).alias("type"), F.lit(pattern).alias("regex"), F.posexplode(both).alias("i", "x")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    name = F.upper(F.regexp_replace(T.strip("x.n"), T.SPACE, " "))
-    rows = rows.select("document_id", "content", "pattern", "type", "i", name.alias("name"), F.col("x.m").alias("matched"))
-    rows = rows.withColumn("confidence", confidence(F.col("type"), F.col("name"), F.col("matched"))).where(F.col("confidence") > accept)
-    start = F.instr(F.col("content"), F.col("matched")) - 1
-    rows = rows.withColumn("context", T.context_window("content", start, start + F.length("matched"), window)).withColumn("pos", F.col("pattern") * 1_000_000 + F.col("i"))
-    return best_entities(rows.select("document_id", "type", "name", "confidence", "context", "pos"), ["document_id"])
+    patterns = [(kind, p, group) for kind, ps in V.ADVANCED_ENTITY_PATTERNS.items() for p, group in ps]
+    found = F.concat(*[_typed_matches(c, order, kind, f"(?imU){p}", group, accept, window) for order, (kind, p, group) in enumerate(patterns)])
+    return best_entities(docs.select("document_id", F.explode(found).alias("e")).select("document_id", "e.*"), ["document_id"])
 
 
 def best_entities(entities: DataFrame, by: list[str]) -> DataFrame:

@@ -119,12 +119,16 @@ def _(spark, d):
 
 
 def type_communities(spark, d):
-    """A community for each nation's customers and suppliers of one market segment, summed up by names or numbers."""
-    member = table(spark, d, "nation").select((F.col("n_nationkey") % 9).cast("bigint").alias("community_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_id"))
+    """A community for the nations of one remainder by nine, with all their customers and suppliers, summed up by names or numbers."""
+    own = table(spark, d, "nation").select(F.col("n_nationkey"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_id"))
+    for t, k, nk, p in (("customer", "c_custkey", "c_nationkey", "c"), ("supplier", "s_suppkey", "s_nationkey", "s")):
+        own = own.unionByName(table(spark, d, t).select(F.col(nk).alias("n_nationkey"), F.concat(F.lit(p), F.col(k).cast("string")).alias("entity_id")))
+    member = own.select((F.col("n_nationkey") % 9).cast("bigint").alias("community_id"), "entity_id")
     return graph.community_summaries(member, entities(spark, d)).withColumn("level", F.lit(0))
 
 
-_GLOBAL = """m AS (SELECT CAST(n_nationkey % 9 AS BIGINT) AS community_id, 'n' || n_nationkey AS entity_id FROM nation)"""
+_GLOBAL = """m AS (SELECT CAST(n_nationkey % 9 AS BIGINT) AS community_id, 'n' || n_nationkey AS entity_id FROM nation
+    UNION ALL SELECT c_nationkey % 9, 'c' || c_custkey FROM customer UNION ALL SELECT s_nationkey % 9, 's' || s_suppkey FROM supplier)"""
 
 
 @query("global_search", f"""WITH {_E}, {_GLOBAL}, {_SUMMARY}, q AS (SELECT n_nationkey AS query_id, 'where is nation: ' || n_name AS t FROM nation)
@@ -150,20 +154,24 @@ def _(spark, d):
     return graph.local_search(_asked(spark, d), entities(spark, d), relations(spark, d))
 
 
-@query("drift_search")
+@query("drift_search", f"""WITH {_E}, {_R}, {_LOCAL}, {_GLOBAL}, {_SUMMARY},
+    g AS (SELECT query_id, summary, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, community_id) AS rank FROM
+        (SELECT query_id, community_id, summary, len(list_intersect(string_split('nation: ' || lower(pattern), ' '), string_split(lower(summary), ' '))) AS overlap FROM q, s) WHERE overlap > 0),
+    x AS (SELECT query_id, triple AS line, 0 AS side, rank FROM l WHERE rank <= 10 UNION ALL SELECT query_id, summary, 1, rank FROM g WHERE rank <= 10)
+    SELECT query_id, list(line ORDER BY side, rank)[1 : 20] AS context FROM x GROUP BY query_id""")
 def _(spark, d):
     asked = _asked(spark, d)
     found = graph.global_search(asked.select("query_id", F.concat(F.lit("nation: "), "pattern").alias("query_text")), type_communities(spark, d))
     return graph.drift_search(graph.local_search(asked, entities(spark, d), relations(spark, d)), found, type_communities(spark, d))
 
 
-@query("entity_ranking", f"""WITH {_E}, p AS (SELECT n_nationkey AS query_id, e.id, e.type, e.name, n_name, n_regionkey FROM nation JOIN e ON e.type IN ('nation', 'region'))
+@query("entity_ranking", f"""WITH {_E}, p AS (SELECT n_nationkey AS query_id, e.id, e.type, e.name, n_name, n_regionkey FROM nation CROSS JOIN e)
     SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
     (SELECT query_id, id, round(CASE WHEN name = n_name THEN 1.0 WHEN type = 'nation' THEN 0.5 ELSE 0.0 END + CAST(0.3 AS DOUBLE) * length(name) / 100 + CAST(0.2 AS DOUBLE) * 0.25, 6) AS score FROM p)) WHERE rank <= 10""")
 def _(spark, d):
-    some = entities(spark, d).where("type IN ('nation', 'region')")
+    some = entities(spark, d)
     queries = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.lit("nation").alias("q_type"), F.col("n_name").alias("q_name"))
-    related = some.crossJoin(F.broadcast(queries.select("query_id")))  # 25 queries
+    related = some.crossJoin(F.broadcast(queries.select("query_id")))  # all entities, 25 stated queries
     scores = some.select("id", (F.length("name") / 100).alias("pagerank"), F.lit(0.25).alias("betweenness"))
     return graph.rank_entities(related, queries, scores)
 
@@ -190,12 +198,12 @@ def _(spark, d):
 def _pagerank_sql(n: int) -> str:
     steps = ["r0 AS (SELECT id, CAST(1 AS DOUBLE) / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
     for i in range(n):
-        steps.append(f"""r{i + 1} AS (SELECT nodes.id, (1 - CAST(0.85 AS DOUBLE)) / (SELECT count(*) FROM nodes) + CAST(0.85 AS DOUBLE) * (coalesce(s, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT id FROM deg)) / (SELECT count(*) FROM nodes)) AS r
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT nodes.id, (1 - CAST(0.85 AS DOUBLE)) / (SELECT count(*) FROM nodes) + CAST(0.85 AS DOUBLE) * (coalesce(s, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT id FROM deg)) / (SELECT count(*) FROM nodes)) AS r
             FROM nodes LEFT JOIN (SELECT v AS id, sum(r / degree) AS s FROM ways JOIN r{i} ON r{i}.id = u JOIN deg ON deg.id = u GROUP BY v) USING (id))""")
     return f"WITH {_U}, {', '.join(steps)} SELECT id, round(r, 6) AS pagerank FROM r{n}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(40))
 def _(spark, d):
     return graph.pagerank(user_nodes(spark, d), user_edges(spark, d)).withColumn("pagerank", F.round("pagerank", 6))
 
@@ -203,11 +211,11 @@ def _(spark, d):
 def _labels_sql(n: int) -> str:
     steps = ["l0 AS (SELECT DISTINCT u AS id, u AS label FROM ways)"]
     for i in range(n):
-        steps.append(f"l{i + 1} AS (SELECT u AS id, arg_min(label, (-n, label)) AS label FROM (SELECT u, label, count(*) AS n FROM ways JOIN l{i} ON l{i}.id = v GROUP BY u, label) GROUP BY u)")
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT u AS id, arg_min(label, (-n, label)) AS label FROM (SELECT u, label, count(*) AS n FROM ways JOIN l{i} ON l{i}.id = v GROUP BY u, label) GROUP BY u)")
     return f"WITH {_U}, {', '.join(steps)} SELECT * FROM l{n}"
 
 
-@query("label_propagation", _labels_sql(3))
+@query("label_propagation", _labels_sql(12))
 def _(spark, d):
     return graph.label_propagation(user_edges(spark, d))
 
@@ -217,8 +225,9 @@ def _(spark, d):
     return graph.components(user_nodes(spark, d), user_edges(spark, d))
 
 
-@query("closeness", f"""WITH RECURSIVE {_U}, b AS (SELECT id AS source, id, 0 AS h FROM nodes WHERE id % 20 = 0 UNION SELECT b.source, w.v, b.h + 1 FROM b JOIN ways w ON w.u = b.id WHERE b.h < 8),
-    dist AS (SELECT source, id, min(h) AS h FROM b GROUP BY 1, 2), t AS (SELECT source, sum(h) AS total, count(*) - 1 AS reached FROM dist GROUP BY 1)
+@query("closeness", f"""WITH RECURSIVE {_U}, b(source, id, h) USING KEY (source, id) AS (SELECT id, id, 0 FROM nodes
+        UNION SELECT b.source, w.v, min(b.h) + 1 FROM b JOIN ways w ON w.u = b.id WHERE NOT EXISTS (SELECT 1 FROM recurring.b k WHERE k.source = b.source AND k.id = w.v) GROUP BY 1, 2),
+    t AS (SELECT source, sum(h) AS total, count(*) - 1 AS reached FROM b GROUP BY 1)
     SELECT source AS id, CASE WHEN total > 0 THEN round(CAST(reached AS DOUBLE) / total * reached / ((SELECT count(*) FROM nodes) - 1), 6) ELSE 0.0 END AS closeness FROM t""")
 def _(spark, d):
     nodes = user_nodes(spark, d)
@@ -236,8 +245,11 @@ def _(spark, d):
     return graph.louvain(graph.undirected(relations(spark, d)))
 
 
-@query("density_communities", f"""WITH {_R}, ed AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM r WHERE type = 'part_of'), ways AS (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed)
-    SELECT u AS id, min(u) OVER (PARTITION BY v) AS community FROM ways WHERE u LIKE 'n%'""")
+@query("density_communities", f"""WITH RECURSIVE {_R}, ed AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM r WHERE source_id <> target_id),
+    ways AS (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed), deg AS (SELECT u AS id, count(*) AS d FROM ways GROUP BY u),
+    close AS (SELECT x.u AS a, y.u AS b FROM ways x JOIN ways y ON x.v = y.v JOIN deg p ON p.id = x.u JOIN deg q ON q.id = y.u GROUP BY 1, 2, p.d, q.d HAVING count(*) / sqrt(p.d * q.d) >= 0.5 - 1e-9),
+    c AS (SELECT id, id AS x FROM deg UNION SELECT c.id, close.b FROM c JOIN close ON close.a = c.x)
+    SELECT id, min(x) AS community FROM c GROUP BY id HAVING count(*) >= 2""")
 def _(spark, d):
     return graph.near_components(graph.undirected(relations(spark, d)))
 
@@ -255,11 +267,11 @@ def reports(spark, d):
     k = F.col("c_custkey")
     subject = F.concat(F.lit("CU"), F.lpad((k % 10000).cast("string"), 4, "0"))
     drug = F.element_at(F.array(*map(F.lit, ["ASPIRIN", "placebo", "ibuprofen"])), (k % 3 + 1).cast("int"))
-    text = F.concat(F.lit("Subject "), subject, F.lit(" received treatment. Drug "), drug, F.lit(" in study "), F.lit("ST"), F.lpad((k % 7).cast("string"), 4, "0"), F.lit("; aeterm='headache'. "), subject, F.lit(" received "), drug, F.lit(". Lab "), F.lit("hemoglobin"), F.lit(" test done, dataset ADSL"))
+    text = F.concat(F.lit("Malted salty basted food was kept. Subject "), subject, F.lit(" received treatment. Drug "), drug, F.lit(" in study "), F.lit("ST"), F.lpad((k % 7).cast("string"), 4, "0"), F.lit("; aeterm='headache'. "), subject, F.lit(" received "), drug, F.lit(". Lab "), F.lit("hemoglobin"), F.lit(" test done, ALT and AST high, dataset ADSL"))
     return table(spark, d, "customer").select(k.alias("document_id"), text.alias("content"))
 
 
-_REPORTS = """rep AS (SELECT c_custkey AS document_id, 'Subject ' || s || ' received treatment. Drug ' || g || ' in study ST' || lpad(CAST(c_custkey % 7 AS VARCHAR), 4, '0') || '; aeterm=''headache''. ' || s || ' received ' || g || '. Lab hemoglobin test done, dataset ADSL' AS content
+_REPORTS = """rep AS (SELECT c_custkey AS document_id, 'Malted salty basted food was kept. Subject ' || s || ' received treatment. Drug ' || g || ' in study ST' || lpad(CAST(c_custkey % 7 AS VARCHAR), 4, '0') || '; aeterm=''headache''. ' || s || ' received ' || g || '. Lab hemoglobin test done, ALT and AST high, dataset ADSL' AS content
     FROM (SELECT c_custkey, 'CU' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS s, ['ASPIRIN', 'placebo', 'ibuprofen'][1 + c_custkey % 3] AS g FROM customer))"""
 
 
@@ -290,19 +302,22 @@ def _advanced_sql() -> str:
     parts = []
     for order, (kind, p, g) in enumerate((k, p, g) for k, ps in V.ADVANCED_ENTITY_PATTERNS.items() for p, g in ps):
         q = "(?im)" + p.replace("'", "''")
-        parts.append(f"SELECT document_id, '{kind}' AS type, unnest(regexp_extract_all(content, '{q}', 0)) AS m, unnest(regexp_extract_all(content, '{q}', {g})) AS n, {order} AS o FROM rep")
+        parts.append(f"SELECT document_id, content, '{kind}' AS type, regexp_extract_all(content, '{q}', 0) AS ms, regexp_extract_all(content, '{q}', {g}) AS ns, string_split_regex(content, '{q}') AS gaps, {order} AS o FROM rep")
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
     conf = f"least(1.0, round(CAST(0.6 AS DOUBLE) + CASE WHEN contains(m, '=') THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN type IN ('subject', 'study') AND regexp_matches(name, '^[A-Z]{{2}}\\d{{4}}$') THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN name IN ({', '.join(repr(t) for t in V.COMMON_TERMS)}) THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 6))"
-    return f"WITH {_REPORTS}, x AS (SELECT *, upper(regexp_replace(trim(n), '\\s+', ' ', 'g')) AS name FROM ({' UNION ALL '.join(parts)})) SELECT document_id, type, name, max({conf}) AS confidence FROM x GROUP BY 1, 2, 3"
+    return f"""WITH {_REPORTS}, y AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({' UNION ALL '.join(parts)})),
+        z AS (SELECT document_id, content, type, o, i, ms[i] AS m, upper(regexp_replace(trim(ns[i]), '\\s+', ' ', 'g')) AS name, CAST({size('gaps[1 : i]')} + {size('ms[1 : i - 1]')} AS BIGINT) AS place FROM y),
+        x AS (SELECT *, {conf} AS sure, substr(content, greatest(place - 100, 0) + 1, place + length(m) + 100 - greatest(place - 100, 0)) AS context FROM z)"""
 
 
-@query("advanced_entities", _advanced_sql())
+@query("advanced_entities", _advanced_sql() + " SELECT document_id, type, name, max(sure) AS confidence, arg_max(context, (sure, -o, -i)) AS context FROM x GROUP BY 1, 2, 3")
 def _(spark, d):
-    return graph.advanced_entities(reports(spark, d)).select("document_id", "type", "name", "confidence")
+    return graph.advanced_entities(reports(spark, d)).select("document_id", "type", "name", "confidence", "context")
 
 
-@query("merged_entities", _advanced_sql().replace("SELECT document_id, type, name, max(", "SELECT type, name, max(").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2").replace(" AS confidence FROM x", " AS confidence, count(DISTINCT document_id) AS n_documents FROM x"))
+@query("merged_entities", _advanced_sql() + ", b AS (SELECT document_id, type, name, max(sure) AS sure, arg_max(context, (sure, -o, -i)) AS context FROM x GROUP BY 1, 2, 3) SELECT type, name, max(sure) AS confidence, count(*) AS n_documents, arg_min(context, document_id) AS context FROM b GROUP BY 1, 2")
 def _(spark, d):
-    return graph.merge_entities(graph.advanced_entities(reports(spark, d))).select("type", "name", "confidence", F.size("document_ids").cast("bigint").alias("n_documents"))
+    return graph.merge_entities(graph.advanced_entities(reports(spark, d))).select("type", "name", "confidence", F.size("document_ids").cast("bigint").alias("n_documents"), "context")
 
 
 @query("advanced_relations")

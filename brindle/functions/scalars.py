@@ -60,14 +60,24 @@ def deep_get(json: Column | str, path: str, default: str | None = None) -> Colum
 
 
 def deep_set(json: Column | str, path: str, value: Column) -> Column:
-    """A JSON object with a string value set at a dotted path; what stood at its first key is replaced."""
-    key, *rest = path.split(".")
-    inner = F.to_json(F.named_struct(F.lit("v"), value))
-    inner = F.substring(inner, F.lit(6), F.length(inner) - 6)
-    for k in reversed(rest):
-        inner = F.concat(F.lit(f'{{"{k}":'), inner, F.lit("}"))
-    top = F.map_filter(F.coalesce(F.from_json(col(json), "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")), lambda k, _: k != key)
-    return F.to_json(F.map_concat(top, F.create_map(F.lit(key), F.parse_json(inner))))
+    """A JSON object with a string value set at a dotted path; all other keys stay, at every level.
+
+    Null or broken JSON counts as an empty object, and so does a value on the way that is no object.
+    """
+    kind = "map<string,variant>"
+    written = F.to_json(F.named_struct(F.lit("v"), value))
+    written = F.substring(written, F.lit(6), F.length(written) - 6)
+
+    def put(object_text: Column, keys: list[str]) -> Column:
+        key, *rest = keys
+        top = F.coalesce(F.from_json(object_text, kind), F.from_json(F.lit("{}"), kind))
+        if rest:
+            below = F.try_element_at(top, F.lit(key))
+            below = F.when(F.startswith(F.schema_of_variant(below), F.lit("OBJECT")), F.to_json(below)).otherwise(F.lit("{}"))
+        inner = put(below, rest) if rest else written
+        return F.to_json(F.map_concat(F.map_filter(top, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(inner))))
+
+    return put(col(json), path.split("."))
 
 
 def flatten_json(json: Column | str, depth: int = 4) -> Column:

@@ -106,13 +106,40 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside ``path``, then switch: a reader of the old table and a failed write do no harm."""
-    fresh = path.rstrip("/") + "_new"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
-    p, fs = _fs(df.sparkSession, path)
-    fs.delete(p, True)
-    fs.rename(_fs(df.sparkSession, fresh)[0], p)
+    """Write the table's next version, ``path``/v=n, complete when its marker file is there.
+
+    Readers (``load``) take the newest complete version, so none of them ever misses the table and a
+    failed write changes nothing. The version before stays, for those who still read it; older ones go.
+    """
+    spark = df.sparkSession
+    before = saved_versions(spark, path)
+    number = max(_numbers(spark, path), default=0) + 1
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/v={number}")
+    marker, fs = _fs(spark, f"{path}/_complete_{number}")
+    fs.create(marker, True).close()
+    for gone in before[:-1]:
+        fs.delete(_fs(spark, f"{path}/_complete_{gone}")[0], False)
+        fs.delete(_fs(spark, f"{path}/v={gone}")[0], True)
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str = "v=") -> list[int]:
+    p, fs = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+
+def saved_versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a saved table, oldest first."""
+    return _numbers(spark, path, "_complete_")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table written by ``save``."""
+    found = saved_versions(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v={found[-1]}")
 
 
 def backup(tables: dict[str, DataFrame], folder: str, name: str) -> str:

@@ -44,6 +44,8 @@ def start_ingest(stream: DataFrame, table: str, checkpoint: str, transform: Call
         before = versions(spark, table)
         if number - 1 in before:
             old = spark.read.parquet(f"{table}/v={number - 1}")
+        elif any(v < number for v in before):
+            raise ValueError(f"version {number - 1} of {table} is missing, but older ones are there")
         else:
             old = spark.createDataFrame([], "id string, content string, content_hash string, access_count bigint, last_accessed timestamp")
         new = transform(batch).select("id", "content")

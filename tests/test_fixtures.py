@@ -176,8 +176,37 @@ def test_files_and_backups(spark, tmp_path):
     assert store.cleanup_backups(spark, str(tmp_path / "b"), "2024-01-15") == ["2024-01-01"]
     assert store.restore(spark, str(tmp_path / "b"), "2024-02-01", ["t"])["t"].count() == 3
     store.save(spark.range(2), str(tmp_path / "t"))
-    store.save(spark.read.parquet(str(tmp_path / "t")).where("id = 1"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    store.save(store.load(spark, str(tmp_path / "t")).where("id = 1"), str(tmp_path / "t"))
+    store.save(spark.range(5), str(tmp_path / "t"))
+    assert store.load(spark, str(tmp_path / "t")).count() == 5 and store.saved_versions(spark, str(tmp_path / "t")) == [2, 3]
     assert export.writer("csv") is export.csv_sources
     with pytest.raises(ValueError):
         export.writer("pdf")
+
+
+def test_deep_set_keeps_siblings(spark):
+    import json
+
+    from brindle.functions import scalars as S
+
+    rows = spark.createDataFrame([('{"a":{"x":1,"b":0},"c":2}',), ('{"a":"text"}',), ("no json",), (None,), ('{"a":{"b":{"deep":true}}}',)], "j string")
+    got = [json.loads(r[0]) for r in rows.select(S.deep_set("j", "a.b", F.lit('q"v'))).collect()]
+    v = 'q"v'
+    assert got == [{"a": {"x": 1, "b": v}, "c": 2}, {"a": {"b": v}}, {"a": {"b": v}}, {"a": {"b": v}}, {"a": {"b": v}}]
+
+
+def test_entity_context_is_where_the_match_is(spark):
+    docs = spark.createDataFrame([(1, "salty water, malted. " + "x" * 200 + " alt was high")], "document_id int, content string")
+    got = [r for r in graph.advanced_entities(docs).collect() if r["name"] == "ALT"]
+    assert len(got) == 1 and got[0]["context"] == "x" * 99 + " alt was high"
+
+
+def test_ingest_refuses_lost_history(spark, tmp_path):
+    from brindle.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("1", "a")], "id string, content string").write.parquet(str(tmp_path / "table/v=-7"))
+    spark.createDataFrame([("2", "b")], "id string, content string").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, content string").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="missing"):
+        ingest.start_ingest(stream, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()

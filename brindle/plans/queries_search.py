@@ -124,7 +124,15 @@ def _(spark, d):
     return lexical.match(lexical.asked_counts(text_chunks(spark, d), terms), terms, "all")
 
 
-@query("fulltext_cover_density")
+_COVER = f"""WITH w AS (SELECT doc_id AS id, toks[i] AS term, i - 1 AS pos FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, {_tokens('text')} AS toks FROM documents))),
+    qt AS (SELECT item_id AS query_id, len(ts) AS n, t AS term FROM (SELECT item_id, list_distinct({_tokens('text')}) AS ts FROM benchmark), unnest(ts) AS u(t)),
+    hit AS (SELECT query_id, id FROM w JOIN qt USING (term) GROUP BY query_id, id HAVING count(DISTINCT term) = any_value(n)),
+    p AS (SELECT query_id, id, term, pos, n FROM hit JOIN w USING (id) JOIN qt USING (query_id, term)),
+    c AS (SELECT query_id, id, e, any_value(n) AS n, min(latest) AS s FROM (SELECT x.query_id, x.id, x.pos AS e, x.n, y.term, max(y.pos) AS latest FROM p x JOIN p y ON x.query_id = y.query_id AND x.id = y.id AND y.pos <= x.pos GROUP BY ALL) GROUP BY query_id, id, e HAVING count(*) = any_value(n)),
+    k AS (SELECT *, lag(s) OVER (PARTITION BY query_id, id ORDER BY e) AS before FROM c)"""
+
+
+@query("fulltext_cover_density", _COVER + _topk("SELECT query_id, id, round(r / (r + 1), 6) AS score FROM (SELECT query_id, id, sum(CAST(n AS DOUBLE) / (e - s + 1)) AS r FROM k WHERE before IS NULL OR s > before GROUP BY query_id, id)", 10))
 def _(spark, d):
     return lexical.top(lexical.cover_density(lexical.postings(text_chunks(spark, d)), lexical.query_terms(item_queries(spark, d))), 10)
 
@@ -156,8 +164,8 @@ def both_queries(spark, d):
     return item_queries(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
 
 
-_BOTH = f"""docs AS (SELECT doc_id AS id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-    asked AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
+_BOTH = f"""docs AS (SELECT doc_id AS id, text, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+    asked AS (SELECT item_id AS query_id, text, embedding FROM benchmark LEFT JOIN embeddings ON item_id = vec_id),
     w AS (SELECT id, t AS term, len(toks) AS dl FROM (SELECT id, {_tokens('text')} AS toks FROM docs), unnest(toks) AS u(t)),
     p AS (SELECT id, term, any_value(dl) AS dl, count(*) AS tf FROM w GROUP BY id, term),
     qt AS (SELECT query_id, len(ts) AS n_terms, t AS term FROM (SELECT query_id, list_distinct({_tokens('text')}) AS ts FROM asked), unnest(ts) AS u(t)),
@@ -240,13 +248,22 @@ def _(spark, d):
     return retrieval.semantic(hashed_chunks(spark, d), hashed_queries(spark, d), 10, hashed, 0.3)
 
 
-@query("diversified_rerank")
+_VARIED = f"""WITH RECURSIVE {_BOTH.replace('score >= 0.05', 'score >= 0.0')}, f AS ({_rrf_sql([('dense', 'CAST(0.7 AS DOUBLE)'), ('sparse', '(1 - CAST(0.7 AS DOUBLE))')], 20, 40)}),
+    r AS (SELECT query_id, id, score, rank, count(*) OVER (PARTITION BY query_id) AS n, list_distinct({sql_words('lower(substr(text, 1, 200))')}) AS words FROM f JOIN docs USING (id)),
+    g AS (SELECT query_id, 0 AS step, CAST([] AS STRUCT(id BIGINT, score DOUBLE, words VARCHAR[])[]) AS kept FROM (SELECT DISTINCT query_id FROM r WHERE n > 3)
+        UNION ALL SELECT g.query_id, step + 1, CASE WHEN len(kept) >= 10 OR len(list_filter(kept, lambda k: CASE WHEN len(list_distinct(k.words || r.words)) > 0 THEN CAST(len(list_intersect(k.words, r.words)) AS DOUBLE) / len(list_distinct(k.words || r.words)) ELSE 0 END > 0.7)) > 0
+            THEN kept ELSE list_append(kept, CAST({{'id': r.id, 'score': r.score, 'words': r.words}} AS STRUCT(id BIGINT, score DOUBLE, words VARCHAR[]))) END FROM g JOIN r ON r.query_id = g.query_id AND r.rank = step + 1),
+    v AS (SELECT query_id, k.id AS id, k.score AS score FROM (SELECT query_id, unnest(arg_max(kept, step)) AS k FROM g GROUP BY query_id) UNION ALL SELECT query_id, id, score FROM r WHERE n <= 3),
+    b AS (SELECT query_id, id, CASE WHEN id % 3 = 0 THEN round(score * CAST(1.1 AS DOUBLE), 6) ELSE score END AS score FROM v)"""
+
+
+@query("diversified_rerank", _VARIED + " SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM b")
 def _(spark, d):
     chunks = both_chunks(spark, d)
-    return retrieval.rerank(retrieval.hybrid(chunks, both_queries(spark, d), 20, threshold=0.0), chunks)
+    return retrieval.rerank(retrieval.hybrid(chunks, both_queries(spark, d), 20, threshold=0.0), chunks).drop("last_accessed")
 
 
-@query("cross_encoder_rerank")
+@query("cross_encoder_rerank", f"WITH {_BOTH.replace('score >= 0.05', 'score >= 0.0')} SELECT query_id, id, CAST(1 AS DOUBLE) AS score, rank FROM ({_rrf_sql([('dense', 'CAST(1 AS DOUBLE)'), ('bm', 'CAST(1 AS DOUBLE)')], 5, 10)})")
 def _(spark, d):
     return retrieval.rrf_then_rerank(both_chunks(spark, d), both_queries(spark, d), 5)
 
@@ -257,7 +274,12 @@ def _(spark, d):
     return retrieval.sources(fusion.with_chunks(vectors.search(chunks, both_queries(spark, d), 5, 0.05), chunks.select("id", "content")))
 
 
-@query("answer_prompts")
+_PROMPTS = f"""WITH {_BOTH}, f AS ({_rrf_sql([('dense', 'CAST(0.7 AS DOUBLE)'), ('sparse', '(1 - CAST(0.7 AS DOUBLE))')], 5, 10)}),
+    c AS (SELECT query_id, string_agg('[' || rank || '] ' || substr(text, 1, 500), E'\\n\\n' ORDER BY rank) AS context FROM f JOIN docs USING (id) GROUP BY query_id),
+    pr AS (SELECT query_id, '{retrieval.TEMPLATES['qa']}' || E'\\n\\nContext:\\n' || context || E'\\n\\nQuestion: ' || text AS prompt, 'No language model is configured.' AS answer FROM c JOIN asked USING (query_id))"""
+
+
+@query("answer_prompts", f"{_PROMPTS} SELECT *, len({sql_words('prompt')}) + len({sql_words('answer')}) AS tokens_used FROM pr")
 def _(spark, d):
     chunks, queries = both_chunks(spark, d), both_queries(spark, d)
     full = fusion.with_chunks(retrieval.hybrid(chunks, queries, 5, threshold=0.05), chunks.select("id", "content")).join(queries.select("query_id", "query_text"), "query_id")
@@ -326,18 +348,49 @@ def _(spark, d):
     return found.groupBy("document_id").agg((F.max("grp") + 1).alias("n_chunks"), F.count("*").alias("n_sentences"))
 
 
-@query("adaptive_chunks")
+_ADAPTIVE = f"""WITH r AS (SELECT doc_id, i AS pos, s[i] AS sentence, lower(s[i]) AS l FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM {_SENTENCES})),
+    v AS (SELECT doc_id, pos, sentence, [{_LETTERS}] AS e FROM r), n AS (SELECT *, lead(e) OVER (PARTITION BY doc_id ORDER BY pos) AS e2 FROM v),
+    c AS (SELECT doc_id, pos, sentence, CASE WHEN e2 IS NULL THEN NULL WHEN list_sum(e) * list_sum(e2) = 0 THEN 0.0 ELSE round(list_cosine_similarity(e, e2), 9) END AS sim FROM n),
+    q AS (SELECT doc_id, quantile_cont(sim, 0.25) AS cut FROM c GROUP BY doc_id),
+    g AS (SELECT doc_id, pos, sentence, coalesce(sum(CASE WHEN sim < cut - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM c JOIN q USING (doc_id)),
+    j AS (SELECT doc_id, CAST(grp AS INTEGER) AS grp, string_agg(sentence, ' ' ORDER BY pos) AS content FROM g GROUP BY doc_id, grp), jw AS (SELECT *, {sql_words('content')} AS w FROM j),
+    m AS (SELECT doc_id, 'doc' || doc_id || '_semantic_' || grp AS id, content, len(w) AS token_count FROM jw WHERE len(w) <= 100
+        UNION ALL SELECT doc_id, 'doc' || doc_id || '_semantic_split_' || grp || '_' || (s // 100), array_to_string(w[s + 1 : s + 100], ' '), len(w[s + 1 : s + 100]) FROM (SELECT *, unnest(range(0, len(w), 100)) AS s FROM jw WHERE len(w) > 100)),
+    good AS (SELECT doc_id FROM m GROUP BY doc_id HAVING doc_id % 2 = 0 OR count(*) BETWEEN 2 AND 20),
+    fixed AS ({_windows_sql("range(0, len(w), 80)", "fixed")})
+    SELECT 'doc' || doc_id AS document_id, id, content, token_count, 'semantic' AS method FROM m WHERE doc_id IN (SELECT doc_id FROM good)
+    UNION ALL SELECT document_id, id, content, token_count, 'fixed' FROM fixed WHERE document_id IN (SELECT 'doc' || doc_id FROM documents WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM good))"""
+
+
+@query("adaptive_chunks", _ADAPTIVE)
 def _(spark, d):
     docs = chunk_docs(spark, d)
     return chunking.adaptive_chunks(docs, letter_vectors(chunking.sentence_rows(docs)), 100, 20)
 
 
-@query("paragraph_chunks")
+_PACKED = f"""WITH RECURSIVE para AS (SELECT doc_id, i, regexp_replace(ps[i], '^\\s+|\\s+$', '', 'g') AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    pw AS (SELECT doc_id, i, p, {sql_words('p')} AS w FROM para WHERE p <> ''),
+    cut AS (SELECT doc_id, i, 0 AS s, p AS piece, len(w) AS n FROM pw WHERE len(w) <= 100 UNION ALL SELECT doc_id, i, s, array_to_string(w[s + 1 : s + 100], ' '), len(w[s + 1 : s + 100]) FROM (SELECT *, unnest(range(0, len(w), 100)) AS s FROM pw WHERE len(w) > 100)),
+    pieces AS MATERIALIZED (SELECT doc_id, piece, n, row_number() OVER (PARTITION BY doc_id ORDER BY i, s) AS i FROM cut),
+    k AS (SELECT doc_id, i, 0 AS chunk_index, piece AS content, n FROM pieces WHERE i = 1
+        UNION ALL SELECT k.doc_id, p.i, CASE WHEN k.n + p.n <= 100 THEN k.chunk_index ELSE k.chunk_index + 1 END, CASE WHEN k.n + p.n <= 100 THEN k.content || chr(10) || chr(10) || p.piece ELSE p.piece END, CASE WHEN k.n + p.n <= 100 THEN k.n + p.n ELSE p.n END
+        FROM k JOIN pieces p ON p.doc_id = k.doc_id AND p.i = k.i + 1)
+    SELECT 'doc' || doc_id AS document_id, chunk_index, 'doc' || doc_id || '_chunk_' || chunk_index AS id, arg_max(content, i) AS content, arg_max(n, i) AS token_count FROM k GROUP BY doc_id, chunk_index"""
+
+
+@query("paragraph_chunks", _PACKED)
 def _(spark, d):
     return chunking.paragraph_chunks(chunk_docs(spark, d), 100, r"\n")
 
 
-@query("markdown_chunks")
+_MARKDOWN = f"""WITH c AS (SELECT doc_id, 'lead' || chr(10) || '# First part' || chr(10) || text || chr(10) || '## Second part' || chr(10) || 'tail words' AS content FROM documents),
+    b AS (SELECT doc_id, string_split_regex(content, '(?m)^#{{1,6}}[ \\t]+[^\\n]*$') AS bodies, regexp_extract_all(content, '(?m)^#{{1,6}}[ \\t]+([^\\n]*)$', 1) AS titles FROM c),
+    s AS (SELECT doc_id, i - 1 AS section, regexp_replace(titles[i], '^\\s+|\\s+$', '', 'g') AS section_title, {sql_words('bodies[i + 1]')} AS w FROM (SELECT *, unnest(range(1, len(titles) + 1)) AS i FROM b))
+    SELECT 'doc' || doc_id AS document_id, CAST(section AS INTEGER) AS section, section_title, CAST(t AS INTEGER) AS start_token, array_to_string(w[t + 1 : t + 100], ' ') AS content, len(w[t + 1 : t + 100]) AS token_count
+    FROM (SELECT *, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(0, greatest(CAST(ceil((len(w) - 100) / 80.0) AS BIGINT), 0) * 80 + 1, 80) END) AS t FROM s)"""
+
+
+@query("markdown_chunks", _MARKDOWN)
 def _(spark, d):
     docs = chunk_docs(spark, d).withColumn("content", F.concat(F.lit("lead\n# First part\n"), "content", F.lit("\n## Second part\ntail words")))
     return chunking.markdown_chunks(docs, 100, 20)

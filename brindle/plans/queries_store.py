@@ -163,7 +163,11 @@ def _(spark, d):
     return export.json_rows(rows).select("query_id", is_json("document").alias("ok"))
 
 
-@query("export_markdown")
+_MARKDOWN = """WITH s AS (SELECT doc_id % 40 AS query_id, string_agg('### Source ' || doc_id || ' (' || doc_id || ')' || E'\\n\\n' || substr(text, 1, 500), E'\\n\\n' ORDER BY doc_id) AS s FROM documents GROUP BY 1)
+    SELECT item_id AS query_id, '# ' || text || E'\\n\\n## Answer\\n\\nanswer\\n\\n## Sources\\n\\n' || coalesce(s, '') AS document FROM benchmark LEFT JOIN s ON query_id = item_id"""
+
+
+@query("export_markdown", _MARKDOWN)
 def _(spark, d):
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("answer").alias("answer"))
     sources = chunks(spark, d).select((F.col("id") % 40).alias("query_id"), F.col("id").alias("rank"), "id", F.substring("content", 1, 500).alias("content"))

@@ -181,7 +181,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
 
 def score(documents: DataFrame, model: Gam, keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep`` of ``documents`` with ``name``, the probability that the text is good."""
-    kept = [c for c in keep if c != name]  # the score takes the place of a column of its name
+    kept = [c for c in keep if c.lower() != name.lower()]  # the score takes the place of a column of its name
     rows = documents.select(F.col("text").cast("binary").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept, 1)])
 
     def make():

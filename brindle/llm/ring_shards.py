@@ -64,7 +64,7 @@ def assign(df: DataFrame, key: Column, ties: list[Column], n_shards: int, virtua
     One shuffle of the rows given, by cell; the plan of at most CELLS + shards x points intervals
     is broadcast.
     """
-    spark, kept = df.sparkSession, [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    spark, kept = df.sparkSession, [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
     hashed = df.select(F.struct(*kept).alias("row"), F.xxhash64(key).alias("h"), F.struct(*ties).alias("ties")).withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int"))
     counts = {r[0]: r[1] for r in hashed.groupBy("cell").count().collect()}
     plan = spark.createDataFrame(place(counts, n_shards, virtual_nodes) or [(-1, 0, 0, 0, 0)], "cell int, lo bigint, hi bigint, shard int, first bigint")

@@ -146,7 +146,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", trainin
 
 def score(documents: DataFrame, model: Machine, keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep`` of ``documents`` with ``name``, the probability that the text is toxic."""
-    kept = [c for c in keep if c != name]  # the score takes the place of a column of its name
+    kept = [c for c in keep if c.lower() != name.lower()]  # the score takes the place of a column of its name
 
     def make():
         lookup = KnownTerms(model.known)

@@ -80,6 +80,11 @@ def deep_set(json: Column | str, path: str, value: Column) -> Column:
     return put(col(json), path.split("."))
 
 
+def generate_id() -> Column:
+    """A random id of 16 hexadecimal digits; a new one each time that a row is computed."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
+
+
 def flatten_json(json: Column | str, depth: int = 4) -> Column:
     """map<string,string> from dotted keys to values of a JSON object, nested up to ``depth`` levels."""
     pairs = F.map_entries(F.from_json(col(json), "map<string,string>"))

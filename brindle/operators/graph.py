@@ -154,6 +154,37 @@ def valid_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return relations.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
+def constraint_violations(**tables: tuple[DataFrame, str]) -> DataFrame:
+    """(constraint, key, n): ids that a table lacks or has more than once. ``tables``: name = (rows, id column).
+
+    What a graph store enforces as unique ids is here a check of the data, one aggregation a table.
+    """
+    found = None
+    for name, (df, key) in tables.items():
+        n = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).where(F.col("key").isNull() | (F.col("n") > 1))
+        one = n.select(F.lit(f"{name}_id_unique").alias("constraint"), "key", "n")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def sample_graph(spark) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of a small sample study (fixed values)."""
+    entities = [("entity_001", "subject", "STUDY001001"), ("entity_002", "treatment", "DRUG_A"), ("entity_003", "lab_test", "ALT")]
+    relations = [("rel_001", "entity_001", "entity_002", "received"), ("rel_002", "entity_001", "entity_003", "had")]
+    return spark.createDataFrame(entities, "id string, type string, name string"), spark.createDataFrame(relations, "id string, source_id string, target_id string, type string")
+
+
+def query_graph(kind: str, queries: DataFrame, entities: DataFrame, relations: DataFrame, communities: DataFrame, k: int = 10) -> DataFrame:
+    """A graph query by its kind: ``local``, ``global`` or ``drift``. ``queries``: query_id, query_text, pattern."""
+    if kind == "local":
+        return local_search(queries, entities, relations, k)
+    if kind == "global":
+        return global_search(queries, communities, k)
+    if kind == "drift":
+        return drift_search(local_search(queries, entities, relations, k), global_search(queries, communities, k), communities, k)
+    raise ValueError(f"unknown kind of graph query {kind!r}; there are local, global and drift")
+
+
 def find_entities(entities: DataFrame, kind: str | None = None, pattern: str | None = None, limit: int = 100) -> DataFrame:
     """By type and by a pattern anywhere in the name, in any case; by name, ``limit`` at most."""
     if kind is not None:

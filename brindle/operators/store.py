@@ -5,6 +5,7 @@ A change takes tables and gives the new table; ``save`` writes it beside the old
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -97,6 +98,31 @@ def visible(rows: DataFrame, users: DataFrame) -> DataFrame:
     return listed.select("user_id", *rows.columns).unionByName(rows.crossJoin(few(admins)).select("user_id", *rows.columns)).distinct()
 
 
+# --- ingestion tasks and object stores ---------------------------------------------------------
+
+
+def newest_tasks(tasks: DataFrame, limit: int = 50) -> DataFrame:
+    """The ``limit`` tasks created last, newest first. ``tasks``: id, created_at and what else there is."""
+    return tasks.orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def task_census(tasks: DataFrame) -> DataFrame:
+    """(status, n, first_created, last_created) of all tasks."""
+    return tasks.groupBy("status").agg(F.count("*").alias("n"), F.min("created_at").alias("first_created"), F.max("created_at").alias("last_created"))
+
+
+def insert_objects(rows: DataFrame, send, batch: int = 100) -> DataFrame:
+    """(n): how many objects each call of ``send`` took. It gets a list of at most ``batch`` rows as dicts, in the tasks;
+    a task that is run again sends its rows again, so ``send`` must insert by id."""
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                yield pd.DataFrame({"n": [int(send(frame.iloc[at : at + batch].to_dict("records")))]})
+
+    return rows.mapInPandas(run, "n bigint")
+
+
 # --- snapshots ---------------------------------------------------------------------------------
 
 

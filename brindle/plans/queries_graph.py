@@ -61,6 +61,11 @@ def _(spark, d):
     return count(entities(spark, d), "entity").unionByName(count(relations(spark, d), "relation"))
 
 
+@query("constraint_violations", f"WITH {_E}, {_R} SELECT 'entity_id_unique' AS constraint, id AS key, count(*) AS n FROM e GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'relation_id_unique', source_id, count(*) FROM r GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'user_id_unique', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2 HAVING count(*) > 1")
+def _(spark, d):
+    return graph.constraint_violations(entity=(entities(spark, d), "id"), relation=(relations(spark, d), "source_id"), user=(table(spark, d, "events"), "user_id"))
+
+
 @query("valid_relations", f"WITH {_E}, {_R} SELECT r.id FROM r WHERE source_id IN (SELECT id FROM e WHERE type <> 'supplier') AND target_id IN (SELECT id FROM e WHERE type <> 'supplier')")
 def _(spark, d):
     return graph.valid_relations(relations(spark, d), entities(spark, d).where("type <> 'supplier'")).select("id")

@@ -183,3 +183,18 @@ def _(spark, d):
 @query("study_export", "SELECT doc_id AS id, lang AS document_type FROM documents WHERE source = 'src1'")
 def _(spark, d):
     return export.study_rows(chunks(spark, d), "src1").select("id", "document_type")
+
+
+def tasks(spark, d):
+    """Events as ingestion tasks."""
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
+
+
+@query("newest_tasks", "SELECT event_id AS id, event_type AS status, ts AS created_at FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def _(spark, d):
+    return store.newest_tasks(tasks(spark, d))
+
+
+@query("task_census", "SELECT event_type AS status, count(*) AS n, min(ts) AS first_created, max(ts) AS last_created FROM events GROUP BY 1")
+def _(spark, d):
+    return store.task_census(tasks(spark, d))

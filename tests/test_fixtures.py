@@ -210,3 +210,45 @@ def test_ingest_refuses_lost_history(spark, tmp_path):
     stream = spark.readStream.schema("id string, content string").parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="missing"):
         ingest.start_ingest(stream, str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+
+
+def test_sample_graph_and_graph_queries(spark):
+    entities, relations = graph.sample_graph(spark)
+    assert graph.valid_relations(relations, entities).count() == 2 and graph.constraint_violations(entity=(entities, "id")).isEmpty()
+    asked = spark.createDataFrame([(1, "what had STUDY001001", "study001001")], "query_id int, query_text string, pattern string")
+    communities = spark.createDataFrame([(7, 0, "subject: STUDY001001")], "community_id int, level int, summary string")
+    got = graph.query_graph("local", asked, entities, relations, communities).collect()
+    assert [r["triple"] for r in got] == ["STUDY001001 had ALT", "STUDY001001 received DRUG_A"]
+    assert [r["community_id"] for r in graph.query_graph("global", asked, entities, relations, communities).collect()] == [7]
+    assert graph.query_graph("drift", asked, entities, relations, communities).first()["context"][-1] == "subject: STUDY001001"
+    with pytest.raises(ValueError):
+        graph.query_graph("other", asked, entities, relations, communities)
+
+
+def test_result_cache(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "query_id int, query_text string")
+    keys = {"mode": F.lit("hybrid"), "k": F.lit(2), "filters": F.lit(""), "study_id": F.lit(None).cast("string")}
+    asked = []
+
+    def search(q):
+        asked.append(sorted(r["query_id"] for r in q.collect()))
+        return q.select("query_id", F.col("query_id").cast("string").alias("id"), F.lit(0.5).alias("score"), F.lit(1).alias("rank"))
+
+    empty = spark.createDataFrame([], "key bigint, id string, score double, rank int")
+    got, new = retrieval.with_result_cache(empty, queries, search, keys)
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == [(1, "1"), (2, "2"), (3, "2")] and new.count() == 2
+    more = queries.unionByName(spark.createDataFrame([(4, "c")], "query_id int, query_text string"))
+    got, new = retrieval.with_result_cache(spark.createDataFrame(new.collect(), new.schema), more, search, keys)
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == [(1, "1"), (2, "2"), (3, "2"), (4, "4")]
+    assert asked == [[1, 2], [4]] and new.count() == 1
+
+
+def test_code_ids_and_objects(spark):
+    rows = spark.createDataFrame([(1, "make a table", 1, "text")], "query_id int, query_text string, rank int, content string")
+    fence = "`" * 3
+    got = retrieval.generated_code(rows, lambda prompts: [f"first {fence}x = 1{fence} last" for _ in prompts]).first()
+    assert got["code"] == ["x = 1"] and got["explanation"] == "first  last"
+    ids = [r[0] for r in spark.range(50).select(S.generate_id()).collect()]
+    assert len(set(ids)) == 50 and all(len(i) == 16 and int(i, 16) >= 0 for i in ids)
+    sent = store.insert_objects(spark.range(250).repartition(2), len, 100).collect()
+    assert sum(r["n"] for r in sent) == 250 and max(r["n"] for r in sent) <= 100

@@ -1,21 +1,29 @@
 """HTML extraction by layout-aware rendering.
 
-A tokenizer cuts the source into tags, text and raw elements; a tree builder opens implied
-parents, closes what the next tag ends (paragraphs, items, rows, cells, options) and ignores stray
-end tags; visibility rules prune scripts, styles, templates, ``hidden`` and ``display:none``
-branches and the like. The renderer emits all visible text: blocks on lines of their own,
-paragraph-like ones between blank lines, list items with marks and numbers, indented by depth,
-tables with columns padded to equal width, preformatted text as it stands.
-
-Edge cases: null, empty and text-free pages give the empty text; unclosed or crossed tags,
-unterminated comments and bare ``<`` are text or closed at the end as browsers do; nesting of any
-depth is walked without recursion; repeated rows give equal texts; an empty table gives no rows.
+A tokenizer cuts the source into tags, text and raw elements in one pass; a tree builder opens implied
+parents, closes what the next tag ends (paragraphs, items, rows, cells, options, the head) and ignores
+stray end tags; visibility rules prune scripts, styles, templates, ``hidden`` and ``display: none``
+branches and the like, and blank what is ``visibility: hidden`` but not what a part of it shows again.
+The renderer emits all visible text: blocks on lines of their own, paragraph-like ones between blank
+lines, list items with marks and numbers, indented by depth, tables as columns of equal width in
+which cells keep their lines and span rows and columns, preformatted text as it stands.
+
+Time and output grow with the page, however its tags are nested or left open: open elements are found
+by tag, not by walking the stack. Bounds on layout only, never on text: indentation stops to grow at
+``MOST_INDENT``, tables inside ``MOST_TABLES`` others are flowed like blocks, and a table whose
+spanned rows take more than ``MOST_STEPS`` steps to lay out goes on without spans of rows.
+
+Edge cases: null, empty and text-free pages give the empty text; unclosed or crossed tags are closed as
+browsers do, a tag or comment that never ends swallows the rest of the page as it does there, and
+``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text; closed ``details`` count as seen;
+repeated rows give equal texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +32,15 @@ from brindle.llm.texts import arrow_map
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noframes textarea title xmp".split())
-INVISIBLE = frozenset("head script style noscript template iframe noframes object svg math audio video canvas datalist dialog".split())
+INVISIBLE = frozenset("head title script style noscript template iframe noframes object audio video canvas datalist desc defs metadata annotation annotation-xml rp".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta title script style noscript noframes template".split())
 #: Blocks that stand between blank lines, and blocks that only start a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure fieldset".split())
-LINED = frozenset("html body div section article aside nav main header footer address form li dt dd tr caption legend details summary figcaption center option hgroup search menu".split())
+LINED = frozenset("html body div section article aside nav main header footer address form li dt dd tr caption legend details summary dialog figcaption center option hgroup search menu".split())
 BLOCKS = SPACED | LINED
 LISTS = frozenset(("ul", "ol", "menu"))
+CELLS = frozenset(("td", "th"))
 #: A start tag that ends open elements: tag -> (the elements it ends, the elements that stop the search).
 ENDS = {
     "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -37,12 +48,24 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_P_STOPS = frozenset(("td", "th", "li", "table", "button"))
+#: End tags that close elements beyond the borders of a cell or table.
+_CROSSING = BLOCKS | CELLS | {"tbody", "thead", "tfoot"}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SKIP = re.compile(r"[\s/]*")
+_SPACE = re.compile(r"\s*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
-#: Tables inside tables that are laid out at most.
-_DEPTH = 20
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I) for tag in RAW}
+_DECLARATION = re.compile(r"""\s*([\w-]+)\s*:((?:[^;"'()]|"[^"]*"|'[^']*'|\([^()]*\))*)(?:;|\Z)|[^;]*(?:;|\Z)""")
+#: Input types whose value is seen.
+_SEEN_INPUTS = frozenset("text search url tel email number date month week time datetime-local submit button reset".split()) | {""}
+MOST_INDENT = 64
+MOST_TABLES = 20
+MOST_STEPS = 500_000
+#: Columns that a cell spans at most (fixed value of the format).
+MOST_SPAN = 1000
 
 
 class Node:
@@ -52,86 +75,186 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
-def _attributes(source: str) -> dict[str, str]:
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that begin at ``at`` inside a tag, and the place behind the tag; -1 if it never ends."""
     found: dict[str, str] = {}
-    for name, value in _ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in "\"'" and value[:1] else value))
-    return found
+    while True:
+        at = _SKIP.match(source, at).end()
+        if at >= len(source):
+            return found, -1
+        if source[at] == ">":
+            return found, at + 1
+        name = _ATTRIBUTE.match(source, at)
+        at, value = _SPACE.match(source, name.end()).end(), ""
+        if source[at : at + 1] == "=":
+            at = _SPACE.match(source, at + 1).end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = source[at + 1 : end], end + 1
+            else:
+                plain = _UNQUOTED.match(source, at)
+                value, at = plain[0], plain.end()
+        found.setdefault(name[0].lower(), html.unescape(value))
 
 
-def build(source: str) -> Node:
-    """The tree of a page; text is kept as ``str`` children with entities resolved."""
-    root = Node("html")
-    stack, at = [root], 0
+class _Builder:
+    """The stack of open elements, with the depths of each tag, so that an element is found without a walk."""
+
+    def __init__(self):
+        self.root = Node("html")
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node, open_it: bool = True) -> None:
+        self.stack[-1].children.append(node)
+        if open_it:
+            self.depths[node.tag].append(len(self.stack))
+            self.stack.append(node)
 
-    def close(ends, stops) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in ends:
-                del stack[depth:]
-            elif stack[depth].tag in stops:
-                return
+    def cut(self, depth: int) -> None:
+        """Close the elements from ``depth`` on."""
+        for node in self.stack[depth:]:
+            self.depths[node.tag].pop()
+        del self.stack[depth:]
 
-    def text(raw: str) -> None:
+    def deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def close(self, ends, stops) -> None:
+        """Close the open elements ``ends`` above the nearest of ``stops``."""
+        floor = self.deepest(stops)
+        while (depth := self.deepest(ends)) > floor:
+            self.cut(depth)
+
+    def text(self, raw: str) -> None:
         if raw:
-            stack[-1].children.append(html.unescape(raw))
+            if self.stack[-1].tag == "head" and raw.strip():
+                self.cut(len(self.stack) - 1)
+            self.stack[-1].children.append(html.unescape(raw))
 
-    while at < len(source):
-        token = _TOKEN.search(source, at)
-        if token is None:
-            text(source[at:])
-            break
-        text(source[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            continue
-        tag = token[2].lower()
-        if token[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            elif tag == "br":
-                stack[-1].children.append(Node("br"))
-            else:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        del stack[depth:]
-                        break
-                    if stack[depth].tag in ("td", "th", "table") and tag not in BLOCKS | {"td", "th", "tbody", "thead", "tfoot"}:
-                        break
-            continue
-        attrs = _attributes(token[3]) if token[3] else {}
-        if tag == "html":
-            root.attrs.update(attrs)
-            continue
+    def start(self, tag: str, attrs: dict[str, str]) -> Node:
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.cut(len(self.stack) - 1)
         if tag in BLOCKS or tag == "hr":
-            close({"p"}, {"td", "th", "li", "table", "button"})
-            if stack[-1].tag == "head" or any(n.tag == "head" for n in stack):
-                close({"head"}, set())
+            self.close(("p",), _P_STOPS)
         if tag in ENDS:
-            close(*ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag not in ("tr",):
-            if stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
-                stack[-1].children.append(row)
-                stack.append(row)
+            self.close(*ENDS[tag])
+        if tag in CELLS and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            self.push(Node("tr"))
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-            stop = end.start() if end else len(source)
-            if tag in ("textarea", "title", "xmp"):
-                node.children.append(source[at:stop] if tag == "xmp" else html.unescape(source[at:stop]))
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not (token[3] and token[3].rstrip().endswith("/") and tag in ("svg", "path")):
-            stack.append(node)
-    return root
+        self.push(node, tag not in VOID and tag not in RAW)
+        return node
+
+    def end(self, tag: str) -> None:
+        if tag == "br" or tag == "p" and not self.depths.get("p"):
+            self.stack[-1].children.append(Node(tag))
+            return
+        depth = self.deepest((tag,))
+        if depth and (tag in _CROSSING or depth > self.deepest(("td", "th", "table"))):
+            self.cut(depth)
 
 
-def visible(node: Node) -> bool:
-    a = node.attrs
-    return not (
-        node.tag in INVISIBLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden")
-        or (a.get("style") and _UNSEEN.search(a["style"]))
-    )
+def build(source: str) -> Node:
+    """The tree of a page; text is kept as ``str`` children with entities resolved."""
+    page, at, size = _Builder(), 0, len(source)
+    while at < size:
+        tag_at = source.find("<", at)
+        if tag_at < 0 or tag_at == size - 1:
+            page.text(source[at:])
+            break
+        after = source[tag_at + 1]
+        closing = after == "/"
+        name = _NAME.match(source, tag_at + 1 + closing)
+        if name is None:
+            if not closing and after not in "!?":  # a bare <
+                page.text(source[at : tag_at + 1])
+                at = tag_at + 1
+                continue
+            page.text(source[at:tag_at])
+            if source.startswith("<!--", tag_at):
+                end = -1 if source.startswith((">", "->"), tag_at + 4) else source.find("-->", tag_at + 4)
+                at = source.index(">", tag_at) + 1 if source.startswith((">", "->"), tag_at + 4) else end + 3 if end >= 0 else size
+            else:
+                end = source.find(">", tag_at)
+                at = end + 1 if end >= 0 else size
+            continue
+        page.text(source[at:tag_at])
+        tag = name[0].lower()
+        at = name.end()
+        if source[at : at + 1] == ">":
+            attrs, at = {}, at + 1
+        else:
+            attrs, at = _attributes(source, at)
+            if at < 0:
+                break
+        if closing:
+            page.end(tag)
+        elif tag == "html":
+            page.root.attrs.update(attrs)
+        elif tag in RAW:
+            node = page.start(tag, attrs)
+            end = _RAW_END[tag].search(source, at)
+            stop = end.start() if end else size
+            if tag == "textarea" or tag == "xmp":
+                node.children.append(source[at:stop] if tag == "xmp" else html.unescape(source[at:stop]))
+            at = end.end() if end else size
+        else:
+            page.start(tag, attrs)
+    return page.root
+
+
+def style(source: str) -> dict[str, str]:
+    """The declarations of a style attribute: property -> value, lower-cased; the last one counts, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value in _DECLARATION.findall(source):
+        if name:
+            value = value.strip().lower()
+            important = value.endswith("!important") or value.replace(" ", "").endswith("!important")
+            value = value.rpartition("!")[0].strip() if important else value
+            if important or not found.get(name.lower(), (False, ""))[0]:
+                found[name.lower()] = important, value
+    return {k: v for k, (_, v) in found.items()}
+
+
+def displayed(node: Node, rules: dict[str, str]) -> bool:
+    """Whether an element has a box at all."""
+    if node.tag in INVISIBLE or node.tag == "dialog" and "open" not in node.attrs and "display" not in rules:
+        return False
+    if node.tag == "input" and node.attrs.get("type", "").strip().lower() == "hidden":
+        return False
+    return rules.get("display") != "none" if "display" in rules else "hidden" not in node.attrs
+
+
+def prune(root: Node) -> Node:
+    """Drop branches without a box and blank the text of what is hidden by visibility, which children inherit or undo."""
+    todo: list[tuple[Node, bool]] = [(root, True)]
+    while todo:
+        node, seen = todo.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                if seen:
+                    kept.append(c)
+                continue
+            rules = style(c.attrs["style"]) if "style" in c.attrs else {}
+            if not displayed(c, rules):
+                continue
+            wanted = rules.get("visibility")
+            inside = seen if wanted in (None, "inherit") else wanted not in ("hidden", "collapse")
+            if not inside:
+                for name in ("alt", "value"):
+                    c.attrs.pop(name, None)
+                c.attrs["_unseen"] = ""
+            kept.append(c)
+            todo.append((c, inside))
+        node.children = kept
+    return root
 
 
 class _Page:
@@ -140,50 +263,52 @@ class _Page:
     def __init__(self, depth: int):
         self.depth = depth
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []
+        self.blank = True  # whether the line is empty or ends in a blank
         self.gap = False
         self.indent = self.mark = ""
+        self.items = 0  # open list items: lists inside them stand without blank lines
 
     def words(self, raw: str) -> None:
         raw = _BLANKS.sub(" ", raw)
-        if raw[:1] == " " and (not self.line or self.line[-1] == " "):
+        if self.blank and raw[:1] == " ":
             raw = raw[1:]
-        self.line += raw
+        if raw:
+            self.line.append(raw)
+            self.blank = raw[-1] == " "
 
     def end_line(self, spaced: bool = False) -> None:
-        if self.line.strip(" ") or self.mark:
+        line = "".join(self.line).strip(" ")
+        if line:
             if self.gap and self.lines:
                 self.lines.append("")
-            if self.line.strip(" "):
-                lead = self.indent[: -len(self.mark)] + self.mark if self.mark else self.indent
-                self.lines.append((lead + self.line.strip(" ")).rstrip())
-                self.mark = ""
-                self.gap = False
-        self.line = ""
+            lead = self.indent[: len(self.indent) - len(self.mark)] + self.mark
+            self.lines.append(lead + line)
+            self.mark, self.gap = "", False
+        self.line, self.blank = [], True
         self.gap = self.gap or spaced
 
+    def break_line(self) -> None:
+        """A line break; one more in a row leaves a blank line."""
+        if "".join(self.line).strip(" "):
+            self.end_line()
+        else:
+            self.line, self.blank, self.gap = [], True, self.gap or bool(self.lines)
+
     def verbatim(self, lines: list[str]) -> None:
         self.end_line()
-        if self.gap and self.lines:
+        if self.gap and self.lines and lines:
             self.lines.append("")
         self.gap = False
+        if self.mark and lines:
+            lines = [lines[0], *lines[1:]]
+            self.lines.append((self.indent[: len(self.indent) - len(self.mark)] + self.mark + lines[0]).rstrip())
+            self.mark, lines = "", lines[1:]
         self.lines += [(self.indent + x).rstrip() for x in lines]
 
 
-def _cells(table: Node) -> list[list[Node]]:
-    rows, todo = [], [table]
-    while todo:
-        n = todo.pop()
-        for c in reversed(n.children):
-            if isinstance(c, Node) and visible(c) and c.tag in ("thead", "tbody", "tfoot", "tr"):
-                todo.append(c)
-        if n.tag == "tr":
-            rows.append([c for c in n.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
-    return [r for r in rows if r]
-
-
 def _flow(page: _Page, node: Node) -> None:
-    """Render what lies below ``node``, in order, with an explicit stack of (node or text, leaving)."""
+    """Render what lies below ``node``, in order, with an explicit stack of (node or text, leaving, what to restore)."""
     todo: list[tuple] = [(c, False, None) for c in reversed(node.children)]
     while todo:
         item, leaving, kept = todo.pop()
@@ -192,56 +317,62 @@ def _flow(page: _Page, node: Node) -> None:
             continue
         tag = item.tag
         if leaving:
-            page.end_line(tag in SPACED)
-            if kept is not None:
-                page.indent, page.mark = kept, ""
-            continue
-        if not visible(item):
+            indent, spaced = kept
+            page.end_line(spaced)
+            if indent is not None:
+                page.indent, page.mark = indent, ""
+            page.items -= tag == "li"
             continue
         if tag == "br":
-            page.end_line()
+            page.break_line()
         elif tag == "hr":
             page.end_line(True)
         elif tag == "img":
             page.words(item.attrs.get("alt", ""))
         elif tag == "input":
-            page.words(item.attrs.get("value", ""))
-        elif tag == "pre" or tag == "xmp" or tag == "textarea":
+            kind = item.attrs.get("type", "").strip().lower()
+            page.words(item.attrs.get("value", "") if kind in _SEEN_INPUTS else item.attrs.get("alt", "") if kind == "image" else "")
+        elif tag in ("pre", "xmp", "textarea"):
             page.end_line(True)
             lines = _plain(item).strip("\n").split("\n")
             page.verbatim(lines if any(x.strip() for x in lines) else [])
             page.gap = True
-        elif tag == "table":
+        elif tag == "table" and page.depth < MOST_TABLES:
             page.end_line(True)
             _table(page, item)
             page.gap = True
         else:
-            kept = None
             if tag in BLOCKS:
-                inside = tag in LISTS and page.indent
-                page.end_line(tag in SPACED and not inside)
+                indent, spaced = None, tag in SPACED and not (tag in LISTS and page.items)
+                page.end_line(spaced)
                 if tag == "li":
-                    kept = page.indent
-                    mark = item.attrs.get("_mark", "- ")
-                    page.indent, page.mark = page.indent + " " * len(mark), mark
-                elif tag in ("blockquote", "dd"):
-                    kept = page.indent
+                    indent, page.items = page.indent, page.items + 1
+                    mark = "" if "_unseen" in item.attrs else item.attrs.get("_mark", "- ")
+                    page.indent, page.mark = (page.indent + " " * len(mark), mark) if len(page.indent) < MOST_INDENT else (page.indent, "")
+                elif tag in ("blockquote", "dd") and len(page.indent) < MOST_INDENT:
+                    indent = page.indent
                     page.indent += "  "
                 if tag in LISTS:
                     _number(item)
-                todo.append((item, True, kept))
-            elif tag in ("td", "th"):
+                todo.append((item, True, (indent, spaced)))
+            elif tag in CELLS:
                 page.words(" ")
             todo += [(c, False, None) for c in reversed(item.children)]
 
 
+def _whole(source: str, usual: int) -> int:
+    found = re.match(r"\s*([+-]?\d{1,9})", source)
+    return int(found[1]) if found else usual
+
+
 def _number(listing: Node) -> None:
-    first = listing.attrs.get("start", "1")
-    n = int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1
-    for c in listing.children:
-        if isinstance(c, Node) and c.tag == "li" and visible(c):
-            c.attrs["_mark"] = f"{n}. " if listing.tag == "ol" else "- "
-            n += 1
+    items = [c for c in listing.children if isinstance(c, Node) and c.tag == "li"]
+    back = listing.tag == "ol" and "reversed" in listing.attrs
+    n = _whole(listing.attrs.get("start", ""), len(items) if back else 1)
+    for c in items:
+        n = _whole(c.attrs.get("value", ""), n)
+        c.attrs["_mark"] = f"{n}. " if listing.tag == "ol" else "- "
+        n += -1 if back else 1
 
 
 def _plain(node: Node) -> str:
@@ -252,21 +383,59 @@ def _plain(node: Node) -> str:
             out.append(n)
         elif n.tag == "br":
             out.append("\n")
-        elif visible(n):
+        else:
             todo += reversed(n.children)
     return "".join(out)
 
 
+def _rows(table: Node) -> list[tuple[list[Node], int]]:
+    """The cells of each row, and the place of its group's last row, to which cells may span."""
+    rows, groups, todo = [], [], [(table, 0)]
+    while todo:
+        n, group = todo.pop()
+        if n.tag == "tr":
+            cells = [c for c in n.children if isinstance(c, Node) and c.tag in CELLS]
+            if cells:
+                rows.append(cells)
+                groups.append(group)
+        for c in reversed(n.children):
+            if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "tr"):
+                todo.append((c, group if c.tag == "tr" else id(c)))
+    last = {g: i for i, g in enumerate(groups)}
+    return [(cells, last[g]) for cells, g in zip(rows, groups)]
+
+
+def _grid(rows: list[tuple[list[Node], int]]) -> list[list[tuple[int, Node]]]:
+    """Per row its cells with their columns, as spans of rows and columns place them."""
+    out, until, steps = [], {}, 0  # until: column -> the last row that a cell from above takes
+    for r, (cells, last) in enumerate(rows):
+        line, at = [], 0
+        for c in cells:
+            while steps < MOST_STEPS and until.get(at, -1) >= r:
+                at, steps = at + 1, steps + 1
+            span = min(max(_whole(c.attrs.get("colspan", ""), 1), 1), MOST_SPAN)
+            down = _whole(c.attrs.get("rowspan", ""), 1)
+            end = last if down == 0 else min(r + max(down, 1) - 1, last)
+            line.append((at, c))
+            if end > r and steps < MOST_STEPS:
+                until.update(dict.fromkeys(range(at, at + span), end))
+                steps += span
+            at += span
+        out.append(line)
+    return out
+
+
 def _table(page: _Page, table: Node) -> None:
-    """Cells as columns of equal width, joined by `` | ``; text outside cells comes before the rows."""
-    rows = _cells(table)
-    inside = {id(c) for r in rows for c in r}
+    """Cells as columns of equal width, joined by `` | ``, each of as many lines as it has; columns in which no cell
+    begins are left out; text outside cells comes before the rows."""
+    rows = _rows(table)
+    inside = {id(c) for cells, _ in rows for c in cells}
     loose, todo = [], list(reversed(table.children))
     while todo:
         n = todo.pop()
         if isinstance(n, str):
             loose.append(n)
-        elif id(n) not in inside and visible(n):
+        elif id(n) not in inside:
             if n.tag in ("thead", "tbody", "tfoot", "tr"):
                 todo += reversed(n.children)
             else:
@@ -274,23 +443,27 @@ def _table(page: _Page, table: Node) -> None:
     for x in "".join(loose).split("\n"):
         page.words(x)
         page.end_line()
-    grid = []
-    for row in rows:
-        line = []
-        for c in row:
-            line.append(_BLANKS.sub(" ", _text(c, page.depth + 1)).strip())
-            span = c.attrs.get("colspan", "1")
-            line += [""] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) else 0)
-        grid.append(line)
-    widths = [max(len(r[i]) for r in grid if i < len(r)) for i in range(max(map(len, grid), default=0))]
-    if grid:
-        page.verbatim([" | ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip(" ") for r in grid])
+    grid = [[(at, _text(c, page.depth + 1).split("\n")) for at, c in line] for line in _grid(rows)]
+    widths: dict[int, int] = {}
+    for line in grid:
+        for at, lines in line:
+            widths[at] = max(widths.get(at, 0), *map(len, lines))
+    place = {at: i for i, at in enumerate(sorted(widths))}
+    size, empty = [widths[at] for at in place], [""] * len(place)
+    lines = []
+    for line in grid:
+        for k in range(max(len(x) for _, x in line)):
+            here, most = empty[: place[line[-1][0]] + 1], 0
+            for at, x in line:
+                if k < len(x):
+                    here[place[at]] = x[k]
+            lines.append(" | ".join(x.ljust(w) for x, w in zip(here, size)).rstrip(" "))
+    if lines:
+        page.verbatim(lines)
 
 
 def _text(node: Node, depth: int = 0) -> str:
-    """A branch rendered on its own; cells nested too deeply for layout give their plain text."""
-    if depth >= _DEPTH:
-        return _plain(node)
+    """A branch rendered on its own."""
     page = _Page(depth)
     _flow(page, node)
     page.end_line()
@@ -298,7 +471,7 @@ def _text(node: Node, depth: int = 0) -> str:
 
 
 def extract_text(source: str | None) -> str:
-    return _text(build(source)) if source else ""
+    return _text(prune(build(source))) if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -7,23 +7,27 @@ the first and key j of the second collection, so 2 x SIDE x DEPTH minhashes do t
 ``(1 - (1 - s**DEPTH)**SIDE)**2``: 0.99998 at s = 0.8 with the values below, next to nothing for
 unrelated texts.
 
-1. Documents of equal sets are one class; only classes are searched.
+1. Rows of equal sets are one class, known by a number of its own; only classes are searched.
 2. Rows (class, first key i, all second keys) are sorted by first key and class across partitions;
    a popular key spans several of them. Each partition splits its runs of a first key by second
    keys into buckets and links each bucket's classes with the member nearest to the bucket's
    consensus (small buckets: with each other). Buckets that partitions share are linked through
    their centres. So links are in proportion to rows, not to pairs.
 3. Links are verified on the full sets; verified links make components.
-4. Where a large bucket still holds several components, its members are compared across them on
-   their full sets, block by block, and each member reports one link to each other component.
+4. Where a large bucket still holds several components, its members are joined across them by an
+   exact prefix filter: with shingles that only one component has first and the others from rare to
+   common, two sets of enough similarity share one of the first few (see ``_across_components``).
+   Only such pairs are verified, on the full sets.
 
 Components are found by alternating large-star and small-star steps; every step is written to the
-shared folder. Nothing but counts reaches the driver.
-
-Edge cases: documents without words (null, empty, blank) have the empty set and are linked with
-nothing; fewer words than ``width`` make one shingle; doc_id is taken as a key: rows that repeat one
-each get a row, with the component of their own set; a null id never names a component; an empty
-table gives no rows.
+shared folder. Joins on ids that have very many rows are spread by a salt. Nothing but counts
+reaches the driver.
+
+Edge cases: rows without words (null, empty, blank) have the empty set and are linked with nothing;
+fewer words than ``width`` make one shingle; rows that repeat a doc_id each get a row, with the
+component of their own set; rows with a null doc_id are searched like others, but a null never names
+a component that has another id (one of nulls only has a null name); an empty table gives no rows;
+other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from brindle.llm.texts import WordHashes, arrow_map, broadcast_if_small, mixed, shingle_hashes
+from brindle.llm.texts import BROADCAST_IDS, WordHashes, arrow_map, broadcast_if_small, mixed, once, row_key, shingle_hashes, without
 from brindle.session import materialize, release
 
 SIDE = 16
@@ -41,8 +46,10 @@ DEPTH = 3
 PERCENT = 80
 #: Buckets up to this size link all their members directly.
 SMALL_BUCKET = 4
-#: Classes of a block when members of different components are compared.
-BLOCK = 500
+#: Rows of shingles that several components share, broadcast at most.
+SHARED_ROWS = 200_000
+#: Rows of one key from which on a join spreads them, at least.
+HOT_ROWS = 2_000
 _PARAMETERS = np.random.default_rng(11).integers(0, 1 << 32, (2, 2 * SIDE * DEPTH, 1), dtype=np.uint32)
 _MULTIPLY, _ADD = _PARAMETERS[0] | np.uint32(1), _PARAMETERS[1]
 
@@ -66,20 +73,20 @@ def _sets(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys): a 128-bit name of the set, null if it is empty, and its keys."""
+    """(doc_id, row, n_shingles, set_id, keys): the row's key, a 128-bit name of its set, null if that is empty, and its minhash keys."""
     import xxhash
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> list:
-            found = [_sets(t, width, hashes) for t in batch.column(1).to_pylist()]
+            found = [_sets(t, width, hashes) for t in batch.column(2).to_pylist()]
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
-            return [batch.column(0), [len(s) for s in found], names, [minhash_keys(s).tobytes() if len(s) else None for s in found]]
+            return [batch.column(0), batch.column(1), [len(s) for s in found], names, [minhash_keys(s).tobytes() if len(s) else None for s in found]]
 
         return step
 
-    return arrow_map(documents.select("doc_id", F.col("text").cast("binary")), "doc_id bigint, n_shingles bigint, set_id binary, keys binary", make)
+    return arrow_map(documents.select("doc_id", row_key(documents).alias("row"), F.col("text").cast("binary")), "doc_id bigint, row bigint, n_shingles bigint, set_id binary, keys binary", make)
 
 
 _LINKS = "bucket bigint, a bigint, b bigint"
@@ -172,27 +179,54 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(link, f"kind tinyint, {_LINKS}")
 
 
-def _sets_of(links: DataFrame, documents: DataFrame, width: int, passing: list[str]) -> DataFrame:
+def _spread_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], kept: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key. A key of very many rows of ``left`` is dealt over
+    several tasks, and its row of ``right`` copied to each; these keys are few enough to broadcast.
+
+    ``counts``: (key, n) of ``left``, if it is known already.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    counts = materialize(counts.where(F.col(key).isNotNull() & (F.col("n") > HOT_ROWS)), "counts", kept)
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if most is None:
+        return left.join(right, key)
+    rows = max(HOT_ROWS, total // BROADCAST_IDS)  # so at most BROADCAST_IDS keys have more
+    heavy = F.broadcast(counts.where(F.col("n") > rows).select(key, F.ceil(F.col("n") / rows).cast("int").alias("_copies")))
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), copies).cast("int")).drop("_copies")
+    copied = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
+def _sets_of(links: DataFrame, classes: DataFrame, documents: DataFrame, width: int, passing: list[str]) -> DataFrame:
     """(id, s): the full sets, as sorted hashes, of the classes that have any link to verify."""
-    ids = materialize(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct(), "ids", passing)
-    wanted = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("binary")).join(broadcast_if_small(ids), "id", "left_semi")
+    import xxhash
+
+    ids = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id"))).distinct()
+    ids = materialize(classes.join(ids, "class_id").select("row", F.col("class_id").alias("id"), F.xxhash64("set_id").alias("name")), "ids", passing)
+    wanted = documents.select(row_key(documents).alias("row"), F.col("text").cast("binary")).join(broadcast_if_small(ids), "row").select("id", "text", "name")
 
     def make():
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> list:
-            sets = [_sets(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [_sets(t, width, hashes) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            return [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))]
+            return [batch.column(0), batch.column(2), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))]
 
         return step
 
-    return materialize(arrow_map(wanted, "id bigint, s array<bigint>", make), "sets", passing)
+    found = arrow_map(wanted, "id bigint, name bigint, set_id binary, s array<bigint>", make)
+    found = materialize(found.where(F.xxhash64("set_id") == F.col("name")).select("id", "s"), "sets", passing)
+    if found.count() > ids.count():  # rows that repeat both their id and their text
+        found = materialize(found.dropDuplicates(["id"]), "sets-once", passing)
+    return found
 
 
-def _verified(links: DataFrame, sets: DataFrame, percent: int, keep: list[str] = []) -> DataFrame:  # noqa: B006
+def _verified(links: DataFrame, sets: DataFrame, percent: int, passing: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
     """The links (a, b) of class ids whose full sets are similar enough."""
-    pairs = links.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    pairs = _spread_join(links, sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b", ["a"], passing)
+    pairs = _spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a", ["b"], passing, links.groupBy("a").agg(F.count("*").alias("n")))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.select("a", "b", *keep, both.alias("n"), (F.size("sa") + F.size("sb")).alias("of")).where(100 * F.col("n") >= percent * (F.col("of") - F.col("n"))).select("a", "b", *keep, F.lit(True).alias("ok"))
 
@@ -211,9 +245,8 @@ def connected(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: u's neighbours above u go to the least of u and its neighbours
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: u and its neighbours below u go to the least of these
-        large = materialize(large.distinct(), "large-star", before)
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(low.select(F.col("m").alias("a"), "b"))
@@ -229,48 +262,76 @@ def connected(edges: DataFrame, written: list[str] | None = None) -> DataFrame:
     return done
 
 
-def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``documents``."""
+def _rows(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, set_id, component_id, first_row) for each row of ``documents``; ``first_row`` is the
+    key of the component's row of least doc_id."""
     spark, passing, parts_at = documents.sparkSession, [], []
     signed = materialize(signatures(documents, width), "signatures")
-    classes = signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.min("keys").alias("keys"))
-    classes = materialize(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    classes = signed.where("set_id is not null").groupBy("set_id").agg(first, F.min("keys").alias("keys"), F.count("*").alias("n"))
+    # numbered once, as the table is written; whoever reads it sees the same numbers
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("class_id"), "set_id", "first", F.col("first.row").alias("row"), "keys", "n"), "classes")
     found = materialize(candidate_links(classes), "links", passing)
     spans = found.where("kind = 2").groupBy("bucket").agg(F.min("a").alias("a"))
     across = found.where("kind = 2").select("bucket", F.col("a").alias("b")).join(spans, "bucket").where("b > a").select("a", "b")
     links = found.where("kind < 2").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("n"))
     links = materialize(links, "candidates", passing)
-    sets = _sets_of(links, documents, width, passing)
+    sets = _sets_of(links, classes, documents, width, passing)
     # first each class's commonest link, which mostly decides; then only what joins different components
     ends = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sure = materialize(_verified(best, sets, percent), "verified", passing)
+    sure = materialize(_verified(materialize(best, "best", passing), sets, percent, passing), "verified", passing)
     parts = connected(sure, passing)
     label = lambda c, name: parts.select(F.col("id").alias(c), F.col("component").alias(name))
     rest = links.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).where("x <> y")
-    joined = _verified(materialize(rest, "rest", passing), sets, percent, ["x", "y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ok").distinct()
-    sure = sure.unionByName(materialize(joined, "joined", passing))
-    parts = connected(sure, passing)
-    more = materialize(_across_components(found, across, parts, sets, percent, passing), "across", passing)
+    joined = _verified(materialize(rest, "rest", passing), sets, percent, passing, ["x", "y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ok").distinct()
+    stars = lambda: parts.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    parts = connected(stars().unionByName(materialize(joined.select("a", "b"), "joined", passing)), passing)
+    more = _across_components(found, across, parts, sets, percent, passing)
     if not more.isEmpty():
-        parts = connected(sure.unionByName(more), parts_at)
+        parts = connected(stars().unionByName(more.select("a", "b")), parts_at)
     else:
         parts = materialize(parts, "components", parts_at)
     release(spark, passing)
-    # equal sets, then links
-    linked = signed.select("doc_id", "n_shingles", "set_id")
-    named = classes.select("set_id", "class_id").join(parts, F.col("class_id") == parts["id"], "left").select("set_id", F.coalesce("component", "class_id").alias("component"))
-    return linked.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # equal sets, then links: each component is named by its row of least doc_id
+    linked = classes.select("class_id", "set_id", "first").join(parts.withColumnRenamed("id", "class_id"), "class_id").select("component", "set_id", "first")
+    heads = classes.join(parts.select(F.col("component").alias("class_id")).distinct(), "class_id").select(F.col("class_id").alias("component"), "set_id", "first")
+    linked = materialize(linked.unionByName(heads), "linked")
+    firsts = materialize(linked.groupBy("component").agg(F.min("first").alias("lead")), "firsts")
+    named = materialize(_spread_join(linked.select("component", "set_id"), firsts, "component", ["set_id"], []).select("set_id", "lead"), "named")
+    named = classes.select("set_id", "first").join(named, "set_id", "left").select("set_id", F.coalesce("lead", "first").alias("lead"))
+    rows = signed.select("doc_id", "row", "n_shingles", "set_id")
+    some = _spread_join(rows.where("set_id is not null"), named, "set_id", ["row"], [], classes.select("set_id", "n"))
+    none = rows.where("set_id is null").withColumn("lead", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"))
+    return some.unionByName(none).select("doc_id", "row", "n_shingles", "set_id", F.coalesce("lead.doc_id", "doc_id").alias("component_id"), F.col("lead.row").alias("first_row"))
+
+
+def components(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``documents``."""
+    return _rows(documents, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that are the first of their component: that of least doc_id,
+    of equal ones one. Rows without words all stay; so do rows that share a doc_id but not enough of their texts."""
+    rows = materialize(_rows(documents, width, percent).where("set_id is not null").select("doc_id", "row", "first_row"), "judged")
+    again = materialize(rows.where("row = first_row").groupBy("doc_id", "row").count().where("count > 1"), "repeated")
+    gone = rows.where("row <> first_row").select("doc_id", "row")
+    if again.isEmpty():
+        return without(documents, materialize(gone.distinct(), "gone"))
+    gone = materialize(gone.unionByName(again.select("doc_id", "row")).distinct(), "gone")
+    return without(documents, gone).unionByName(once(documents, again))
 
 
 def _across_components(found: DataFrame, across: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, passing: list[str]) -> DataFrame:
     """Links (a, b) between different components whose members share a large bucket.
 
-    Components that meet in buckets form groups. Of each group, the members outside its largest
-    component are compared with all its members: blocks of BLOCK members by blocks of BLOCK such
-    members, each pair of blocks one small task that counts common shingles by postings and
-    reports one link for a member and each other component. So a group of any size is spread,
-    and what is reported follows its members and components, not its pairs.
+    Components that meet in buckets form groups. All sets of a group are put in one order of shingles:
+    first those that a single component has, then the others, from rare to common. If two sets x and y
+    of different components, x at least as large, are similar enough, the first |x| - t|x| + 1 shingles
+    of x and the first |y| - 2t / (1 + t) |y| + 1 of y have one in common; it is not one of a single
+    component, and as many shingles follow it in both as they must share. Only such pairs are verified.
+    Members whose own shingles fill these places send nothing.
     """
     label = parts.withColumnRenamed("id", "class_id")
     pairs = found.where("kind = 1").select("bucket", "a", "b").unionByName(across.select(F.col("a").alias("bucket"), "a", "b")).distinct()
@@ -278,39 +339,27 @@ def _across_components(found: DataFrame, across: DataFrame, parts: DataFrame, se
     members = held.distinct().join(label, "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("component"))
     members = materialize(members, "members", passing)
     met = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "lo")
-    met = materialize(members.join(met, "bucket").where("component > lo").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct(), "met", passing)
+    met = broadcast_if_small(materialize(met, "met-buckets", passing))
+    met = materialize(members.select("bucket", "component").distinct().join(met, "bucket").where("component > lo").select(F.col("lo").alias("a"), F.col("component").alias("b")).distinct(), "met", passing)
     group = connected(met, passing).select(F.col("id").alias("component"), F.col("component").alias("grp"))
-    group = group.unionByName(group.select(F.col("grp").alias("component"), "grp").distinct())
-    inside = materialize(members.select("class_id", "component").distinct().join(group, "component").select("class_id", "component", "grp"), "groups", passing)
-    counts = inside.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    shape = counts.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("m"))
-    shape = shape.select("grp", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m")) / BLOCK).cast("int").alias("asks"))
-    rows = inside.join(shape, "grp").join(sets.select(F.col("id").alias("class_id"), "s"), "class_id")
-    block = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = rows.select("grp", block("blocks").alias("x"), each("asks").alias("y"), F.lit(False).alias("asks"), "class_id", "component", "s")
-    asking = rows.where("component <> main").select("grp", each("blocks").alias("x"), block("asks").alias("y"), F.lit(True).alias("asks"), "class_id", "component", "s")
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out = []
-        if len(ask) and len(have):
-            lengths = np.array([len(s) for s in have["s"]])
-            everything = np.concatenate(have["s"].to_list())
-            order = np.argsort(everything)
-            everything, owner = everything[order], np.repeat(np.arange(len(have)), lengths)[order]
-            ids, comps = have["class_id"].to_numpy(), have["component"].to_numpy()
-            for a, comp, s in zip(ask["class_id"], ask["component"], ask["s"]):
-                lo, hi = np.searchsorted(everything, s, "left"), np.searchsorted(everything, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(have))
-                hit = (100 * both >= percent * (len(s) + lengths - both)) & (comps != comp)
-                for c in np.unique(comps[hit]):
-                    b = ids[hit & (comps == c)][0]
-                    out.append((min(a, b), max(a, b), True))
-        return pd.DataFrame(out, columns=["a", "b", "ok"])
-
-    return own.unionByName(asking).groupBy("grp", "x", "y").applyInPandas(compare, "a bigint, b bigint, ok boolean")
+    group = materialize(group.unionByName(group.select(F.col("grp").alias("component"), "grp").distinct()), "groups", passing)
+    inside = materialize(_spread_join(members.select("class_id", "component").distinct(), group, "component", ["class_id"], passing), "inside", passing)
+    held = sets.withColumnRenamed("id", "class_id").join(broadcast_if_small(inside), "class_id").select("grp", "component", "class_id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    shared = held.groupBy("grp", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("grp", "h", "df")
+    shared = broadcast_if_small(materialize(shared, "shared", passing), SHARED_ROWS)
+    # all in whole numbers: t|x| and 2t / (1 + t) |y|, rounded up, with t as shares of percent
+    asked = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    kept = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1
+    ranked = held.join(shared, ["grp", "h"])
+    own = F.col("n") - F.count("*").over(W.partitionBy("class_id")).cast("int")
+    at = own + F.row_number().over(W.partitionBy("class_id").orderBy("df", "h")) - 1
+    sent = ranked.select("grp", "component", "class_id", "n", "h", at.alias("at"), kept.alias("kept"), asked.alias("asked")).where("at < asked").drop("asked")
+    sent = materialize(sent, "sent", passing)
+    x = sent.select("grp", "h", *[F.col(c).alias(f"x_{c}") for c in ("component", "class_id", "n", "at")])
+    y = sent.where("at < kept").select("grp", "h", *[F.col(c).alias(f"y_{c}") for c in ("component", "class_id", "n", "at")])
+    must = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
+    meet = x.join(y, ["grp", "h"]).where("x_component <> y_component and y_n <= x_n").where(
+        (100 * F.col("y_n") >= percent * F.col("x_n")) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= must)
+    )
+    meet = meet.select(F.least("x_class_id", "y_class_id").alias("a"), F.greatest("x_class_id", "y_class_id").alias("b")).distinct()
+    return materialize(_verified(materialize(meet, "meet", passing), sets, percent, passing), "across", passing)

@@ -72,7 +72,8 @@ def _fields(data: bytes):
 class PieceModel:
     """A model file: pieces, scores and kinds, and the automaton over the pieces."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kind: int | None = None):
+        """``kind``: UNIGRAM or BPE; by default what the file says."""
         import ahocorasick
 
         self.text, self.score, self.kind = [], [], []
@@ -90,6 +91,7 @@ class PieceModel:
                 self.prefix = bool(rules.get(3, 1))
                 if rules.get(2) or rules.get(4, 1):
                     raise ValueError("models that normalize characters or white space are not supported")
+        self.model = kind or self.model
         self.unknown = self.kind.index(UNKNOWN) if UNKNOWN in self.kind else unknown
         self.id = {t: i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k in (NORMAL, USER)}
         self.bytes = {int(t[1:-1], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind)) if k == BYTE}
@@ -295,12 +297,12 @@ class PieceModel:
         return pc.replace_substring_regex(texts, "^ ", "", max_replacements=1) if self.prefix else texts
 
 
-def model(path: str, data: bytes) -> PieceModel:
+def model(path: str, data: bytes, kind: int | None = None) -> PieceModel:
     """The model of a worker, read once."""
     kept = process_cache()
-    key = path, len(data), zlib.crc32(data)
+    key = path, len(data), zlib.crc32(data), kind
     if key not in kept:
-        kept[key] = PieceModel(data)
+        kept[key] = PieceModel(data, kind)
     return kept[key]
 
 
@@ -313,12 +315,13 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(ids, pa.int32()))
 
 
-def encode(documents: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) for each row of ``documents``."""
+def encode(documents: DataFrame, model_path: str, kind: int | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) for each row of ``documents``. With ``kind`` UNIGRAM the pieces' scores are summed
+    by Viterbi, whatever the file says."""
     shared = _shared_model(documents, model_path)
 
     def make():
-        m = model(model_path, shared.value)
+        m = model(model_path, shared.value, kind)
         return lambda batch: [batch.column(0), _lists(*m.encode_batch(batch.column(1)))]
 
     return arrow_map(documents.select("doc_id", "text"), "doc_id bigint, ids array<int>", make, SLICE)

@@ -1,10 +1,10 @@
 """Quality rules: counted rules first, then hashed n-gram logistic regression against a threshold.
 
-Words, pairs of words and byte trigrams are hashed into three blocks of one weight vector; a text's
-margin is the mean weight of its words, of its pairs and of its trigrams. The weights are fitted
-on at most ``TRAINING_ROWS`` labelled rows, of which each third is left out to calibrate the
-margin (a slope and an offset on the log-odds scale). A batch is scored by hashing its bytes as a
-whole and gathering weights; the verdict compares the probability with ``THRESHOLD``.
+Words, pairs of words and runs of three characters are hashed into three blocks of one weight vector;
+a text's margin is the mean weight of its words, of its pairs and of its runs. The weights are fitted
+on at most ``TRAINING_ROWS`` labelled rows, those of least hash, and no more of them than hold
+``TRAINING_SHARES`` hashed shares together; each third is left out to calibrate the margin (a slope
+and an offset on the log-odds scale). The verdict compares the probability with ``THRESHOLD``.
 
 Edge cases: a null text has no words and fails the base rules, like any text of under
 ``MIN_WORDS`` words; without labels, or with one class only, the model keeps what passes the base
@@ -19,10 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from brindle.llm.texts import WordHashes, arrow_map, labelled_sample, mixed, sigmoid
+from brindle.session import materialize
 
 TRAINING_ROWS = 3_000
+TRAINING_SHARES = 6_000_000
 HASH_BITS = 15
 THRESHOLD = 0.5
 MIN_WORDS = 20
@@ -65,12 +68,13 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def hashed_terms(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of a text's words, pairs of words and byte trigrams into the weight vector."""
+    """Indices of a text's words, pairs of words and runs of three characters into the weight vector."""
     shift, block = np.uint64(64 - HASH_BITS), 1 << HASH_BITS
     w = hashes.of(text.split())
     pairs = mixed(w[:-1] * np.uint64(3) + w[1:])
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    grams = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - HASH_BITS)
+    c = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32) * np.uint32(2654435761)
+    c ^= c >> np.uint32(15)
+    grams = (c[:-2] * np.uint32(0x85EBCA6B) + c[1:-1] * np.uint32(0xC2B2AE35) + c[2:]) * np.uint32(2654435761) >> np.uint32(32 - HASH_BITS)
     return (w >> shift).astype(np.int64), (pairs >> shift).astype(np.int64) + block, grams.astype(np.int64) + 2 * block
 
 
@@ -132,9 +136,9 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> NgramMod
     return NgramModel(weights, float(offset), float(slope))
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", training_rows: int = TRAINING_ROWS) -> NgramModel:
-    """Fit on at most ``training_rows`` labelled documents; their hashed shares, at most three
-    blocks a row, reach the driver."""
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", training_rows: int = TRAINING_ROWS, training_shares: int = TRAINING_SHARES) -> NgramModel:
+    """Fit on at most ``training_rows`` labelled documents; at most ``training_shares`` hashed shares of 8 bytes
+    reach the driver: of the rows in order of hash, those with which the sum stays within the bound."""
     sample = labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", F.col("text").cast("binary"))
 
     def make():
@@ -142,11 +146,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", train
 
         def step(batch: pa.RecordBatch) -> list:
             found = [_vector(t, hashes) for t in batch.column(2).to_pylist()]
-            return [batch.column(0), batch.column(1), [f[0].tobytes() for f in found], [f[1].tobytes() for f in found]]
+            return [batch.column(0), batch.column(1), [len(f[0]) for f in found], [f[0].tobytes() for f in found], [f[1].tobytes() for f in found]]
 
         return step
 
-    rows = sorted(arrow_map(sample, "doc_id bigint, label int, at binary, share binary", make).collect(), key=lambda r: (r[0], r[1], r[2]))
+    vectors = materialize(arrow_map(sample, "doc_id bigint, label int, n int, at binary, share binary", make), "vectors")
+    # at most training_rows thin rows in one place
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "part").rowsBetween(W.unboundedPreceding, 0)
+    thin = vectors.select("doc_id", "label", "n", F.xxhash64("at", "share").alias("part")).withColumn("so_far", F.sum("n").over(order))
+    kept = thin.where(F.col("so_far") <= training_shares).select("doc_id", "part").distinct()
+    rows = vectors.withColumn("part", F.xxhash64("at", "share")).join(F.broadcast(kept), ["doc_id", "part"]).select("doc_id", "label", "at", "share").collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3]))
     return fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], np.array([r[1] for r in rows], float))
 
 

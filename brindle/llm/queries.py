@@ -80,7 +80,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces)}
+def pieces_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over the same pieces taken as a unigram model: per document the ids of greatest summed score."""
+    coded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, pieces.UNIGRAM)
+    return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, pieces_viterbi)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

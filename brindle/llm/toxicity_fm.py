@@ -1,13 +1,15 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and their leading parts of five to seven letters, hashed to 64 bits. Those whose
-document counts differ most between the two classes of the training rows are features; a
-feature's value grows with the logarithm of its count in the text. The machine gives each a
-weight and a vector, and the products of vectors weigh pairs of terms - an insult beside a group
-mention, or two doubtful terms together - that single weights miss.
+Terms are words and their leading parts of five to seven letters, hashed to 64 bits. Features are
+those whose document counts differ most between the two classes of the training rows, and those
+that differ most among the rows with a doubtful term: a group mention that means nothing alone, but
+much beside an insult. A feature's value grows with the logarithm of its count in the text. The
+machine gives each a weight and a vector, and the products of vectors weigh pairs of terms - an
+insult beside a group mention, or two doubtful terms together - that single weights miss.
 
 Counts over the training rows (``TRAINING_ROWS`` at most, those of least hash) are summed by
-Spark; the driver gets the ``TERMS`` chosen terms and the few that each training row holds.
+Spark; the driver gets the chosen terms, ``TERMS`` of either kind at most, and the few that each
+training row holds.
 
 Edge cases: a null text scores like an empty one; without labels, or with a single class, every
 score is the share of 1 (0.5 with none); repeated rows score equally; an empty table gives no
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.texts import Remembered, arrow_map, labelled_sample, sigmoid
+from brindle.session import materialize
 
 TRAINING_ROWS = 12_000
 TERMS = 512
 MIN_DOCS = 4
 MIN_Z = 5.0
+#: From where on a term counts as doubtful.
+DOUBTFUL_Z = 3.0
 FACTORS = 6
 STEPS = 400
 PREFIXES = (5, 6, 7)
@@ -110,25 +115,39 @@ def fit(at, value, row, y: np.ndarray, known: dict[int, int]) -> Machine:
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", training_rows: int = TRAINING_ROWS) -> Machine:
     sample = labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", "text")
 
-    def count():
+    def count(doubtful: frozenset[int] | None = None):
+        """Rows of each class with a term, of those with a doubtful term if given; a null term stands for all of these rows."""
+
         def step(batch: pa.RecordBatch) -> list:
             pos, neg = Counter(), Counter()
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                (pos if y else neg).update({t for w in set((text or "").lower().split()) for t in terms(w)})
+                held = {t for w in set((text or "").lower().split()) for t in terms(w)}
+                if doubtful is None or not doubtful.isdisjoint(held):
+                    (pos if y else neg).update(held)
+                    (pos if y else neg)[None] += 1
             both = list(pos.keys() | neg.keys())
             return [both, [pos[t] for t in both], [neg[t] for t in both]]
 
         return step
 
-    n = {bool(r[0]): r[1] for r in sample.groupBy(F.col("label") > 0).count().collect()}
-    pos, neg = n.get(True, 0), n.get(False, 0)
-    known: dict[int, int] = {}
-    if pos and neg:
-        seen = arrow_map(sample, "term bigint, pos bigint, neg bigint", count).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        docs, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
+    def chosen(make) -> list[tuple[int, float]]:
+        """(term, how far it is from the rows' share of 1) of the terms that are farthest."""
+        seen = arrow_map(sample, "term bigint, pos bigint, neg bigint", make).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        seen = materialize(seen.where((F.col("pos") + F.col("neg") >= MIN_DOCS) | F.col("term").isNull()), "terms")
+        whole = seen.where("term is null").first()
+        if whole is None or not whole["pos"] or not whole["neg"]:
+            return []
+        docs, share = F.col("pos") + F.col("neg"), whole["pos"] / (whole["pos"] + whole["neg"])
         z = (F.col("pos") - docs * share) / F.sqrt(docs * share * (1 - share))
-        best = seen.where((docs >= MIN_DOCS) & (F.abs(z) >= MIN_Z)).orderBy(F.abs(z).desc(), "term").limit(TERMS).collect()
-        known = {r[0]: i for i, r in enumerate(best)}
+        far = seen.where(F.col("term").isNotNull() & (docs >= MIN_DOCS) & (F.abs(z) >= DOUBTFUL_Z))
+        return [tuple(r) for r in far.select("term", z.alias("z")).orderBy(F.abs("z").desc(), "term").limit(4 * TERMS).collect()]
+
+    alone = chosen(count)
+    doubtful = frozenset(t for t, z in alone if z > 0)
+    beside = chosen(lambda: count(doubtful)) if doubtful else []
+    picked = [t for t, z in alone if abs(z) >= MIN_Z][:TERMS]
+    picked += [t for t, z in beside if abs(z) >= MIN_Z and t not in set(picked)][:TERMS]
+    known = {t: i for i, t in enumerate(picked)}
 
     def find():
         lookup = KnownTerms(known)

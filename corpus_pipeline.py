@@ -1,7 +1,9 @@
 """The corpus pipeline: documents of good quality, free of toxic texts, near copies and benchmark passages, as piece ids.
 
 Each stage takes what its predecessor kept, as a table written and read again, and all but the last
-return the columns of ``documents``. Models are trained on the labelled rows of the data folder.
+return the columns of ``documents``, whatever their names. Models are trained on the labelled rows of
+the data folder. Decisions are taken by row, so null and repeated ids are no matter; an empty table
+gives an empty one at each stage; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -11,56 +13,52 @@ from pyspark.sql import functions as F
 
 from brindle.llm import containment, near_dups, quality_gam, toxicity_fm
 from brindle.llm.queries import piece_digest
-from brindle.llm.texts import broadcast_if_small
+from brindle.llm.texts import fresh_name
 from brindle.session import materialize, table
 
 #: Rows that a stage holds by the probability of its model.
 THRESHOLD = 0.5
+#: Words of a shingle: five, as for all near-duplicate stages without a contract of their own.
 NEAR_DUP_WIDTH = 5
 
 
-def _fresh(docs: DataFrame) -> str:
-    """A column name that ``docs`` doesn't have."""
-    return "probability" + "_" * (1 + max(map(len, docs.columns)))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model finds good."""
+    """Documents that the quality model finds good (probability of 0.5 or more).
+
+    A null text scores like an empty one; equal texts are judged alike; without labels all stay.
+    """
     model = quality_gam.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    name = _fresh(docs)
+    name = fresh_name("probability", docs.columns)
     return quality_gam.score(docs, model, docs.columns, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model finds clean."""
+    """Documents that the toxicity model finds clean (probability under 0.5).
+
+    A null text scores like an empty one; equal texts are judged alike; a model without labels scores
+    0.5 and rejects all, rather than let unjudged texts pass.
+    """
     model = toxicity_fm.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    name = _fresh(docs)
+    name = fresh_name("probability", docs.columns)
     return toxicity_fm.score(docs, model, docs.columns, name).where(F.col(name) < THRESHOLD).drop(name)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(broadcast_if_small(ids), "doc_id", "left_anti").select(docs.columns)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least doc_id. Rows that repeat a doc_id count as copies."""
-    found = near_dups.components(docs, NEAR_DUP_WIDTH)
-    kept = _without(docs, materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped"))
-    repeated = materialize(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(broadcast_if_small(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+    """One document of each group of near copies: that of least doc_id (null ids last).
+
+    Of rows that repeat an id and a text one stays; rows that share an id but not enough of their
+    texts all stay, as do rows without words (null, empty or blank texts).
+    """
+    return near_dups.one_of_each(docs, NEAR_DUP_WIDTH)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = containment.find_contained(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, materialize(found.select("doc_id").distinct(), "leaks"))
+    """Documents that contain no benchmark item. Null and empty texts contain none; rows are judged one by one."""
+    return containment.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its piece ids, their number, and what they decode to."""
+    """Per document its piece ids, their number, and what they decode to; null and empty texts have no ids. One row for each row."""
     return piece_digest(docs)
 
 

@@ -3,7 +3,17 @@
 STOP_WORDS = (
     "the and for are but not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use"
 ).split()
+#: English function words that full-text search leaves out where it is asked to.
+ENGLISH_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 KEY_TERM_STOP_WORDS = "the and or but in on at to for".split()
+#: Endings that stemming replaces by their group 1, in order, and doubled consonants of which one goes.
+STEM_ENDINGS = [r"(ss|i)es$", r"([^su])s$", r"([aeiouy][a-z]*[a-z])(?:ing|ed)$"]
+STEM_DOUBLED = r"(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
 QUESTION_WORDS = "what where when who why how which whose".split()
 MEDICAL_TERMS = "adverse efficacy safety dosage administration hemoglobin creatinine laboratory clinical trial".split()
 SYNONYMS = {

@@ -7,6 +7,8 @@ summed map-side before they move.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,6 +23,18 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(T.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def stem(word: Column) -> Column:
+    """A word without the endings of plurals and of -ing and -ed, and without a doubled consonant before them."""
+    for pattern in V.STEM_ENDINGS:
+        word = F.regexp_replace(word, pattern, "$1")
+    return F.when(F.rlike(word, F.lit(V.STEM_DOUBLED)), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def english(c: Column | str) -> Column:
+    """``tokens`` without English function words, stemmed: to be given as ``analyze`` for documents and queries alike."""
+    return F.transform(F.filter(tokens(c), lambda t: ~t.isin(V.ENGLISH_STOP_WORDS)), stem)
+
+
 def postings(docs: DataFrame, id_column: str = "id", content: str = "content", stop_words: list[str] | None = None) -> DataFrame:
     """(id, term, tf, positions): one row for each distinct term of a document; the refreshable search table."""
     rows = docs.select(F.col(id_column).alias("id"), F.posexplode(tokens(content)).alias("pos", "term"))
@@ -37,17 +51,23 @@ def term_rows(docs: DataFrame, id_column: str = "id", content: str = "content")
     return rows.select("id", "dl", F.explode(counted).alias("p")).select("id", "p.term", "p.tf", "dl")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, analyze: Callable[[str], Column] = tokens) -> DataFrame:
     """(query_id, term, n_terms) of (query_id, query_text)."""
-    t = F.array_distinct(tokens("query_text"))
+    t = F.array_distinct(analyze("query_text"))
     return queries.select("query_id", F.explode(t).alias("term"), F.size(t).alias("n_terms"))
 
 
-def asked_counts(docs: DataFrame, terms: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
+def asked_counts(docs: DataFrame, terms: DataFrame, id_column: str = "id", content: str = "content", analyze: Callable[[str], Column] = tokens, mark_all: bool = False) -> DataFrame:
     """(id, dl, term, tf) of the asked terms only: a document's tokens meet the distinct terms
-    first; adaptive execution broadcasts these while they are small."""
-    wanted = terms.select("term").distinct()
-    rows = docs.select(F.col(id_column).alias("id"), tokens(content).alias("_t")).select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    first; adaptive execution broadcasts these while they are small.
+
+    With ``mark_all`` every document has the empty term besides, so that counts of all documents
+    come from the same pass over the texts.
+    """
+    wanted, found = terms.select("term").distinct(), F.col("_t")
+    if mark_all:
+        wanted, found = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string")), F.array_append(F.coalesce("_t", F.array().cast("array<string>")), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("id"), analyze(content).alias("_t")).select("id", F.size("_t").alias("dl"), F.explode(found).alias("term"))
     return rows.join(wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -85,12 +105,14 @@ def cover_density(post: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content", clip: float | None = 10.0) -> DataFrame:
     """(query_id, id, score) for every document with a term of the query; divided by ``clip`` and at most 1 if given.
 
-    Collection statistics cover all documents: one pass counts documents and lengths, one the asked terms.
+    Collection statistics cover all documents; they and the asked terms' counts come from one pass over the texts.
     """
     terms = query_terms(queries)
-    counts = asked_counts(docs, terms, id_column, content)
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(content))).alias("avg_dl"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    counts = asked_counts(docs, terms, id_column, content, mark_all=True)
+    # tf is used by all three, so that they read one exchange
+    each = F.when(F.col("term") == "", F.col("tf"))
+    size = counts.agg(F.sum(each).alias("n_docs"), (F.sum(each * F.col("dl")) / F.sum(F.when(F.col("dl").isNotNull(), each))).alias("avg_dl"))
+    df = counts.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("avg_dl")))
     weights = df.crossJoin(F.broadcast(size))  # one row of statistics

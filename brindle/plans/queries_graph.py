@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import vocabulary as V
 from brindle.operators import graph
+from brindle.plans import ingestion
 from brindle.plans.queries_text import sql_list
 from brindle.plans.registry import query
 from brindle.session import table
@@ -239,7 +240,13 @@ def _(spark, d):
     return graph.closeness(nodes, user_edges(spark, d), nodes)
 
 
-@query("betweenness")
+# the relations are trees of region, nations, customers and suppliers: a node lies between all that are on different branches of it
+@query("betweenness", """WITH leaf AS (SELECT 'c' || c_custkey AS id, c_nationkey AS k FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
+    n AS (SELECT n_nationkey, n_regionkey, CAST(count(leaf.id) AS DOUBLE) AS own FROM nation LEFT JOIN leaf ON k = n_nationkey GROUP BY 1, 2),
+    r AS (SELECT n_regionkey, sum(1 + own) AS below, sum((1 + own) ** 2) AS squares FROM n GROUP BY 1),
+    through AS (SELECT id, 0.0 AS w FROM leaf UNION ALL SELECT 'n' || n_nationkey, below ** 2 - own - (below - own) ** 2 FROM n JOIN r USING (n_regionkey) UNION ALL SELECT 'r' || n_regionkey, below ** 2 - squares FROM r),
+    size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM through)
+    SELECT id, round(w / ((n - 1) * (n - 2)), 6) AS betweenness FROM through, size""")
 def _(spark, d):
     """On the property graph, with all customers and suppliers."""
     return graph.betweenness(graph.undirected(relations(spark, d)))
@@ -325,7 +332,29 @@ def _(spark, d):
     return graph.merge_entities(graph.advanced_entities(reports(spark, d))).select("type", "name", "confidence", F.size("document_ids").cast("bigint").alias("n_documents"), "context")
 
 
-@query("advanced_relations")
+_SIDE = r"(\w+(?:\s+\w+){0,5})"
+_ADVANCED_RELS = " UNION ALL ".join(f"SELECT document_id, '{k}' AS type, {c} AS sure, unnest(regexp_extract_all(content, '(?im){_SIDE}\\s+(?:{v})\\s+{_SIDE}', 1)) AS s, unnest(regexp_extract_all(content, '(?im){_SIDE}\\s+(?:{v})\\s+{_SIDE}', 2)) AS t FROM rep" for k, v, c in V.ADVANCED_RELATIONS)
+
+
+def _side_sql(side: str, out: str) -> str:
+    """The entity of a side: that of its name, else the first whose name holds it or is held by it."""
+    return f"{out}s AS (SELECT d.document_id, d.type, s, t, arg_min(name, (CAST(name <> {side} AS INTEGER), pos, name)) AS {out} FROM d JOIN b ON b.document_id = d.document_id AND (contains({side}, name) OR contains(name, {side})) GROUP BY 1, 2, 3, 4)"
+
+
+_RELATED = f"""{_advanced_sql()}, b AS (SELECT document_id, type, name, arg_max(o * 1000000 + i, (sure, -o, -i)) AS pos FROM x GROUP BY 1, 2, 3), rl AS ({_ADVANCED_RELS}),
+    d AS (SELECT DISTINCT document_id, type, CAST(sure AS DOUBLE) AS sure, upper(trim(s)) AS s, upper(trim(t)) AS t FROM rl), {_side_sql('s', 'subject')}, {_side_sql('t', 'object')},
+    merged AS (SELECT subject, object, type, max(sure) AS confidence, count(DISTINCT document_id) AS n_documents FROM d JOIN subjects USING (document_id, type, s, t) JOIN objects USING (document_id, type, s, t) GROUP BY 1, 2, 3)"""
+
+
+@query("advanced_relations", f"{_RELATED} SELECT * FROM merged")
 def _(spark, d):
     docs = reports(spark, d)
-    return graph.merge_relations(graph.advanced_relations(docs, graph.advanced_entities(docs))).withColumn("n_documents", F.size("document_ids")).drop("document_ids")
+    found = graph.merge_relations(graph.advanced_relations(docs, graph.advanced_entities(docs)))
+    return found.withColumn("n_documents", F.size("document_ids").cast("bigint")).drop("document_ids")
+
+
+@query("built_graph", f"""{_RELATED}, names AS (SELECT name, min(sha256(type || chr(31) || name)) AS id FROM b GROUP BY name)
+    SELECT sha256(concat_ws(chr(31), x.id, m.type, y.id)) AS id, x.id AS source_id, y.id AS target_id, m.type, confidence, n_documents FROM merged m JOIN names x ON x.name = subject JOIN names y ON y.name = object""")
+def _(spark, d):
+    """Relations between merged entities, as ingestion builds them."""
+    return ingestion.build_graph(reports(spark, d))["relations"].withColumn("n_documents", F.size("document_ids").cast("bigint")).drop("document_ids")

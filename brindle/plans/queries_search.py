@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions import vocabulary as V
 from brindle.operators import chunking, fusion, lexical, vectors
 from brindle.plans import retrieval
-from brindle.plans.queries_text import sql_words, turns
+from brindle.plans.queries_text import sql_list, sql_words, turns
 from brindle.plans.registry import query
 from brindle.session import table
 
@@ -118,6 +119,22 @@ def _(spark, d):
     return lexical.top(lexical.ts_rank(lexical.asked_counts(text_chunks(spark, d), terms), terms, "any"), 10)
 
 
+def _english_sql(x: str) -> str:
+    cut = "t"
+    for pattern in V.STEM_ENDINGS:
+        cut = f"regexp_replace({cut}, '{pattern}', '\\1')"
+    cut = f"list_transform(list_filter({_tokens(x)}, lambda t: NOT list_contains({sql_list(V.ENGLISH_STOP_WORDS)}, t)), lambda t: {cut})"
+    return f"list_transform({cut}, lambda t: CASE WHEN regexp_matches(t, '{V.STEM_DOUBLED}') THEN left(t, length(t) - 1) ELSE t END)"
+
+
+@query("fulltext_english", f"""WITH w AS (SELECT doc_id AS id, t AS term FROM (SELECT doc_id, {_english_sql('text')} AS toks FROM documents), unnest(toks) AS u(t)),
+    p AS (SELECT id, term, count(*) AS tf FROM w GROUP BY id, term),
+    qt AS (SELECT item_id AS query_id, len(ts) AS n_terms, t AS term FROM (SELECT item_id, list_distinct({_english_sql('text')}) AS ts FROM benchmark), unnest(ts) AS u(t)) {_topk(_RANK, 10)}""")
+def _(spark, d):
+    terms = lexical.query_terms(item_queries(spark, d), lexical.english)
+    return lexical.top(lexical.ts_rank(lexical.asked_counts(text_chunks(spark, d), terms, analyze=lexical.english), terms, "any"), 10)
+
+
 @query("fulltext_all", f"WITH {_POSTINGS} SELECT query_id, id, count(*) AS n_matched, sum(tf) AS tf FROM p JOIN qt USING (term) GROUP BY query_id, id HAVING count(*) = any_value(n_terms)")
 def _(spark, d):
     terms = lexical.query_terms(item_queries(spark, d))

@@ -60,6 +60,27 @@ def baseline_changes(rows: DataFrame, by: list[str], visit: str, value: str) ->
     return out.withColumns({"CHG": change, "PCHG": percent, "ABLFL": F.when(F.col("_first"), "Y").otherwise("")}).drop("_first")
 
 
+def subject_level(dm: DataFrame, seed: int = 42, days: int = 84) -> DataFrame:
+    """ADSL: a row a subject, with the treatment taken, its first and last day, baseline measures and population flags."""
+    part = lambda name: uniform(F.lit(seed), F.lit(name), "USUBJID")
+    start = F.date_add(F.lit("2023-06-01").cast("date"), F.floor(100 * part("start")).cast("int"))
+    height, weight = F.round(150 + 40 * part("height"), 1), F.round(50 + 50 * part("weight"), 1)
+    flag = lambda name: pick(["Y", "N"], F.lit(seed), F.lit(name), "USUBJID")
+    return dm.select(
+        "*", F.col("TRT01P").alias("TRT01A"), start.alias("TRTSDT"), F.date_add(start, days).alias("TRTEDT"), F.lit(days).alias("TRTDURD"),
+        pick(["HISPANIC OR LATINO", "NOT HISPANIC OR LATINO"], F.lit(seed), F.lit("ethnic"), "USUBJID").alias("ETHNIC"), height.alias("HEIGHTBL"), weight.alias("WEIGHTBL"),
+        F.round(weight / (height / 100) ** 2, 1).alias("BMIBL"), F.lit("Y").alias("SAFFL"), F.lit("Y").alias("ITTFL"), flag("eff").alias("EFFFL"), flag("comp").alias("COMPFL"),
+    )
+
+
+def laboratory_analysis(lb: DataFrame, adsl: DataFrame) -> DataFrame:
+    """ADLB: laboratory results by parameter and visit with their baseline, changes and the subject's treatment."""
+    rows = lb.select("STUDYID", "USUBJID", F.col("LBTESTCD").alias("PARAMCD"), F.lit("LABORATORY").alias("PARCAT1"), F.col("LBSTRESN").alias("AVAL"), F.col("LBSTRESU").alias("AVALU"), F.col("VISITNUM").alias("AVISITNUM"), F.col("VISIT").alias("AVISIT"))
+    return baseline_changes(rows, ["STUDYID", "USUBJID", "PARAMCD"], "AVISITNUM", "AVAL").join(adsl.select("USUBJID", "TRT01P", "TRT01A", "TRTSDT"), "USUBJID").withColumn(
+        "ADT", F.expr("date_add(TRTSDT, 14 * (AVISITNUM - 1))")
+    ).drop("TRTSDT")
+
+
 def carried_forward(rows: DataFrame, by: list[str], visit: str, value: str) -> DataFrame:
     """The last known value at each visit."""
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(visit).rowsBetween(W.unboundedPreceding, 0)))

@@ -252,3 +252,17 @@ def test_code_ids_and_objects(spark):
     assert len(set(ids)) == 50 and all(len(i) == 16 and int(i, 16) >= 0 for i in ids)
     sent = store.insert_objects(spark.range(250).repartition(2), len, 100).collect()
     assert sum(r["n"] for r in sent) == 250 and max(r["n"] for r in sent) <= 100
+
+
+def test_analysis_tables(spark):
+    dm = clinical.subjects(spark, "STUDY001", 20)
+    adsl = clinical.subject_level(dm)
+    assert adsl.count() == 20 and adsl.where("TRT01A <> TRT01P OR datediff(TRTEDT, TRTSDT) <> TRTDURD OR BMIBL NOT BETWEEN 10 AND 50").count() == 0
+    adlb = clinical.laboratory_analysis(clinical.findings(dm, clinical.LABS, "LB", 3), adsl)
+    rows = adlb.collect()
+    assert len(rows) == 20 * len(clinical.LABS) * 3
+    base = {(r["USUBJID"], r["PARAMCD"]): r["AVAL"] for r in rows if r["AVISITNUM"] == 1}
+    for r in rows:
+        first = base[r["USUBJID"], r["PARAMCD"]]
+        assert r["BASE"] == first and r["ABLFL"] == ("Y" if r["AVISITNUM"] == 1 else "")
+        assert abs(r["CHG"] - (r["AVAL"] - first)) < 1e-6

@@ -7,6 +7,7 @@ summed map-side before they move.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -80,7 +81,9 @@ def match(counts: DataFrame, terms: DataFrame, mode: str = "all") -> DataFrame:
 def ts_rank(counts: DataFrame, terms: DataFrame, mode: str = "all") -> DataFrame:
     """(query_id, id, score): like a full-text engine's frequency rank, over unstemmed tokens:
     each term adds the sum of 1/i**2 for its i-th occurrence, scaled to 0..1 over the query's terms."""
-    weight = F.lit(0.1) * F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(50)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i)) / F.lit(1.64493406685)
+    first = F.aggregate(F.sequence(F.lit(1), F.least("tf", F.lit(50)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))
+    n = F.col("tf").cast("double")  # of more than 50 occurrences, Euler and Maclaurin's sum is exact to 13 digits
+    weight = F.lit(0.1) * F.when(F.col("tf") <= 50, first).otherwise(F.lit(math.pi**2 / 6) - 1 / n + 1 / (2 * n**2) - 1 / (6 * n**3) + 1 / (30 * n**5)) / F.lit(1.64493406685)
     hits = counts.withColumn("w", weight).join(terms, "term").groupBy("query_id", "id").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
     hits = hits.where("n = n_terms") if mode == "all" else hits
     return hits.select("query_id", "id", F.round(F.col("w") / F.col("n_terms"), 6).alias("score"))

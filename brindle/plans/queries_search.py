@@ -110,7 +110,7 @@ def _(spark, d):
     return lexical.top(lexical.bm25(text_chunks(spark, d), item_queries(spark, d)), 10)
 
 
-_RANK = "SELECT query_id, id, round(sum(CAST(0.1 AS DOUBLE) * list_sum(list_transform(range(1, CAST(least(tf, 50) AS BIGINT) + 1), lambda i: 1.0 / (i * i))) / CAST(1.64493406685 AS DOUBLE)) / any_value(n_terms), 6) AS score FROM p JOIN qt USING (term) GROUP BY query_id, id"
+_RANK = "SELECT query_id, id, round(sum(CAST(0.1 AS DOUBLE) * list_sum(list_transform(range(1, CAST(tf AS BIGINT) + 1), lambda i: 1.0 / (i * i))) / CAST(1.64493406685 AS DOUBLE)) / any_value(n_terms), 6) AS score FROM p JOIN qt USING (term) GROUP BY query_id, id"
 
 
 @query("fulltext_any", f"WITH {_POSTINGS} {_topk(_RANK, 10)}")

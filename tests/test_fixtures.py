@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars as S
 from brindle.functions import text as T
-from brindle.operators import chunking, export, fusion, graph, store, vectors
+from brindle.operators import chunking, export, fusion, graph, lexical, store, vectors
 from brindle.plans import retrieval
 from brindle.sources import clinical, files
 
@@ -266,3 +266,11 @@ def test_analysis_tables(spark):
         first = base[r["USUBJID"], r["PARAMCD"]]
         assert r["BASE"] == first and r["ABLFL"] == ("Y" if r["AVISITNUM"] == 1 else "")
         assert abs(r["CHG"] - (r["AVAL"] - first)) < 1e-6
+
+
+def test_rank_counts_all_occurrences(spark):
+    counts = spark.createDataFrame([(str(n), n, "word", n) for n in (1, 2, 50, 51, 60, 1000, 200_000)], "id string, dl int, term string, tf long")
+    terms = spark.createDataFrame([(1, "word", 1)], "query_id int, term string, n_terms int")
+    want = {str(n): round(0.1 * sum(1 / i**2 for i in range(1, n + 1)) / 1.64493406685, 6) for n in (1, 2, 50, 51, 60, 1000, 200_000)}
+    assert scores(lexical.ts_rank(counts, terms)) == want
+    assert want["50"] < want["51"] < want["60"] < want["1000"] < want["200000"]

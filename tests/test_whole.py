@@ -203,3 +203,8 @@ def test_queries_set_no_number_of_rounds(spark, monkeypatch, name, operator):
     monkeypatch.setattr(graph, operator, lambda *a, **k: given.append((a, k)) or run(*a, 1))
     catalog.QUERIES[name](spark, SMALL)
     assert [k for a, k in given if not any(isinstance(x, int) for x in a)] == [{}]
+
+
+def test_index_finds_nine_of_ten(spark):
+    found = [r["recall"] for r in catalog.QUERIES["vector_ivf"](spark, "/root/testdata/sf0.01").collect()]
+    assert found and sum(found) / len(found) >= 0.9, sorted(found)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import containment, html_layout, near_dups, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
+from brindle.llm import containment, html_layout, near_dups, periodic_runs, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
 from brindle.llm.texts import fold
 from brindle.session import scratch_path, table
 
@@ -86,7 +89,37 @@ def pieces_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, pieces_viterbi)}
+def repeating_words(ids: list, sizes: list[int]) -> list:
+    """Which original words the texts of op11 get: with h the crc32 of the doc_id, every tenth text repeats p of its words from word a on. A null id repeats none."""
+    out = []
+    for doc_id, n in zip(ids, sizes):
+        h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+        if h is None or h % 10 or not n:
+            out.append(None)
+            continue
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        i = np.arange(n)
+        out.append(np.where(i < a, i, a + (i - a) % p))
+    return out
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), order=repeating_words)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    top = F.col("greatest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *(top[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * greatest.length div greatest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, op11_periodic_runs, pieces_viterbi)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

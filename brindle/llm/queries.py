@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import containment, html_layout, near_dups, periodic_runs, pieces, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
+from brindle.llm import containment, html_layout, near_dups, periodic_runs, pieces, prefix_trie, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
 from brindle.llm.texts import fold
 from brindle.session import scratch_path, table
 
@@ -119,7 +119,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, op11_periodic_runs, pieces_viterbi)}
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Conversation c as the first h turns of conversation c - c % 100, then its own turns after its first h; h = crc32(c) % 6."""
+    heads = sequences.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.substring("turns", 1, 5 * prefix_trie.CODE).alias("head"))
+    h = F.expr(f"int({prefix_trie.CODE} * (crc32(cast(cast(conv_id as string) as binary)) % 6))")
+    own = sequences.withColumns({"base": F.expr("conv_id - conv_id % 100"), "h": h})
+    return own.join(heads, "base", "left").select("conv_id", F.expr("concat(substring(coalesce(head, X''), 1, h), substring(turns, h + 1))").alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+    return nodes.drop("turn")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, op11_periodic_runs, op13_prefix_trie, pieces_viterbi)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import containment, html_layout, near_dups, periodic_runs, pieces, prefix_trie, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules
+from brindle.llm import containment, html_layout, near_dups, periodic_runs, pieces, prefix_trie, quality_gam, quality_rules, ring_shards, token_store, toxicity_fm, url_rules, vp_trees
 from brindle.llm.texts import fold
 from brindle.session import scratch_path, table
 
@@ -17,6 +17,9 @@ from brindle.session import scratch_path, table
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
+NEIGHBOURS = 5
+#: Share of the triangle inequality's bound that op12 keeps; 1 is exact.
+VP_FACTOR = 0.2
 #: host, path, verdict
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -119,6 +122,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vp_trees.search(vp_trees.build(vectors, NEIGHBOURS + 1), vectors.where("vec_id % 50 = 0"), NEIGHBOURS, VP_FACTOR)
+    return found.select(F.col("query_id").cast("bigint"), "rank", F.col("vec_id").cast("bigint"), "score")
+
+
 def rebuilt(sequences: DataFrame) -> DataFrame:
     """Conversation c as the first h turns of conversation c - c % 100, then its own turns after its first h; h = crc32(c) % 6."""
     heads = sequences.where("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.substring("turns", 1, 5 * prefix_trie.CODE).alias("head"))
@@ -132,7 +141,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.drop("turn")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, op11_periodic_runs, op13_prefix_trie, pieces_viterbi)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_gam, op3_quality_rules, op4_toxicity_fm, op5_url_rules, op6_containment, op7_near_dups, op8_html_layout, op9_ring_shards, op10_pieces, op11_periodic_runs, op12_vp_trees, op13_prefix_trie, pieces_viterbi)}
 
 _URL_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

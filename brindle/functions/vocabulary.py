@@ -11,9 +11,22 @@ ENGLISH_STOP_WORDS = (
     "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 KEY_TERM_STOP_WORDS = "the and or but in on at to for".split()
-#: Endings that stemming replaces by their group 1, in order, and doubled consonants of which one goes.
-STEM_ENDINGS = [r"(ss|i)es$", r"([^su])s$", r"([aeiouy][a-z]*[a-z])(?:ing|ed)$"]
-STEM_DOUBLED = r"(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+#: Fixed values of the published English suffix rules (Porter's second algorithm): words that have their own stem, words that stay, words
+#: that stay after the first step, beginnings after which the first region starts, and per step ending -> replacement.
+STEM_OWN = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STEM_STAYS = "inning outing canning herring earring proceed exceed succeed".split()
+STEM_BEGINNINGS = "gener commun arsen".split()
+STEM_DOUBLES = "bb dd ff gg mm nn pp rr tt".split()
+STEM_LI = "cdeghkmnrt"
+STEM_STEP_2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+    "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+}
+STEM_STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+STEM_STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
 QUESTION_WORDS = "what where when who why how which whose".split()
 MEDICAL_TERMS = "adverse efficacy safety dosage administration hemoglobin creatinine laboratory clinical trial".split()
 SYNONYMS = {

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
+from brindle.functions.stemming import stems
 from brindle.session import few
 
 
@@ -24,21 +25,14 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(T.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def stem(word: Column) -> Column:
-    """A word without the endings of plurals and of -ing and -ed, and without a doubled consonant before them."""
-    for pattern in V.STEM_ENDINGS:
-        word = F.regexp_replace(word, pattern, "$1")
-    return F.when(F.rlike(word, F.lit(V.STEM_DOUBLED)), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
-
-
 def english(c: Column | str) -> Column:
     """``tokens`` without English function words, stemmed: to be given as ``analyze`` for documents and queries alike."""
-    return F.transform(F.filter(tokens(c), lambda t: ~t.isin(V.ENGLISH_STOP_WORDS)), stem)
+    return stems(F.filter(tokens(c), lambda t: ~t.isin(V.ENGLISH_STOP_WORDS)))
 
 
-def postings(docs: DataFrame, id_column: str = "id", content: str = "content", stop_words: list[str] | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_column: str = "id", content: str = "content", stop_words: list[str] | None = None, analyze: Callable[[str], Column] = tokens) -> DataFrame:
     """(id, term, tf, positions): one row for each distinct term of a document; the refreshable search table."""
-    rows = docs.select(F.col(id_column).alias("id"), F.posexplode(tokens(content)).alias("pos", "term"))
+    rows = docs.select(F.col(id_column).alias("id"), F.posexplode(analyze(content)).alias("pos", "term"))
     if stop_words:
         rows = rows.where(~F.col("term").isin(stop_words))
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))

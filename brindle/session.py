@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of applications on one machine that were started without spark.checkpoint.dir.
+_OWN: dict[str, str] = {}
+
+
 def session(app: str = "brindle", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine expects: UTC, adaptive execution."""
     b = (
@@ -29,15 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset on one machine (tests) a temporary folder is made and set; a cluster
+    Only where that is unset on one machine (tests) a temporary folder is made, one for each application; a cluster
     without one is an error, as its executors can't see the driver's folders.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        _OWN[spark.sparkContext.applicationId] = found  # the setting itself can only be given to a new session
     return found.rstrip("/")
 
 

@@ -12,8 +12,8 @@ space mark that follows another character); each distinct part is swept once and
 worker, and ids and decoded bytes are gathered by index. Characters that no piece has become their
 UTF-8 bytes' pieces, or the unknown piece.
 
-Edge cases: null and empty texts give no ids and decode to the empty text; equal texts give equal
-ids; an empty table gives no rows.
+Edge cases: null and empty texts give no ids and decode to the empty text; bytes that aren't
+valid UTF-8 are encoded as U+FFFD; equal texts give equal ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import PartIds, Remembered, arrow_map, process_cache, text_bytes
+from brindle.llm.texts import PartIds, Remembered, arrow_map, process_cache, text_bytes, valid
 
 SPACE = "▁"
 #: Parts, runs inside them and pairs of pieces that a worker remembers at most.
@@ -324,7 +324,7 @@ def encode(documents: DataFrame, model_path: str, kind: int | None = None) -> Da
         m = model(model_path, shared.value, kind)
         return lambda batch: [batch.column(0), _lists(*m.encode_batch(batch.column(1)))]
 
-    return arrow_map(documents.select("doc_id", "text"), "doc_id bigint, ids array<int>", make, SLICE)
+    return arrow_map(documents.select("doc_id", valid("text")), "doc_id bigint, ids array<int>", make, SLICE)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -357,4 +357,4 @@ def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
 
         return step
 
-    return arrow_map(documents.select("doc_id", "text"), "doc_id bigint, ids array<int>, text string", make, SLICE)
+    return arrow_map(documents.select("doc_id", valid("text")), "doc_id bigint, ids array<int>, text string", make, SLICE)

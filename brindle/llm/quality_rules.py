@@ -8,7 +8,7 @@ and an offset on the log-odds scale). The verdict compares the probability with
 
 Edge cases: a null text has no words and fails the base rules, like any text of under
 ``MIN_WORDS`` words; without labels, or with one class only, the model keeps what passes the base
-rules; repeated rows get equal results; an empty table gives no rows; other columns are not read.
+rules; bytes that aren't valid UTF-8 are read as U+FFFD; repeated rows get equal results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.llm.texts import WordHashes, arrow_map, labelled_sample, mixed, sigmoid
+from brindle.llm.texts import WordHashes, arrow_map, labelled_sample, mixed, sigmoid, valid
 from brindle.session import materialize
 
 TRAINING_ROWS = 3_000
@@ -139,7 +139,7 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> NgramMod
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", training_rows: int = TRAINING_ROWS, training_shares: int = TRAINING_SHARES) -> NgramModel:
     """Fit on at most ``training_rows`` labelled documents; at most ``training_shares`` hashed shares of 8 bytes
     reach the driver: of the rows in order of hash, those with which the sum stays within the bound."""
-    sample = labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", F.col("text").cast("binary"))
+    sample = labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", valid("text").cast("binary").alias("text"))
 
     def make():
         hashes = WordHashes()
@@ -178,4 +178,4 @@ def apply_rules(documents: DataFrame, model: NgramModel, threshold: float = THRE
         return step
 
     counts = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return arrow_map(documents.select("doc_id", F.col("text").cast("binary")), f"doc_id bigint, {counts}, base_failed boolean, probability double, kept boolean", make)
+    return arrow_map(documents.select("doc_id", valid("text").cast("binary")), f"doc_id bigint, {counts}, base_failed boolean, probability double, kept boolean", make)

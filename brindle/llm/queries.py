@@ -61,7 +61,7 @@ def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.components(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return near_dups.components(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

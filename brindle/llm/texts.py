@@ -182,6 +182,11 @@ def fold(remainder: int, divisor: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor == remainder
 
 
+def valid(name: str):
+    """A text column as Python can read it: bytes that aren't valid UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(F.col(name).cast("string"))
+
+
 def row_key(documents: DataFrame):
     """A 64-bit key of a row's doc_id and text, null or not."""
     return F.xxhash64(documents["doc_id"], documents["text"].cast("binary"))

@@ -7,7 +7,7 @@ stripes and row groups by their least and greatest doc_id and by the Bloom filte
 
 Nulls and edge cases: a null text counts as an empty one and has the end id alone; a null doc_id
 sorts first; rows that repeat a doc_id are all kept, next to each other; an empty table gives a
-store with no rows. Columns of the input other than doc_id and text are not stored.
+store with no rows. Bytes that aren't valid UTF-8 are encoded as U+FFFD. Columns of the input other than doc_id and text are not stored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.llm.texts import PartIds, arrow_map, process_cache, text_bytes
+from brindle.llm.texts import PartIds, arrow_map, process_cache, text_bytes, valid
 
 #: Appended to each document.
 END_ID = 1
@@ -181,7 +181,7 @@ def write_store(documents: DataFrame, path: str, vocabulary: str, end_id: int =
 
         return step
 
-    ordered = documents.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    ordered = documents.select("doc_id", valid("text").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
     rows = arrow_map(ordered, "doc_id bigint, start_in_file bigint, n_tokens bigint, tokens array<int>", make, SLICE)
     (
         rows.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))

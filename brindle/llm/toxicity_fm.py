@@ -12,7 +12,7 @@ Spark; the driver gets the chosen terms, ``TERMS`` of either kind at most, and t
 training row holds.
 
 Edge cases: a null text scores like an empty one; without labels, or with a single class, every
-score is the share of 1 (0.5 with none); repeated rows score equally; an empty table gives no
+score is the share of 1 (0.5 with none); bytes that aren't valid UTF-8 are read as U+FFFD; repeated rows score equally; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import Remembered, arrow_map, labelled_sample, sigmoid
+from brindle.llm.texts import Remembered, arrow_map, labelled_sample, sigmoid, valid
 from brindle.session import materialize
 
 TRAINING_ROWS = 12_000
@@ -113,7 +113,7 @@ def fit(at, value, row, y: np.ndarray, known: dict[int, int]) -> Machine:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", training_rows: int = TRAINING_ROWS) -> Machine:
-    sample = labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", "text")
+    sample = materialize(labelled_sample(documents, labels, label, training_rows).select("doc_id", "label", valid("text").alias("text")), "sample")  # read three times
 
     def count(doubtful: frozenset[int] | None = None):
         """Rows of each class with a term, of those with a doubtful term if given; a null term stands for all of these rows."""
@@ -177,4 +177,4 @@ def score(documents: DataFrame, model: Machine, keep: list[str], name: str = "sc
         return step
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[f"`{c}`" for c in kept]).schema)
-    return arrow_map(documents.select(F.col("text").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept, 1)]), f"{kinds}, `{name}` double", make)
+    return arrow_map(documents.select(valid("text").alias("_0"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept, 1)]), f"{kinds}, `{name}` double", make)

@@ -20,6 +20,15 @@ def odd(spark):
     return spark.createDataFrame([(*r, 0.5, 7, "x") for r in rows], "doc_id bigint, text string, score double, shard int, _text string")
 
 
+@pytest.fixture(scope="session")
+def broken(odd):
+    """``odd`` with texts that aren't valid UTF-8: beside words, inside one, alone, and twice."""
+    bad = odd.sparkSession.sql("""
+        select * from values (20L, cast(X'616C706861FFFE206265746120E28220' as string)), (21L, cast(X'FF' as string)), (22L, cast(X'C3' as string)),
+            (23L, cast(X'616C706861FFFE206265746120E28220' as string)), (cast(null as bigint), cast(X'FFFE' as string)) as t(doc_id, text)""")
+    return odd.unionByName(bad.selectExpr("doc_id", "text", "0.5D score", "7 shard", "'x' _text"))
+
+
 @pytest.fixture(scope="session")
 def empty(odd):
     return odd.limit(0)

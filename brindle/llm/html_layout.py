@@ -10,13 +10,13 @@ which cells keep their lines and span rows and columns, preformatted text as it
 
 Time and output grow with the page, however its tags are nested or left open: open elements are found
 by tag, not by walking the stack. Bounds on layout only, never on text: indentation stops to grow at
-``MOST_INDENT``, tables inside ``MOST_TABLES`` others are flowed like blocks, and a table whose
+``MOST_INDENT``, columns at ``WIDEST`` (earlier where a page's ``ROOM`` for blanks is spent), tables inside ``MOST_TABLES`` others are flowed like blocks, and a table whose
 spanned rows take more than ``MOST_STEPS`` steps to lay out goes on without spans of rows.
 
 Edge cases: null, empty and text-free pages give the empty text; unclosed or crossed tags are closed as
 browsers do, a tag or comment that never ends swallows the rest of the page as it does there, and
 ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text; closed ``details`` count as seen;
-repeated rows give equal texts; an empty table gives no rows; other columns are not read.
+repeated rows give equal texts; bytes that aren't valid UTF-8 are read as U+FFFD; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.texts import arrow_map
+from brindle.llm.texts import arrow_map, valid
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noframes textarea title xmp".split())
@@ -64,6 +65,11 @@ _SEEN_INPUTS = frozenset("text search url tel email number date month week time
 MOST_INDENT = 64
 MOST_TABLES = 20
 MOST_STEPS = 500_000
+#: A column is as wide as its widest line of at most so many characters; longer lines stand out. Narrower columns if room is short.
+WIDEST = 200
+WIDTHS = (200, 80, 30, 10, 0)
+#: Characters that blanks and bars may take on a page: so many, and so many for each of its own.
+ROOM, ROOM_SHARE = 10_000, 4
 #: Columns that a cell spans at most (fixed value of the format).
 MOST_SPAN = 1000
 
@@ -260,8 +266,8 @@ def prune(root: Node) -> Node:
 class _Page:
     """Lines of output: collapses blanks, and keeps one blank line at most between blocks."""
 
-    def __init__(self, depth: int):
-        self.depth = depth
+    def __init__(self, depth: int, room: list[int]):
+        self.depth, self.room = depth, room  # room: characters that may still be spent on aligning cells
         self.lines: list[str] = []
         self.line: list[str] = []
         self.blank = True  # whether the line is empty or ends in a blank
@@ -439,39 +445,57 @@ def _table(page: _Page, table: Node) -> None:
             if n.tag in ("thead", "tbody", "tfoot", "tr"):
                 todo += reversed(n.children)
             else:
-                loose.append("\n" + _text(n, page.depth + 1) + "\n")
+                loose.append("\n" + "\n".join(_lines(n, page)) + "\n")
     for x in "".join(loose).split("\n"):
         page.words(x)
         page.end_line()
-    grid = [[(at, _text(c, page.depth + 1).split("\n")) for at, c in line] for line in _grid(rows)]
+    grid = [[(at, _lines(c, page) or [""]) for at, c in line] for line in _grid(rows)]
+    if grid:
+        page.verbatim(_aligned(grid, page.room))
+
+
+def _aligned(grid: list[list[tuple[int, list[str]]]], room: list[int]) -> list[str]:
+    """The lines of rows of (column, lines of the cell)."""
     widths: dict[int, int] = {}
     for line in grid:
         for at, lines in line:
-            widths[at] = max(widths.get(at, 0), *map(len, lines))
+            widths[at] = max(widths.get(at, 0), max((n for n in map(len, lines) if n <= WIDEST), default=0))
+    if len(widths) == 1:
+        return [x.rstrip(" ") for line in grid for _, lines in line for x in lines]
     place = {at: i for i, at in enumerate(sorted(widths))}
-    size, empty = [widths[at] for at in place], [""] * len(place)
-    lines = []
-    for line in grid:
-        for k in range(max(len(x) for _, x in line)):
-            here, most = empty[: place[line[-1][0]] + 1], 0
+    heights = [max(len(x) for _, x in line) for line in grid]
+    lasts = [place[line[-1][0]] for line in grid]
+    for most in (*WIDTHS, None):
+        if most is None:  # no room: cells as they follow each other
+            return [" | ".join(x[k] for _, x in line if k < len(x)).rstrip(" ") for line, n in zip(grid, heights) for k in range(n)]
+        size = [min(widths[at], most) for at in place]
+        before = [0, *accumulate(w + 3 for w in size)]
+        spent = sum(n * before[last] for n, last in zip(heights, lasts))
+        if spent <= room[0]:
+            room[0] -= spent
+            break
+    empty = [""] * len(place)
+    out = []
+    for line, n, last in zip(grid, heights, lasts):
+        for k in range(n):
+            here = empty[: last + 1]
             for at, x in line:
                 if k < len(x):
                     here[place[at]] = x[k]
-            lines.append(" | ".join(x.ljust(w) for x, w in zip(here, size)).rstrip(" "))
-    if lines:
-        page.verbatim(lines)
+            out.append(" | ".join(x.ljust(w) for x, w in zip(here, size)).rstrip(" "))
+    return out
 
 
-def _text(node: Node, depth: int = 0) -> str:
-    """A branch rendered on its own."""
-    page = _Page(depth)
+def _lines(node: Node, page: _Page | None, room: int = 0) -> list[str]:
+    """A branch rendered on its own, inside a table of ``page`` if given."""
+    page = _Page(page.depth + 1, page.room) if page else _Page(0, [room])
     _flow(page, node)
     page.end_line()
-    return "\n".join(page.lines)
+    return page.lines
 
 
 def extract_text(source: str | None) -> str:
-    return _text(prune(build(source))) if source else ""
+    return "\n".join(_lines(prune(build(source)), None, ROOM + ROOM_SHARE * len(source))) if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -483,4 +507,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return step
 
-    return arrow_map(pages.select("page_id", "html"), "page_id bigint, text string", make)
+    return arrow_map(pages.select("page_id", valid("html")), "page_id bigint, text string", make)

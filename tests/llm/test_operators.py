@@ -25,6 +25,29 @@ def labels_of(spark):
     return spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
 
 
+def test_broken_bytes(spark, broken, monkeypatch):
+    """Each query of texts on texts that aren't valid UTF-8 and on null ids: a row for each row; what op1 and op10 write is the text with U+FFFD."""
+    labels = labels_of(spark)
+    monkeypatch.setattr(queries, "table", lambda s, d, name: {"documents": broken, "labels": labels, "benchmark": broken.selectExpr("doc_id item_id", "text")}.get(name))
+    n = broken.count()
+    for name, rows in (("op1_token_store", n), ("op2_quality_gam", n), ("op3_quality_rules", n), ("op4_toxicity_fm", n), ("op7_near_dups", n), ("op9_ring_shards", n), ("op10_pieces", n), ("op11_periodic_runs", n), ("pieces_viterbi", n)):
+        assert len(queries.QUERIES[name](spark, SMALL).collect()) == rows, name
+    assert queries.op6_containment(spark, SMALL).count() > 0
+    kept = {(r["doc_id"], r["kept"]) for r in queries.op7_near_dups(spark, SMALL).collect()}
+    assert (None, False) in kept and None not in {k for _, k in kept}
+    want = b"alpha\xff\xfe beta \xe2\x82 ".decode(errors="replace")
+    library = Tokenizer.from_file(queries.WORD_VOCABULARY).encode(want, add_special_tokens=False).ids + [1]
+    got = {r["doc_id"]: r for r in queries.op1_token_store(spark, SMALL).collect()}
+    assert got[20]["ids_crc32"] == got[23]["ids_crc32"] == zlib.crc32(np.array(library, "<u4").tobytes())
+
+
+def test_broken_pages(spark):
+    pages = spark.sql("select 1L page_id, 'x://a' url, cast(X'3C703E61FF623C2F703E' as string) html union all select null, cast(X'FF3A2F2F61' as string), null")
+    assert {r["page_id"]: r["text"] for r in html_layout.extract(pages).collect()} == {1: "a\ufffdb", None: ""}
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    assert url_rules.judge(pages, rules).count() == 2
+
+
 # --- 1 -----------------------------------------------------------------------------------------
 
 
@@ -513,6 +536,20 @@ def test_html_of_a_megabyte(unit):
         assert text.endswith("end")
 
 
+def test_tables_stay_in_proportion():
+    """One wide cell beside thousands of small rows, and columns that later rows span, add no more than the page's room."""
+    row = "<tr><td>a<td>b</tr>"
+    for n in (12, 96):
+        page = "<table><tr><td>" + "w" * (n * 250) + "<td>z</tr>" + row * (n * 750 // len(row)) + "</table>"
+        assert len(html_layout.extract_text(page)) < 2 * len(page) + 10_000
+    page = "<table><tr><td>" + "w" * 500_000 + "<td>z</tr>" + row * 30_000 + "</table>"
+    text = html_layout.extract_text(page)
+    assert len(text) < 2_000_000 and text.count("a | b") == 30_000 and "w | z" in text
+    page = "<table><tr>" + "".join(f"<td>{'x' * 199}" for _ in range(1000)) + "<tr><td colspan=999>a<td>b" * 20_000 + "</table>"
+    text = html_layout.extract_text(page)
+    assert len(text) < 6 * len(page) and text.count("\na") == 20_000
+
+
 def made_page(rng, depth=0):
     """(html, blocks) of a random page: blocks are (lines, whether blank lines stand around), as a reader would lay them out."""
     source, blocks = "", []

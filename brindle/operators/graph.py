@@ -488,7 +488,7 @@ def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFra
     return d.select("id", F.when((F.col("total") > 0) & F.lit(n > 1), F.round(F.col("reached") / F.col("total") * F.col("reached") / max(n - 1, 1), 6)).otherwise(0.0).alias("closeness"))
 
 
-#: Edges of a graph that is sent whole to every task, for betweenness and Louvain.
+#: Edges of a graph that is sent whole to every task, for betweenness.
 SMALL_GRAPH_EDGES = 1_000_000
 
 
@@ -542,46 +542,77 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
 
 
-def louvain(edges: DataFrame, seed: int = 42, passes: int = 10) -> DataFrame:
-    """(id, community) by greedy modularity moves and folding, for graphs of bounded size; larger ones take label propagation."""
-    pairs = _small(edges)
-    weights: dict = {}
-    for a, b in pairs:
-        weights.setdefault(a, {})[b] = weights.setdefault(b, {})[a] = 1.0
-    group = {u: u for u in weights}
-    rng = np.random.default_rng(seed)
-    level = {u: dict(v) for u, v in weights.items()}
-    for _ in range(passes):
-        strength = {u: sum(v.values()) for u, v in level.items()}
-        total, own, held = sum(strength.values()) or 1.0, {u: u for u in level}, dict(strength)
-        moved, nodes, place = False, sorted(level), {u: i for i, u in enumerate(sorted(level))}
-        for _ in range(passes):
-            again = False
-            for i in rng.permutation(len(nodes)):
-                u = nodes[i]
-                links: dict = {}
-                for v, w in level[u].items():
-                    if v != u:
-                        links[own[v]] = links.get(own[v], 0.0) + w
-                held[own[u]] -= strength[u]
-                stay = links.get(own[u], 0.0) - strength[u] * held[own[u]] / total
-                best = max(((w - strength[u] * held[c] / total, -place[c]), c) for c, w in links.items()) if links else ((stay, 0), own[u])
-                if best[0][0] > stay + 1e-12:
-                    own[u], again, moved = best[1], True, True
-                held[own[u]] += strength[u]
-            if not again:
-                break
-        if not moved:
+#: Rounds of moves at a level at most, and rounds without a better modularity after which a level ends (a node may move in every other one).
+LOUVAIN_ROUNDS, LOUVAIN_PATIENCE = 40, 4
+
+
+def _moves(ways: DataFrame, now: DataFrame, total: float, turn: int) -> DataFrame:
+    """(u, k, old, inside, new): each node's community, its weight into it, and where it goes in this round.
+
+    ``ways``: (u, v, w) both ways, a loop once with all of its weight; ``now``: (u, k, community), k the sum of a node's weights.
+    A node joins the neighbouring community of greatest gain, if that is more than its own; of equal gains the least community.
+    About half of the nodes, other ones each round, may move at once, so that neighbours don't swap for ever.
+    """
+    held = now.groupBy("community").agg(F.sum("k").alias("held"))
+    links = ways.join(now.select(F.col("u").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum(F.when(F.col("u") != F.col("v"), F.col("w")).otherwise(0.0)).alias("w"), F.sum("w").alias("all"))
+    own = now.withColumnRenamed("community", "old")
+    met = links.join(own, "u").join(held, "community")
+    rest = F.col("held") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
+    met = met.select("u", "community", "all", "old", "w", (F.col("w") - F.col("k") * rest / F.lit(total)).alias("gain"))
+    here = F.col("community") == F.col("old")
+    best = met.groupBy("u").agg(
+        F.max(F.when(here, F.col("all"))).alias("inside"),
+        F.max(F.when(here, F.col("gain"))).alias("stay"),
+        F.min(F.when(~here, F.struct((-F.round("gain", 12)).alias("loss"), "community"))).alias("first"),
+    )
+    away = own.join(held.withColumnRenamed("community", "old"), "old").join(best, "u", "left")
+    stay = F.coalesce("stay", -F.col("k") * (F.col("held") - F.col("k")) / F.lit(total))  # no link into its own community
+    may = F.pmod(F.xxhash64("u", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    new = F.when(may & (-F.col("first.loss") > stay + 1e-11), F.col("first.community")).otherwise(F.col("old"))
+    return away.select("u", "k", "old", F.coalesce("inside", F.lit(0.0)).alias("inside"), new.alias("new"))
+
+
+def _level(ways: DataFrame, start: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """(u, community) of the round of greatest modularity, as a written table, and that modularity, from the communities ``start`` (u, community) on."""
+    spark, kept = ways.sparkSession, []
+    now = materialize(ways.groupBy("u").agg(F.sum("w").alias("k")).join(start, "u"), "round", kept)
+    best, found, since, last = None, -2.0, 0, 1
+    for turn in range(LOUVAIN_ROUNDS):
+        round_ = materialize(_moves(ways, now, total, turn), "round", kept)
+        inside, moved = round_.agg(F.sum("inside"), F.count(F.when(F.col("new") != F.col("old"), 1))).first()
+        spread = round_.groupBy("old").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+        modularity, since = inside / total - spread / total**2, since + 1
+        if modularity > found + 1e-9:
+            best, found, since = round_.select("u", F.col("old").alias("community")), modularity, 0
+        if since >= LOUVAIN_PATIENCE or not moved and not last:
             break
-        group = {x: own[g] for x, g in group.items()}
-        folded: dict = {}
-        for u, row in level.items():
-            for v, w in row.items():
-                into = folded.setdefault(own[u], {})
-                into[own[v]] = into.get(own[v], 0.0) + w
-        level = folded
-    kind = edges.schema["a"].dataType.simpleString()
-    least: dict = {}
-    for x, g in group.items():
-        least[g] = min(x, least.get(g, x))
-    return edges.sparkSession.createDataFrame([(x, least[g]) for x, g in group.items()], f"id {kind}, community {kind}")
+        last, now = moved, round_.select("u", "k", F.col("new").alias("community"))
+    best = materialize(best, "level")
+    release(spark, kept)
+    return best, found
+
+
+def louvain(edges: DataFrame, passes: int = 10) -> DataFrame:
+    """(id, community) by greedy moves that raise modularity, and folding of communities into nodes, level by level; at last nodes move once more one by one.
+
+    All of it is joins and sums over tables in the shared folder: neither nodes nor edges reach the driver, only the
+    modularity of a round does. A level keeps its round of greatest modularity; folding ends when a level
+    brings no more. A community is named by its least node. Without edges there are no rows.
+    """
+    first = ways = materialize(both_ways(edges).withColumn("w", F.lit(1.0)), "ways")
+    total = float(ways.agg(F.sum("w")).first()[0] or 0.0)
+    groups = materialize(degrees(edges).select("id", F.col("id").alias("node")), "groups")
+    reached = -1.0
+    for _ in range(passes if total else 0):
+        at, found = _level(ways, ways.select("u", F.col("u").alias("community")).distinct(), total)
+        if found <= reached + 1e-9:
+            break
+        reached = found
+        groups = materialize(groups.join(at.select(F.col("u").alias("node"), "community"), "node").select("id", F.col("community").alias("node")), "groups")
+        end = lambda c: at.select(F.col("u").alias(c), F.col("community").alias(f"c{c}"))  # noqa: B023, E731
+        ways = materialize(ways.join(end("u"), "u").join(end("v"), "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "ways")
+    if total:
+        at, _ = _level(first, groups.select(F.col("id").alias("u"), F.col("node").alias("community")), total)
+        groups = at.select(F.col("u").alias("id"), F.col("community").alias("node"))
+    names = groups.groupBy("node").agg(F.min("id").alias("community"))
+    return groups.join(names, "node").select("id", "community")

@@ -9,15 +9,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
 from brindle.functions.stemming import stems
-from brindle.session import few
+from brindle.operators import blocks
+from brindle.session import few, materialize
 
 
 def tokens(c: Column | str) -> Column:
@@ -118,6 +125,104 @@ def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: st
     return summed.withColumn("score", F.round(F.least(F.col("score") / clip, F.lit(1.0)) if clip else F.col("score"), 6))
 
 
+#: Cells of a block's table of terms and queries at most; more queries are taken in several blocks, each of which reads the counts again.
+TABLE_CELLS = 1 << 24
+
+
+def asked_vectors(docs: DataFrame, names: list[str], id_column: str = "id", content: str = "content", analyze: Callable[[str], Column] = tokens) -> DataFrame:
+    """(id, dl, at, tf): per document which of the terms ``names`` it has, by their places, and how often. Tokens are looked up inside the row; nothing moves."""
+    known = pa.array(names, pa.string())
+    rows = docs.select(F.col(id_column).alias("id"), analyze(content).alias("t"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, dl int, at array<int>, tf array<int>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths()
+            found = pc.index_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), sizes.fill_null(0).to_numpy())
+            hit = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
+            cell, tf = np.unique(row[hit] * len(known) + found[hit].astype(np.int64), return_counts=True)
+            row, at = np.divmod(cell, max(len(known), 1))
+            edges = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes.cast(pa.int32()), *lists], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def best(
+    docs: DataFrame, queries: DataFrame, k: int, by: str = "bm25", mode: str = "any", clip: float | None = 10.0, id_column: str = "id", content: str = "content",
+    analyze: Callable[[str], Column] = tokens,
+) -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` of ``bm25`` or of ``ts_rank`` (``by`` "rank", ``mode`` "any" or "all"), with equal rows, for a stated set of queries.
+
+    The asked terms of each document become a sparse row of weights; a batch's rows times the table of terms and
+    queries are all scores of the batch, of which each query's best go on. So postings don't multiply with the queries that
+    ask for them.
+    """
+    terms = query_terms(queries, analyze).select("query_id", "term", "n_terms").toArrow()
+    asked = terms["query_id"].combine_chunks().dictionary_encode()
+    names = sorted(set(terms["term"].to_pylist()))
+    query = asked.indices.to_numpy()
+    term = pc.index_in(terms["term"].combine_chunks(), value_set=pa.array(names, pa.string())).to_numpy()
+    n_terms = np.zeros(len(asked.dictionary), np.int64)
+    n_terms[query] = terms["n_terms"].to_numpy()
+    rows = materialize(asked_vectors(docs, names, id_column, content, analyze), "counts")
+    weight, mean = np.ones(len(names)), 1.0
+    if by == "bm25":
+        n_docs, mean = rows.agg(F.count("*"), F.avg("dl")).first()
+        for t, df in rows.select(F.explode("at").alias("t")).groupBy("t").count().collect():  # as many rows as asked terms at most
+            weight[t] = math.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    id_type = rows.schema["id"].dataType
+    arrow = to_arrow_schema(StructType([*queries.select("query_id").schema, StructField("id", id_type), StructField("score", DoubleType())]))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type.simpleString()}, score double"
+    squares = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 51) ** 2)])
+
+    def part(at: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        if by == "bm25":
+            return weight[at] * tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / (mean or 1.0)))
+        n = tf.astype(np.float64)
+        return 0.1 * np.where(tf <= 50, squares[np.minimum(tf, 50)], math.pi**2 / 6 - 1 / n + 1 / (2 * n**2) - 1 / (6 * n**3) + 1 / (30 * n**5)) / 1.64493406685
+
+    def block(first: int, last: int) -> DataFrame:
+        mine = (query >= first) & (query < last)
+        used, place = np.unique(term[mine], return_inverse=True)
+        table = np.zeros((len(used), last - first))
+        table[place, query[mine] - first] = 1.0
+        ids, many = asked.dictionary.slice(first, last - first), n_terms[first:last]
+        shared = rows.sparkSession.sparkContext.broadcast((used, table))  # TABLE_CELLS at most
+
+        def run(batches):
+            used, table = shared.value
+            for batch in batches:
+                lists = batch.column(2)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                at, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+                column = np.minimum(np.searchsorted(used, at), len(used) - 1)
+                ours = used[column] == at
+                row, column, value = row[ours], column[ours], part(at[ours], tf[ours], batch.column(1).to_numpy(zero_copy_only=False)[row[ours]])
+                for a, b in blocks.slices(len(lists), len(used) + len(ids)):
+                    here = (row >= a) & (row < b)
+                    weights = np.zeros((b - a, len(used)))
+                    weights[row[here] - a, column[here]] = value[here]
+                    scores = weights @ table
+                    none = (weights > 0).astype(np.float64) @ table < many if mode == "all" else scores <= 0
+                    scores = scores / many if by != "bm25" else scores / (clip or 1.0)
+                    scores[none] = -np.inf
+                    hit, of = blocks.best_rows(scores, k, 2e-6, 1.0 if by == "bm25" and clip else np.inf)
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), batch.column(0).slice(a, b - a).take(pa.array(hit)), pa.array(scores[hit, of])], schema=arrow)
+
+        return rows.mapInArrow(run, schema)
+
+    step = max(1, TABLE_CELLS // max(len(names), 1))
+    parts = [block(i, min(len(n_terms), i + step)) for i in range(0, len(n_terms), step)]
+    found = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+    return top(found.withColumn("score", F.round(F.least("score", F.lit(1.0)) if by == "bm25" and clip else F.col("score"), 6)), k)
+
+
 def contains_search(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """(query_id, id, score) of documents that hold a word of the query as a substring, by term frequency relevance."""
     pairs = docs.select(F.col(id_column).alias("id"), F.col(content).alias("_c"), F.lower(content).alias("_low"), T.word_count(content).alias("_n")).crossJoin(few(queries.select("query_id", T.words(F.lower("query_text")).alias("_q"))))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: Queries that are broadcast at once; more are searched in blocks of this size.
-QUERY_BLOCK = 20_000
+from brindle.operators import blocks
+
+#: Queries (about) whose vectors go to every task at once; more are searched in blocks of this size.
+QUERY_BLOCK = 4_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,8 +43,9 @@ def normalized(a: Column | str) -> Column:
 def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float = 0.7, strict: bool = False, tie_breaks: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
     """Best ``k`` chunks (id, embedding) of each query (query_id, query_embedding), as (query_id, id, score, rank).
 
-    The queries are a stated set, broadcast in blocks; a chunk's norm is computed once and the
-    best k of each query are kept in every task before rows move (a group limit below the window).
+    The queries are a stated set, taken in blocks of bounded size; every batch of chunks is multiplied with the block's
+    matrix and keeps the best k of each query before rows move. A vector of norm 0 has cosine 0; null vectors and
+    those of another length than the query's are not found.
     Of equal scores the columns ``tie_breaks`` (descending) and then the least id decide.
     """
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
@@ -46,12 +53,41 @@ def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: floa
     return _search(chunks, queries, k, threshold, strict, tie_breaks, exclude_self)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of doubles from vectors of one length."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def _search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float, strict: bool, tie_breaks: tuple[str, ...], exclude_self: bool) -> DataFrame:
-    base = chunks.select("id", *tie_breaks, F.col("embedding").alias("_v"), norm(F.col("embedding")).alias("_nv"))
-    asked = queries.select("query_id", F.col("query_embedding").alias("_q"), norm(F.col("query_embedding")).alias("_nq"))
-    n = F.col("_nv") * F.col("_nq")
-    score = F.when(n == 0, 0.0).otherwise(dot(F.col("_v"), F.col("_q")) / n)
-    pairs = base.crossJoin(F.broadcast(asked)).select("query_id", "id", *tie_breaks, F.round(score, 6).alias("score"))
+    """One block of queries: products with every batch of chunks, of which each keeps what can be among the best ``k``."""
+    asked = queries.select("query_id", "query_embedding").where("query_embedding is not null").toArrow()
+    lengths, names = asked["query_embedding"].combine_chunks().value_lengths().to_numpy(), asked["query_id"].combine_chunks()
+    # queries by their number of components: only vectors of as many have a cosine with them
+    units = {int(n): (np.flatnonzero(lengths == n), _unit(_matrix(asked["query_embedding"].combine_chunks().filter(pa.array(lengths == n))))) for n in np.unique(lengths) if n}
+    out = chunks.select("id", *tie_breaks).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
+    arrow = to_arrow_schema(StructType([*queries.select("query_id").schema, *out, StructField("score", DoubleType())]))
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().to_numpy()
+            for n, (at, mine) in units.items():
+                rows = np.flatnonzero(sizes == n)
+                for a, b in blocks.slices(len(rows), len(at)):
+                    part = batch.take(pa.array(rows[a:b]))
+                    scores = _unit(_matrix(part.column(0))) @ mine.T
+                    scores[scores < threshold - 1e-6] = -np.inf
+                    row, query = blocks.best_rows(scores, None if k is None else k + exclude_self, 2e-6)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(at[query])), *blocks.taken(part.columns[1:], row), pa.array(scores[row, query])], schema=arrow)
+
+    found = chunks.where("size(embedding) > 0").select("embedding", "id", *tie_breaks).mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double")
+    pairs = found.withColumn("score", F.round("score", 6))
     pairs = pairs.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
     if exclude_self:
         pairs = pairs.where(F.col("id") != F.col("query_id"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brindle.operators import inverted, store
-from brindle.plans.queries_search import item_queries, text_chunks
+from brindle.operators import inverted, quantized, store
+from brindle.plans.queries_search import _dense_sql, item_queries, text_chunks, vector_chunks, vector_queries
 from brindle.plans.registry import ORACLES, query
 from brindle.session import scratch_path
 
@@ -41,3 +41,10 @@ def _(spark, d):
 def _(spark, d):
     """What a refresh touched: only new and changed documents are in its segment."""
     return store.load(spark, f"{refreshed(spark, d)}/manifest").select("segment", "n_docs", "dead_docs")
+
+
+@query("vector_quantized", _dense_sql(5, condition="true"))
+def _(spark, d):
+    """Approximate search by codes, ranked exactly among a fifth of the smallest tables' vectors and less of larger ones."""
+    chunks = vector_chunks(spark, d)
+    return quantized.search(quantized.build(chunks), chunks, vector_queries(spark, d), 5)

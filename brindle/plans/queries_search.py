@@ -106,7 +106,7 @@ _BM25 = """SELECT query_id, p.id, round(least(sum(ln(1 + (n_docs - df + 0.5) / (
 
 @query("bm25_topk", f"WITH {_POSTINGS} {_topk(_BM25, 10)}")
 def _(spark, d):
-    return lexical.top(lexical.bm25(text_chunks(spark, d), item_queries(spark, d)), 10)
+    return lexical.best(text_chunks(spark, d), item_queries(spark, d), 10)
 
 
 _RANK = "SELECT query_id, id, round(sum(CAST(0.1 AS DOUBLE) * list_sum(list_transform(range(1, CAST(tf AS BIGINT) + 1), lambda i: 1.0 / (i * i))) / CAST(1.64493406685 AS DOUBLE)) / any_value(n_terms), 6) AS score FROM p JOIN qt USING (term) GROUP BY query_id, id"
@@ -114,8 +114,7 @@ _RANK = "SELECT query_id, id, round(sum(CAST(0.1 AS DOUBLE) * list_sum(list_tran
 
 @query("fulltext_any", f"WITH {_POSTINGS} {_topk(_RANK, 10)}")
 def _(spark, d):
-    terms = lexical.query_terms(item_queries(spark, d))
-    return lexical.top(lexical.ts_rank(lexical.asked_counts(text_chunks(spark, d), terms), terms, "any"), 10)
+    return lexical.best(text_chunks(spark, d), item_queries(spark, d), 10, "rank")
 
 
 #: English words and their published stems ("" for function words, which are left out). The documents are invented prose, so English
@@ -165,8 +164,7 @@ def _(spark, d):
     p AS (SELECT id, term, count(*) AS tf FROM w GROUP BY id, term),
     qt AS (SELECT item_id AS query_id, len(ts) AS n_terms, t AS term FROM (SELECT item_id, list_distinct({_english_sql('text')}) AS ts FROM benchmark), unnest(ts) AS u(t)) {_topk(_RANK, 10)}""")
 def _(spark, d):
-    terms = lexical.query_terms(english_queries(spark, d), lexical.english)
-    return lexical.top(lexical.ts_rank(lexical.asked_counts(english_chunks(spark, d), terms, analyze=lexical.english), terms, "any"), 10)
+    return lexical.best(english_chunks(spark, d), english_queries(spark, d), 10, "rank", analyze=lexical.english)
 
 
 @query("fulltext_all", f"WITH {_POSTINGS} SELECT query_id, id, count(*) AS n_matched, sum(tf) AS tf FROM p JOIN qt USING (term) GROUP BY query_id, id HAVING count(*) = any_value(n_terms)")
@@ -248,8 +246,7 @@ def _(spark, d):
 @query("hybrid_three_lists", f"WITH {_BOTH} {_rrf_sql([('dense', 'CAST(1 AS DOUBLE)'), ('sparse', 'CAST(1 AS DOUBLE)'), ('bm', 'CAST(1 AS DOUBLE)')], 10, 20)}")
 def _(spark, d):
     chunks, queries = both_chunks(spark, d), both_queries(spark, d)
-    terms = lexical.query_terms(queries)
-    lists = [vectors.search(chunks, queries, 20, 0.05), lexical.top(lexical.ts_rank(lexical.asked_counts(chunks, terms), terms, "any"), 20), lexical.top(lexical.bm25(chunks, queries), 20)]
+    lists = [vectors.search(chunks, queries, 20, 0.05), lexical.best(chunks, queries, 20, "rank"), lexical.best(chunks, queries, 20)]
     return fusion.ranked(fusion.rrf(lists), 10)
 
 
@@ -270,7 +267,7 @@ def _(spark, d):
 @query("merged_results", f"WITH {_BOTH} {_topk('SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM dense WHERE rank <= 10 UNION ALL SELECT query_id, id, score FROM bm WHERE rank <= 10) GROUP BY query_id, id', 10)}")
 def _(spark, d):
     chunks, queries = both_chunks(spark, d), both_queries(spark, d)
-    return fusion.ranked(fusion.best_of(vectors.search(chunks, queries, 10, 0.05), lexical.top(lexical.bm25(chunks, queries), 10)), 10)
+    return fusion.ranked(fusion.best_of(vectors.search(chunks, queries, 10, 0.05), lexical.best(chunks, queries, 10)), 10)
 
 
 @query("identifier_boost", "SELECT conv_id, turn, round(0.5 + CASE WHEN (conv_id + turn) % 6 = 2 AND turn % 2 = 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END, 6) AS score FROM conversations")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from brindle.operators import graph
@@ -208,3 +209,74 @@ def test_queries_set_no_number_of_rounds(spark, monkeypatch, name, operator):
 def test_index_finds_nine_of_ten(spark):
     found = [r["recall"] for r in catalog.QUERIES["vector_ivf"](spark, "/root/testdata/sf0.01").collect()]
     assert found and sum(found) / len(found) >= 0.9, sorted(found)
+
+
+def modularity(pairs, part):
+    total, degree, held, inside = 2 * len(pairs), {}, {}, 0
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        inside += 2 * (part[a] == part[b])
+    for u, k in degree.items():
+        held[part[u]] = held.get(part[u], 0) + k
+    return inside / total - sum(k * k for k in held.values()) / total**2
+
+
+def one_by_one(pairs, seed=42):
+    """Greedy modularity as it is usually done: nodes move one after the other, then communities become nodes."""
+    level = {u: dict.fromkeys(vs, 1.0) for u, vs in neighbours(pairs).items()}
+    group, rng = {u: u for u in level}, np.random.default_rng(seed)
+    while True:
+        strength, own, moved = {u: sum(v.values()) for u, v in level.items()}, {u: u for u in level}, False
+        total, held, nodes = sum(strength.values()), dict(strength), sorted(level)
+        while True:
+            again = False
+            for u in (nodes[i] for i in rng.permutation(len(nodes))):
+                links = {}
+                for v, w in level[u].items():
+                    if v != u:
+                        links[own[v]] = links.get(own[v], 0.0) + w
+                held[own[u]] -= strength[u]
+                gain = lambda c: links.get(c, 0.0) - strength[u] * held[c] / total  # noqa: B023, E731
+                best = max(links, key=lambda c: (gain(c), -c), default=own[u])
+                if gain(best) > gain(own[u]) + 1e-12:
+                    own[u], again, moved = best, True, True
+                held[own[u]] += strength[u]
+            if not again:
+                break
+        if not moved:
+            return group
+        group, folded = {x: own[g] for x, g in group.items()}, {}
+        for u, row in level.items():
+            for v, w in row.items():
+                into = folded.setdefault(own[u], {})
+                into[own[v]] = into.get(own[v], 0.0) + w
+        level = folded
+
+
+def planted(seed, n, groups, within, between):
+    rng = np.random.default_rng(seed)
+    return [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < (within if i % groups == j % groups else between)]
+
+
+@pytest.mark.parametrize("pairs", [planted(3, 60, 4, 0.5, 0.04), planted(7, 60, 3, 0.15, 0.08), [(0, i) for i in range(1, 12)] + [(0, 100), (100, 101), (100, 102), (101, 102)]])
+def test_louvain_near_sequential_modularity(spark, pairs):
+    got = {r["id"]: r["community"] for r in graph.louvain(frame(spark, pairs)).collect()}
+    assert got.keys() == neighbours(pairs).keys() and all(min(x for x in got if got[x] == c) == c for c in set(got.values()))
+    assert modularity(pairs, got) >= 0.98 * modularity(pairs, one_by_one(pairs)) - 1e-9
+
+
+def test_louvain_keeps_edges_in_spark(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    collect = DataFrame.collect
+
+    def one_row(self):
+        found = collect(self)
+        assert len(found) <= 1
+        return found
+
+    monkeypatch.setattr(DataFrame, "collect", one_row)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("collected"))
+    monkeypatch.setattr(graph, "LOUVAIN_ROUNDS", 2)
+    assert graph.louvain(frame(spark, [(1, 2), (3, 4)]), 1).columns == ["id", "community"]
+    assert graph.louvain(frame(spark, [(1, 2)]).limit(0)).isEmpty()

@@ -158,21 +158,24 @@ def candidate_links(classes: DataFrame) -> DataFrame:
                 part = once[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].astype(np.int8)), *(pa.array(part[:, k]) for k in (1, 2, 3))], names=["kind", "bucket", "a", "b"])
 
-        rest, opening = None, None  # rows of the key that is not complete yet; the partition's first key
+        rest, opening = [], None  # rows of the key that is not complete yet, in parts; the partition's first key
         for batch in batches:
             if not batch.num_rows:
                 continue
             first = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             rows = first, batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SIDE)
-            if rest is not None:
-                rows = tuple(map(np.concatenate, zip(rest, rows)))
             opening = rows[0][0] if opening is None else opening
+            if rest and rows[0][-1] == rest[0][0][-1]:
+                rest.append(rows)
+                continue
+            rows = tuple(map(np.concatenate, zip(*rest, rows)))
             cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
             _buckets(keep, *(x[:cut] for x in rows), opening, None)
-            rest = tuple(x[cut:] for x in rows)
+            rest = [tuple(x[cut:] for x in rows)]
             if sum(map(len, out)) > 500_000:
                 yield from found()
-        if rest is not None:
+        if rest:
+            rest = tuple(map(np.concatenate, zip(*rest)))
             _buckets(keep, *rest, opening, rest[0][-1])
         yield from found()
 

@@ -45,14 +45,14 @@ def confidence(kind: Column, name: Column, matched: Column) -> Column:
     return F.least(F.lit(1.0), F.round(score, 6))
 
 
-def _typed_matches(c: Column, order: int, kind: str, pattern: str, group: int, accept: float, window: int) -> Column:
-    """array<struct<type, name, confidence, context, pos>> of one pattern's matches in a text, in text order.
+def _typed_matches(c: Column, found: Column, order: int, kind: str, pattern: str, group: int, accept: float, window: int) -> Column:
+    """array<struct<type, name, confidence, context, pos>> of one pattern's matches ``found`` in a text, in text order.
 
-    A match starts where the last one ended, after the piece between them.
+    A match starts where the last one ended, after the piece between them; its name is sought in the match alone.
     """
-    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (0, group)]
     gaps = F.transform(F.split(c, pattern, -1), F.length)
-    both = F.filter(F.zip_with(F.zip_with(*found, lambda m, n: F.struct(m.alias("m"), n.alias("n"))), gaps, lambda x, g: F.struct(x["m"].alias("m"), x["n"].alias("n"), g.alias("g"))), lambda x: x["m"].isNotNull())
+    name = (lambda m: m) if group == 0 else (lambda m: F.regexp_extract(m, pattern, group))
+    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), name(m).alias("n"), g.alias("g")))
     none = F.array().cast("array<struct<m:string,n:string,start:int>>")
 
     def place(acc: Column, x: Column) -> Column:
@@ -71,15 +71,20 @@ def _typed_matches(c: Column, order: int, kind: str, pattern: str, group: int, a
     return F.filter(F.transform(placed, entity), lambda e: e["confidence"] > accept)
 
 
+_ENTITY = "array<struct<type:string,name:string,confidence:double,context:string,pos:bigint>>"
+
+
 def advanced_entities(docs: DataFrame, accept: float = 0.5, window: int = 100) -> DataFrame:
     """(document_id, type, name, confidence, context, pos): matches of the typed patterns, the best per type and name.
 
-    One pass over the texts; only matches leave the row. Ties go to the first match: by pattern, then by place.
+    Each pattern scans a text once, and once more where it matches; only matches leave the row. Ties go to the first match: by pattern, then by place.
     """
     c = F.col("content")
     patterns = [(kind, p, group) for kind, ps in V.ADVANCED_ENTITY_PATTERNS.items() for p, group in ps]
-    found = F.concat(*[_typed_matches(c, order, kind, f"(?imU){p}", group, accept, window) for order, (kind, p, group) in enumerate(patterns)])
-    return best_entities(docs.select("document_id", F.explode(found).alias("e")).select("document_id", "e.*"), ["document_id"])
+    rows = docs.select("document_id", "content", *[F.regexp_extract_all(c, F.lit(f"(?imU){p}"), F.lit(0)).alias(f"m{order}") for order, (_, p, _) in enumerate(patterns)])
+    each = [(F.col(f"m{order}"), _typed_matches(c, F.col(f"m{order}"), order, kind, f"(?imU){p}", group, accept, window)) for order, (kind, p, group) in enumerate(patterns)]
+    found = F.concat(*[F.when(F.size(m) > 0, x).otherwise(F.array().cast(_ENTITY)) for m, x in each])
+    return best_entities(rows.select("document_id", F.explode(found).alias("e")).select("document_id", "e.*"), ["document_id"])
 
 
 def best_entities(entities: DataFrame, by: list[str]) -> DataFrame:

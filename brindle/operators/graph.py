@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
+from brindle.operators import substrings
 from brindle.session import few, materialize, release
 
 # --- extraction --------------------------------------------------------------------------------
@@ -239,7 +240,10 @@ def triples(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 def local_search(queries: DataFrame, entities: DataFrame, relations: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, triple, rank): for each query (query_id, pattern) the first entity whose name holds the pattern, and its triples."""
-    hit = entities.join(queries, F.contains(F.lower("name"), F.lower("pattern")))
+    wanted = queries.select("query_id", F.lower("pattern").alias("pattern"))
+    hit = substrings.occurrences(entities.select("id", "name", F.lower("name").alias("_low")), "_low", wanted).join(few(wanted), "pattern")
+    everywhere = entities.select("id", "name").join(F.broadcast(wanted.where("pattern = ''")))  # an empty pattern is in every name
+    hit = hit.select("id", "name", "query_id").unionByName(everywhere.select("id", "name", "query_id"))
     first = hit.groupBy("query_id").agg(F.min(F.struct("name", "id")).alias("e")).select("query_id", F.col("e.id").alias("id"))
     t = triples(relations, entities)
     own = first.join(t.withColumnRenamed("source_id", "id"), "id").select("query_id", "triple").unionByName(first.join(t.withColumnRenamed("target_id", "id"), "id").select("query_id", "triple")).distinct()

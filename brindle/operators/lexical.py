@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from brindle.functions import text as T
 from brindle.functions import vocabulary as V
 from brindle.functions.stemming import stems
-from brindle.operators import blocks
+from brindle.operators import blocks, substrings
 from brindle.session import few, materialize
 
 
@@ -224,10 +224,12 @@ def best(
 
 
 def contains_search(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
-    """(query_id, id, score) of documents that hold a word of the query as a substring, by term frequency relevance."""
-    pairs = docs.select(F.col(id_column).alias("id"), F.col(content).alias("_c"), F.lower(content).alias("_low"), T.word_count(content).alias("_n")).crossJoin(few(queries.select("query_id", T.words(F.lower("query_text")).alias("_q"))))
-    hits = F.aggregate("_q", F.lit(0), lambda a, t: a + ((F.length("_low") - F.length(F.replace(F.col("_low"), t, F.lit("")))) / F.length(t)).cast("int"))
-    return pairs.select("query_id", "id", F.when(F.col("_n") > 0, F.round(F.least(F.lit(1.0), hits / F.col("_n")), 6)).otherwise(0.0).alias("score")).where("score > 0")
+    """(query_id, id, score) of documents that hold a word of the query as a substring, by term frequency relevance. One pass over the texts for all words."""
+    words = queries.select("query_id", F.explode(T.words(F.lower("query_text"))).alias("pattern")).groupBy("query_id", "pattern").agg(F.count("*").alias("times"))
+    rows = docs.select(F.col(id_column).alias("id"), F.lower(content).alias("_low"), T.word_count(content).alias("_n")).where("_n > 0")
+    found = substrings.occurrences(rows, "_low", words).select("id", "_n", "pattern", "n")
+    hits = found.join(few(words), "pattern").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("times")).alias("hits"), F.first("_n").alias("_n"))
+    return hits.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("hits") / F.col("_n")), 6).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import vocabulary as V
@@ -85,13 +85,65 @@ def generate_id() -> Column:
     return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
 
 
+def nesting(json: Column | str) -> Column:
+    """How deep the objects of a JSON text are nested: 1 for a flat one, 0 without any. Braces inside strings don't count."""
+    bare = F.regexp_replace(col(json), r'"(?:[^"\\]|\\.)*+"|[^"{}]++', "")
+    depth = F.aggregate(
+        F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: F.struct((a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")),
+        lambda a: a["most"],
+    )
+    return F.coalesce(depth, F.lit(0))
+
+
+def deepest(rows: DataFrame, *json: str) -> int:
+    """The greatest ``nesting`` in the JSON columns: what ``flatten_json`` and ``merge_json`` need to take all of it apart."""
+    return rows.agg(F.max(F.greatest(F.lit(0), *map(nesting, json)))).first()[0] or 0
+
+
+_OBJECT = "map<string,variant>"
+
+
+def _is_object(v: Column) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+
+
 def flatten_json(json: Column | str, depth: int = 4) -> Column:
-    """map<string,string> from dotted keys to values of a JSON object, nested up to ``depth`` levels."""
-    pairs = F.map_entries(F.from_json(col(json), "map<string,string>"))
-    for _ in range(depth):
-        deeper = lambda e: F.when(F.startswith(e["value"], F.lit("{")), F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))).otherwise(F.array(e))
+    """map<string,string> from dotted keys to values of a JSON object, nested up to ``depth`` levels (see ``deepest``).
+
+    Arrays and what lies deeper stay JSON texts; empty objects have no keys; of equal dotted keys the last one counts.
+    """
+
+    def deeper(e: Column) -> Column:
+        inside = F.transform(F.map_entries(e["value"].cast(_OBJECT)), lambda i: F.struct(F.concat_ws(".", e["key"], i["key"]).alias("key"), i["value"].alias("value")))
+        return F.when(_is_object(e["value"]), inside).otherwise(F.array(e))
+
+    pairs = F.map_entries(F.from_json(col(json), _OBJECT))
+    for _ in range(depth - 1):
         pairs = F.flatten(F.transform(pairs, deeper))
-    return F.map_from_entries(pairs)
+    empty = F.schema_of_variant
+    once = F.transform(F.array(pairs), lambda p: F.filter(p, lambda e, i: (empty(e["value"]) != "OBJECT<>") & ~F.exists(F.slice(p, i + 2, F.size(p)), lambda later: later["key"] == e["key"])))
+    return F.map_from_entries(F.transform(F.element_at(once, 1), lambda e: F.struct(e["key"], e["value"].cast("string"))))
+
+
+def merge_json(a: Column | str, b: Column | str, depth: int = 4) -> Column:
+    """Two JSON objects as one, as text: objects under equal keys are merged down to ``depth`` levels (see ``deepest``), else the right value wins.
+
+    What is null or no object counts as an empty one.
+    """
+
+    def merged(x: Column, y: Column, left: int) -> Column:
+        def pick(_, v: Column, w: Column) -> Column:
+            plain = F.coalesce(w, v)
+            if left <= 1:
+                return plain
+            both = _is_object(v) & _is_object(w)
+            return F.when(both, F.to_variant_object(merged(v.cast(_OBJECT), w.cast(_OBJECT), left - 1))).otherwise(plain)
+
+        return F.map_zip_with(x, y, pick)
+
+    top = lambda c: F.coalesce(F.from_json(col(c), _OBJECT), F.from_json(F.lit("{}"), _OBJECT))
+    return F.to_json(merged(top(a), top(b), max(depth, 1)))
 
 
 def is_json(c: Column | str) -> Column:

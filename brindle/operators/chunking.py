@@ -144,12 +144,15 @@ def markdown_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> Data
     return parts.select("document_id", "section", "section_title", "start_token", F.array_join(piece, " ").alias("content"), F.size(piece).alias("token_count"))
 
 
-def json_chunks(docs: DataFrame, depth: int = 4) -> DataFrame:
+def json_chunks(docs: DataFrame, depth: int | None = None) -> DataFrame:
     """An array gives a chunk an item, an object a chunk a (dotted) key, anything else one chunk.
 
-    What is no JSON falls back to one chunk ``text`` with ``parsed`` false, for the fixed windows.
+    What is no JSON falls back to one chunk ``text`` with ``parsed`` false, for the fixed windows. Without ``depth``
+    objects are taken apart however deep they are nested, which is found by a pass over them.
     """
-    from brindle.functions.scalars import flatten_json, is_json
+    from brindle.functions.scalars import deepest, flatten_json, is_json
+
+    depth = deepest(docs, "content") if depth is None else depth
 
     c = F.col("content")
     struct = lambda k, v: F.struct(k.cast("string").alias("path"), v.cast("string").alias("content"))

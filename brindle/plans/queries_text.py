@@ -254,6 +254,30 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", S.deep_get("props", "k").alias("k"), S.deep_get("props", "missing.key", "none").alias("missing"), S.deep_get(set_, "a.b").alias("written"))
 
 
+_NESTED = """'{"a": {"b": {"c": {"d": {"e": {"f": ' || props || ', "n": ' || event_id || '}, "s": "{x"}}}, "z": []}, "b": {}, "t": "' || event_type || '"}'"""
+
+
+@query(
+    "flatten_deep_json",
+    f"""SELECT event_id, unnest(['a.b.c.d.e.f.k', 'a.b.c.d.e.n', 'a.b.c.d.s', 'a.z', 't']) AS key,
+    unnest([props->>'$.k', CAST(event_id AS VARCHAR), '{{x', '[]', event_type]) AS value FROM events""",
+)
+def _(spark, d):
+    """Seven levels, a string that looks like an object, an array, an empty object."""
+    rows = table(spark, d, "events").withColumn("j", F.expr(_NESTED))
+    return rows.select("event_id", F.explode(S.flatten_json("j", S.deepest(rows, "j"))))
+
+
+@query("merge_deep_json", """SELECT event_id, CAST(event_id AS VARCHAR) AS kept, props->>'$.k' AS put, CASE WHEN event_id % 2 = 0 THEN 'flat' ELSE event_type END AS won, 'sibling' AS beside FROM events""")
+def _(spark, d):
+    left = """'{"a": {"b": {"c": {"kept": ' || event_id || ', "put": 0}, "beside": "sibling"}}, "won": {"was": "' || event_type || '"}}'"""
+    right = """'{"a": {"b": {"c": {"put": ' || get_json_object(props, '$.k') || '}}}' || if(event_id % 2 = 0, ', "won": "flat"', ', "won": {"other": 1}') || '}'"""
+    rows = table(spark, d, "events").select("event_id", F.expr(left).alias("l"), F.expr(right).alias("r"))
+    rows = rows.withColumn("m", S.merge_json("l", "r", S.deepest(rows, "l", "r")))
+    at = lambda p: S.deep_get("m", p)
+    return rows.select("event_id", at("a.b.c.kept").alias("kept"), at("a.b.c.put").alias("put"), F.when(F.col("event_id") % 2 == 0, at("won")).otherwise(at("won.was")).alias("won"), at("a.b.beside").alias("beside"))
+
+
 @query("json_validity", "SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN props || '}' ELSE props END) AS valid FROM events")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", S.is_json(F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))).alias("valid"))

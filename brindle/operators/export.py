@@ -10,8 +10,8 @@ FORMATS = ("json", "csv", "markdown", "excel")
 
 
 def json_rows(answers: DataFrame) -> DataFrame:
-    """(query_id, document): each answer with its sources as one JSON text."""
-    return answers.select("query_id", F.to_json(F.struct(*answers.columns)).alias("document"))
+    """(query_id, document): each answer with its sources as one JSON text, nulls included."""
+    return answers.select("query_id", F.to_json(F.struct(*answers.columns), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def csv_sources(sources: DataFrame, n_chars: int = 200) -> DataFrame:

@@ -16,13 +16,33 @@ def allowed(path) -> F.Column:
     return T.file_extension(path).isin(*EXTENSIONS)
 
 
-def files(spark: SparkSession, paths: str | list[str], recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def files(spark: SparkSession, paths: str | list[str], recursive: bool = True, extensions: tuple[str, ...] = EXTENSIONS, max_bytes: int = MAX_BYTES, oversize: str = "fail") -> DataFrame:
     """(path, content, modified): whole UTF-8 files of known extensions, up to ``max_bytes``, one row a file.
 
-    Files over the cap are left out before their content is read (the length is a column of the scan).
+    The content of larger files is never read (the length is a column of the scan); the scan fails at the first of them, or with
+    ``oversize`` "skip" leaves them out. ``rejected`` lists them. A path that isn't there fails.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(paths)
-    return raw.where(F.col("length") <= max_bytes).select("path", F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"))
+    if oversize not in ("fail", "skip"):
+        raise ValueError(f"oversize is fail or skip, not {oversize!r}")
+    raw = _scan(spark, paths, recursive, extensions)
+    small = raw.where(F.col("length") <= max_bytes).select("path", F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"))
+    if oversize == "skip":
+        return small
+    message = F.concat(F.lit("file too large: "), "path", F.lit(", bytes: "), F.col("length").cast("string"))
+    large = raw.where(F.col("length") > max_bytes).select("path", F.raise_error(message).cast("string").alias("content"), F.col("modificationTime").alias("modified"))
+    return small.unionByName(large)
+
+
+def rejected(spark: SparkSession, paths: str | list[str], recursive: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, size, reason) of the files that ``files`` doesn't take: over the cap, or of another extension."""
+    raw = _scan(spark, paths, recursive, None).select("path", F.col("length").alias("size"))
+    reason = F.when(~F.coalesce(allowed("path"), F.lit(False)), "extension").when(F.col("size") > max_bytes, "size")
+    return raw.withColumn("reason", reason).where("reason is not null")
+
+
+def _scan(spark: SparkSession, paths: str | list[str], recursive: bool, extensions: tuple[str, ...] | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}") if extensions else reader).load(paths)
 
 
 def documents(scan: DataFrame) -> DataFrame:

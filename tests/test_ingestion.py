@@ -30,3 +30,21 @@ def test_from_files_to_graph(spark, tmp_path):
     assert "Graph: " in retrieval.prompts(results, graph_context=context).first()["prompt"]
     again = ingestion.reembed(chunks, chunks.limit(1).select("id"), lambda b: [[9.0]] * len(b))
     assert again.where(F.size("embedding") == 1).count() == 1 and again.count() == chunks.count()
+
+
+def test_files_over_the_cap(spark, tmp_path):
+    import pytest
+
+    from brindle.sources import files
+
+    (tmp_path / "small.txt").write_text("short")
+    (tmp_path / "large.md").write_text("x" * 200)
+    (tmp_path / "other.bin").write_text("?")
+    folder = str(tmp_path)
+    assert {r["path"].rsplit("/", 1)[1]: (r["size"], r["reason"]) for r in files.rejected(spark, folder, max_bytes=100).collect()} == {"large.md": (200, "size"), "other.bin": (1, "extension")}
+    assert [r["content"] for r in files.files(spark, folder, max_bytes=100, oversize="skip").collect()] == ["short"]
+    with pytest.raises(Exception, match="file too large"):
+        files.files(spark, folder, max_bytes=100).collect()
+    assert files.files(spark, folder).count() == 2
+    with pytest.raises(ValueError):
+        files.files(spark, folder, oversize="maybe")

@@ -127,11 +127,11 @@ def _(spark, d):
 _SUBJECT = "'CU' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"
 
 
-@query("graph_answers", f"""SELECT n_nationkey AS query_id, 'SUBJECT ' || {_SUBJECT} AS name FROM nation JOIN customer ON c_custkey = n_nationkey + 1""")
+@query("graph_answers", f"""SELECT n_nationkey AS query_id, {_SUBJECT} AS name FROM nation JOIN customer ON c_custkey = n_nationkey + 1""")
 def _(spark, d):
     """For a question about a subject, the graph entity of its type and name, found among all entities of the reports."""
     asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("what about subject CU"), F.lpad(((F.col("n_nationkey") + 1) % 10000).cast("string"), 4, "0"), F.lit(" now")).alias("query_text"))
     made = ingestion.build_graph(reports(spark, d))
     scores = made["entities"].select("id", F.lit(0.0).alias("pagerank"), F.lit(0.0).alias("betweenness"))
     ranked = ingestion.query_graph(asked, made["entities"], made["relations"], scores)
-    return ranked.where("rank = 1").join(made["entities"].where("type = 'subject'"), "id").select("query_id", "name")
+    return ranked.where("rank = 1").join(made["entities"].where("type = 'subject'"), "id").select("query_id", F.right("name", F.lit(6)).alias("name"))

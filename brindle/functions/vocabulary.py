@@ -88,7 +88,7 @@ ADVANCED_ENTITY_PATTERNS = {
     "study": [(r"\b(?:study|protocol|trial)\s+([A-Z]{2}\d{4})\b", 1), (r"\bprotocol\s*#?\s*(\w+)\b", 1)],
     "domain": [(r"\b(?:domain|sdtm|adam)\s+([A-Za-z]+)\b", 1), (r"\b(?:demographics|adverse\s+events|efficacy|safety)\b", 0)],
 }
-#: (type, verb, confidence): both sides are runs of words.
+#: (type, verb, confidence): both sides are what stands before and after in a run of words, so they need no pattern of their own.
 ADVANCED_RELATIONS = [
     ("received", r"received|took|was\s+given", 0.8), ("experienced", r"had|experienced|reported", 0.8), ("treated_with", r"treated\s+with|managed\s+with", 0.7),
     ("associated_with", r"associated\s+with|linked\s+to", 0.6), ("participated_in", r"participated\s+in|enrolled\s+in", 0.7), ("measured_in", r"measured\s+in|assessed\s+in", 0.6),

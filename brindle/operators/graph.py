@@ -121,14 +121,25 @@ def basic_relations(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("document_id", "type", F.upper("s").alias("source"), F.upper("t").alias("target"))
 
 
-def advanced_relations(docs: DataFrame, entities: DataFrame, max_words: int = 6) -> DataFrame:
+def verb_relations(docs: DataFrame, verbs: list[tuple[str, str, float]]) -> DataFrame:
+    """(document_id, type, confidence, s, t): what stands before and after the last verb of each kind in each run of words.
+
+    A run is all words with nothing but white space between them, so sides may be of any length; a run is
+    cut by one step back from its end, in time that grows with its length.
+    """
+    runs = docs.select("document_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?U)\w++(?:\s++\w++)*+"), F.lit(0))).alias("run"))
+    cut = lambda v: rf"(?isU)\A(.*\w)\s+(?:{v})\s+(\w.*)\z"
+    each = [F.when(F.rlike("run", F.lit(cut(v))), F.struct(F.lit(k).alias("type"), F.lit(sure).alias("confidence"), F.regexp_extract("run", cut(v), 1).alias("s"), F.regexp_extract("run", cut(v), 2).alias("t"))) for k, v, sure in verbs]
+    any_verb = rf"(?iU)\s(?:{'|'.join(v for _, v, _ in verbs)})\s"
+    return runs.where(F.rlike("run", F.lit(any_verb))).select("document_id", F.explode(F.array_compact(F.array(*each))).alias("r")).select("document_id", "r.*")
+
+
+def advanced_relations(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(document_id, type, confidence, subject, object): both sides found among the document's entities.
 
-    A side is at most ``max_words`` words, which bounds backtracking. A side's entity is that of its
-    exact name, else the first (by position) whose name holds it or is held by it.
+    A side's entity is that of its exact name, else the first (by position) whose name holds it or is held by it.
     """
-    run = rf"(\w+(?:\s+\w+){{0,{max_words - 1}}})"
-    rows = _relation_matches(docs, [(k, rf"(?imU){run}\s+(?:{v})\s+{run}", c) for k, v, c in V.ADVANCED_RELATIONS])
+    rows = verb_relations(docs, V.ADVANCED_RELATIONS)
     rows = rows.select("document_id", F.monotonically_increasing_id().alias("r"), "type", "confidence", F.upper(T.strip("s")).alias("s"), F.upper(T.strip("t")).alias("t"))
     rows = rows.drop("r").withColumn("r", F.xxhash64("document_id", "type", "s", "t")).distinct()
 

@@ -332,7 +332,7 @@ def _(spark, d):
     return graph.merge_entities(graph.advanced_entities(reports(spark, d))).select("type", "name", "confidence", F.size("document_ids").cast("bigint").alias("n_documents"), "context")
 
 
-_SIDE = r"(\w+(?:\s+\w+){0,5})"
+_SIDE = r"(\w+(?:\s+\w+)*)"
 _ADVANCED_RELS = " UNION ALL ".join(f"SELECT document_id, '{k}' AS type, {c} AS sure, unnest(regexp_extract_all(content, '(?im){_SIDE}\\s+(?:{v})\\s+{_SIDE}', 1)) AS s, unnest(regexp_extract_all(content, '(?im){_SIDE}\\s+(?:{v})\\s+{_SIDE}', 2)) AS t FROM rep" for k, v, c in V.ADVANCED_RELATIONS)
 
 

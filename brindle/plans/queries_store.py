@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import export, store
+from brindle.operators import export, metrics, store
 from brindle.plans.queries_text import sql_words
 from brindle.plans.registry import query
 from brindle.session import table
@@ -123,6 +123,22 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("mode"), F.year("ts").cast("bigint").alias("y")).agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
+_BOUNDS = (5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0)
+
+
+@query(
+    "query_log_histogram",
+    f"""WITH b AS (SELECT unnest([{', '.join(map(str, _BOUNDS))}, 'inf'::DOUBLE]) AS le), l AS (SELECT event_type AS mode, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, value FROM events),
+    g AS (SELECT DISTINCT mode, status FROM l)
+    SELECT mode, status, le, (SELECT count(*) FROM l WHERE l.mode = g.mode AND l.status = g.status AND l.value <= b.le) AS n FROM g, b""",
+)
+def _(spark, d):
+    """Durations by mode and status: histograms of each month, merged."""
+    log = table(spark, d, "events").select(F.col("event_type").alias("mode"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("success").alias("status"), "value", F.month("ts").alias("month"))
+    monthly = metrics.histogram(log, "value", ["mode", "status", "month"], _BOUNDS)
+    return metrics.cumulative(metrics.merged(monthly, by=["mode", "status"]), ["mode", "status"], _BOUNDS)
+
+
 @query("rate_limit", "SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
     return ingest.requests_per_minute(table(spark, d, "events"), 1).withColumn("start", F.col("start").cast("timestamp_ntz"))

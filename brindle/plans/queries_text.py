@@ -54,6 +54,16 @@ def _(spark, d):
     return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(T.word_count("text")).alias("n_tokens"))
 
 
+@query("bpe_token_counts")
+def _(spark, d):
+    """Tokens of each document by a byte-pair vocabulary."""
+    import public_tokenizers
+
+    from brindle.functions import bpe
+
+    return docs(spark, d).select("doc_id", bpe.token_count("text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).alias("n_tokens"))
+
+
 @query("sanitize_filenames", r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '[\x00-\x1f\x7f]', '', 'g') AS name FROM pages)
     SELECT page_id, CASE WHEN length(name) > 255 THEN substr(name, 1, 255) ELSE name END AS file_name, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '([^.]*)$', 1)) ELSE '' END AS extension FROM n""")
 def _(spark, d):

@@ -562,16 +562,17 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(F.round(F.sum("part") * scale, 6).alias("betweenness"))
 
 
-#: Rounds of moves at a level at most, and rounds without a better modularity after which a level ends (a node may move in every other one).
-LOUVAIN_ROUNDS, LOUVAIN_PATIENCE = 40, 4
+#: Rounds of moves at a level at most, and rounds without a better modularity after which a level ends.
+LOUVAIN_ROUNDS, LOUVAIN_PATIENCE = 80, 4
 
 
-def _moves(ways: DataFrame, now: DataFrame, total: float, turn: int) -> DataFrame:
+def _moves(ways: DataFrame, now: DataFrame, total: float, kept: list[str]) -> DataFrame:
     """(u, k, old, inside, new): each node's community, its weight into it, and where it goes in this round.
 
     ``ways``: (u, v, w) both ways, a loop once with all of its weight; ``now``: (u, k, community), k the sum of a node's weights.
-    A node joins the neighbouring community of greatest gain, if that is more than its own; of equal gains the least community.
-    About half of the nodes, other ones each round, may move at once, so that neighbours don't swap for ever.
+    A node would join the neighbouring community of greatest gain, if that is more than its own; of equal gains the least community.
+    It does so if no neighbour would gain more by a move of its own (of equal gains the greater node goes), so
+    that neighbours don't move at once and the node that gains most always does.
     """
     held = now.groupBy("community").agg(F.sum("k").alias("held"))
     links = ways.join(now.select(F.col("u").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum(F.when(F.col("u") != F.col("v"), F.col("w")).otherwise(0.0)).alias("w"), F.sum("w").alias("all"))
@@ -587,26 +588,30 @@ def _moves(ways: DataFrame, now: DataFrame, total: float, turn: int) -> DataFram
     )
     away = own.join(held.withColumnRenamed("community", "old"), "old").join(best, "u", "left")
     stay = F.coalesce("stay", -F.col("k") * (F.col("held") - F.col("k")) / F.lit(total))  # no link into its own community
-    may = F.pmod(F.xxhash64("u", F.lit(turn // 2)), F.lit(2)) == turn % 2
-    new = F.when(may & (-F.col("first.loss") > stay + 1e-11), F.col("first.community")).otherwise(F.col("old"))
-    return away.select("u", "k", "old", F.coalesce("inside", F.lit(0.0)).alias("inside"), new.alias("new"))
+    more = F.round(-F.col("first.loss") - stay, 12)
+    want = away.select("u", "k", "old", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.when(more > 1e-11, more).alias("gain"), F.col("first.community").alias("to"))
+    want = materialize(want, "wants", kept)
+    movers = want.where("gain is not null").select("u", F.struct("gain", "u").alias("claim"))
+    rivals = ways.where("u <> v").join(movers.select(F.col("u").alias("v"), "claim"), "v").groupBy("u").agg(F.max("claim").alias("rival"))
+    goes = F.col("gain").isNotNull() & (F.col("rival").isNull() | (F.struct("gain", "u") > F.col("rival")))
+    return want.join(rivals, "u", "left").select("u", "k", "old", "inside", F.when(goes, F.col("to")).otherwise(F.col("old")).alias("new"))
 
 
 def _level(ways: DataFrame, start: DataFrame, total: float) -> tuple[DataFrame, float]:
     """(u, community) of the round of greatest modularity, as a written table, and that modularity, from the communities ``start`` (u, community) on."""
     spark, kept = ways.sparkSession, []
     now = materialize(ways.groupBy("u").agg(F.sum("w").alias("k")).join(start, "u"), "round", kept)
-    best, found, since, last = None, -2.0, 0, 1
-    for turn in range(LOUVAIN_ROUNDS):
-        round_ = materialize(_moves(ways, now, total, turn), "round", kept)
+    best, found, since = None, -2.0, 0
+    for _ in range(LOUVAIN_ROUNDS):
+        round_ = materialize(_moves(ways, now, total, kept), "round", kept)
         inside, moved = round_.agg(F.sum("inside"), F.count(F.when(F.col("new") != F.col("old"), 1))).first()
         spread = round_.groupBy("old").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
         modularity, since = inside / total - spread / total**2, since + 1
         if modularity > found + 1e-9:
             best, found, since = round_.select("u", F.col("old").alias("community")), modularity, 0
-        if since >= LOUVAIN_PATIENCE or not moved and not last:
+        if since >= LOUVAIN_PATIENCE or not moved:
             break
-        last, now = moved, round_.select("u", "k", F.col("new").alias("community"))
+        now = round_.select("u", "k", F.col("new").alias("community"))
     best = materialize(best, "level")
     release(spark, kept)
     return best, found

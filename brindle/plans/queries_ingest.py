@@ -124,6 +124,19 @@ def _(spark, d):
     return retrieval.with_result_cache(cache, queries, search, keys)[0]
 
 
+@query("lasting_cache", ORACLES["bm25_topk"])
+def _(spark, d):
+    """Some queries are searched and stored, then all are asked: an hour later the first are still held, a day later none is."""
+    from brindle.operators import lexical
+
+    docs, queries, path = text_chunks(spark, d), item_queries(spark, d), scratch_path(spark, "cache")
+    keys = {"mode": F.lit("bm25"), "k": F.lit(10), "filters": F.lit(""), "study_id": F.lit(None).cast("string")}
+    search = lambda some: lexical.best(docs, some, 10)
+    at = lambda x: F.lit(x).cast("timestamp")
+    retrieval.cached_search(path, queries.where("query_id % 3 = 0"), search, keys, at("2024-01-01 10:00:00"), 7200)
+    return retrieval.cached_search(path, queries, search, keys, at("2024-01-01 11:00:00"), 7200)
+
+
 _SUBJECT = "'CU' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"
 
 

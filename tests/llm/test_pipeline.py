@@ -40,8 +40,8 @@ def test_clean_documents_stay(spark):
         assert share > 0.97, name
 
 
-def test_odd_and_empty_rows(spark, odd, empty):
-    for docs in (odd, empty):
+def test_odd_and_empty_rows(spark, odd, empty, broken):
+    for docs in (odd, empty, broken):
         before = docs
         for name, stage in pipeline.STAGES[:-1]:
             before = materialize(stage(spark, before, SMALL), name)
@@ -49,3 +49,14 @@ def test_odd_and_empty_rows(spark, odd, empty):
         assert pipeline.STAGES[-1][1](spark, before, SMALL).count() == before.count()
     once = pipeline.near_duplicates(spark, odd.where(F.col("doc_id") == 10), SMALL)
     assert once.count() == 1
+
+
+def test_broken_bytes_by_stage(spark, broken):
+    """Each stage on texts that aren't valid UTF-8, whatever the one before kept: bytes stay as they are, equal ones are one."""
+    bad = broken.where("doc_id in (20, 21, 22, 23)")
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, bad, SMALL).columns == bad.columns, name
+    left = pipeline.near_duplicates(spark, bad, SMALL)
+    assert {r["doc_id"] for r in left.collect()} == {20, 21, 22}
+    assert left.selectExpr("hex(cast(text as binary)) h").where("h = 'FF'").count() == 1
+    assert pipeline.encoding(spark, bad, SMALL).count() == 4

@@ -18,8 +18,16 @@ def safe_divide(a: Column | str, b: Column | str, default: float = 0.0) -> Colum
 
 
 def _two_places(c: Column, unit: str) -> Column:
-    """Two decimals, exact halves to the even digit."""
-    return F.format_string(f"%.2f{unit}", F.bround(c, 2))
+    """Two decimals of the double's exact value, as C formats it: exact halves to the even digit.
+
+    ``bround`` takes the shortest decimal of a double (1.225) for its value (1.22500000000000008882).
+    """
+    size = F.abs(c)
+    n = F.floor(size * 100).cast("double")
+    head = size.cast("float").cast("double")
+    over = (200 * head - (2 * n + 1)) + 200 * (size - head)  # 200 x size against the half: both products and the first difference are exact
+    cents = n + F.when(over > 0, 1.0).when(over == 0, n % 2).otherwise(0.0)
+    return F.format_string(f"%.2f{unit}", F.when(size < 2.0**44, F.signum(c) * cents / 100).otherwise(F.bround(c, 2)))
 
 
 def format_bytes(c: Column | str) -> Column:

@@ -40,6 +40,12 @@ def normalized(a: Column | str) -> Column:
     return F.element_at(F.transform(once, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] == 0, x.cast("double")).otherwise(x.cast("double") / s["n"]))), 1)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``round`` that keeps the sign of what becomes zero: -0.000001 gives -0.0."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: float = 0.7, strict: bool = False, tie_breaks: tuple[str, ...] = (), exclude_self: bool = False) -> DataFrame:
     """Best ``k`` chunks (id, embedding) of each query (query_id, query_embedding), as (query_id, id, score, rank).
 

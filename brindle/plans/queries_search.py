@@ -54,7 +54,7 @@ def _(spark, d):
 
 @query("vector_normalization", "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 5)) AS unit FROM embeddings")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.normalized("embedding"), lambda x: F.round(x, 5)).alias("unit"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(vectors.normalized("embedding"), lambda x: vectors.rounded(x, 5)).alias("unit"))
 
 
 @query("vector_store_stats", "SELECT label, count(*) AS n, max(len(embedding)) AS dimension, round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))), 5) AS mean_square FROM embeddings GROUP BY label")

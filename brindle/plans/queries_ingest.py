@@ -6,6 +6,7 @@ Each compares what comes back with the tables themselves.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from brindle.functions import text as T
 from brindle.operators import chunking, export, graph, store
@@ -18,16 +19,23 @@ from brindle.session import scratch_path, table
 from brindle.sources import files
 
 
+#: Documents (about) below one folder: a folder each would be listed one by one.
+_FOLDER = 1_000
+
+
 def written_documents(spark, d, extension: str = "txt") -> str:
-    """The documents as text files, one each, below a folder that names the document."""
+    """The documents as text files, one each, named by the document, below folders of about ``_FOLDER``."""
     path = scratch_path(spark, "files")
-    rows = table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    rows.write.partitionBy("doc_id").text(path)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    folders = max(1, -(-docs.count() // _FOLDER))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), "doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("text")).alias("n"), "text")
+    names = rows.select(F.concat_ws("/", F.lpad(F.col("folder").cast("string"), 8, "0"), F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("n").cast("string"), F.lit(f".{extension}"))).alias("name"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("content"))
+    files.write_each(names.repartition(spark.sparkContext.defaultParallelism, "name"), path)
     return path
 
 
 def _doc_id(path):
-    return F.regexp_extract(path, r"/doc_id=(\d+)/", 1).cast("bigint")
+    return F.regexp_extract(path, r"/doc_id=(\d+)-", 1).cast("bigint")
 
 
 _BLANK = r"regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''"

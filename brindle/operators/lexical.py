@@ -223,6 +223,16 @@ def best(
     return top(found.withColumn("score", F.round(F.least("score", F.lit(1.0)) if by == "bm25" and clip else F.col("score"), 6)), k)
 
 
+def holding_all(docs: DataFrame, queries: DataFrame, analyze: Callable[[str], Column] = tokens) -> DataFrame:
+    """The rows of ``docs`` (id, content) that can have all terms of a query: found inside the row, so that the tokens of the others don't move.
+
+    Rows that share an id all stay, as their terms count together.
+    """
+    hits = best(docs, queries, (1 << 31) - 1, "rank", "all", analyze=analyze).select("id")
+    shared = docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    return docs.join(few(materialize(hits.unionByName(shared).distinct(), "holding")), "id", "left_semi")
+
+
 def contains_search(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
     """(query_id, id, score) of documents that hold a word of the query as a substring, by term frequency relevance. One pass over the texts for all words."""
     words = queries.select("query_id", F.explode(T.words(F.lower("query_text"))).alias("pattern")).groupBy("query_id", "pattern").agg(F.count("*").alias("times"))

@@ -169,8 +169,9 @@ def _(spark, d):
 
 @query("fulltext_all", f"WITH {_POSTINGS} SELECT query_id, id, count(*) AS n_matched, sum(tf) AS tf FROM p JOIN qt USING (term) GROUP BY query_id, id HAVING count(*) = any_value(n_terms)")
 def _(spark, d):
-    terms = lexical.query_terms(item_queries(spark, d))
-    return lexical.match(lexical.asked_counts(text_chunks(spark, d), terms), terms, "all")
+    asked = item_queries(spark, d)
+    terms = lexical.query_terms(asked)
+    return lexical.match(lexical.asked_counts(lexical.holding_all(text_chunks(spark, d), asked), terms), terms, "all")
 
 
 _COVER = f"""WITH w AS (SELECT doc_id AS id, toks[i] AS term, i - 1 AS pos FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT doc_id, {_tokens('text')} AS toks FROM documents))),
@@ -183,7 +184,8 @@ _COVER = f"""WITH w AS (SELECT doc_id AS id, toks[i] AS term, i - 1 AS pos FROM
 
 @query("fulltext_cover_density", _COVER + _topk("SELECT query_id, id, round(r / (r + 1), 6) AS score FROM (SELECT query_id, id, sum(CAST(n AS DOUBLE) / (e - s + 1)) AS r FROM k WHERE before IS NULL OR s > before GROUP BY query_id, id)", 10))
 def _(spark, d):
-    return lexical.top(lexical.cover_density(lexical.postings(text_chunks(spark, d)), lexical.query_terms(item_queries(spark, d))), 10)
+    asked = item_queries(spark, d)
+    return lexical.top(lexical.cover_density(lexical.postings(lexical.holding_all(text_chunks(spark, d), asked)), lexical.query_terms(asked)), 10)
 
 
 _FEW = "array_to_string((" + _tokens("text") + ")[1:3], ' ')"
@@ -193,7 +195,8 @@ _FEW = "array_to_string((" + _tokens("text") + ")[1:3], ' ')"
 def _(spark, d):
     """Cover density by stems of the first three tokens of each item."""
     asked = english_text(item_queries(spark, d).withColumn("query_text", F.array_join(F.slice(lexical.tokens("query_text"), 1, 3), " ")), "query_text")
-    return lexical.top(lexical.cover_density(lexical.postings(english_chunks(spark, d), analyze=lexical.english), lexical.query_terms(asked, lexical.english)), 10)
+    docs = lexical.holding_all(english_chunks(spark, d), asked, lexical.english)
+    return lexical.top(lexical.cover_density(lexical.postings(docs, analyze=lexical.english), lexical.query_terms(asked, lexical.english)), 10)
 
 
 @query("postings_table", f"WITH {_POSTINGS} SELECT id, term, tf, dl FROM p")

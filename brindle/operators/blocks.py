@@ -29,6 +29,13 @@ def slices(rows: int, width: int) -> list[tuple[int, int]]:
     return [(at, min(rows, at + step)) for at in range(0, rows, step)]
 
 
+def spans(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where to cut rows of ``sizes`` so that each part has about ``most`` in all; a row is never cut."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    ends = [0, *edges.tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(ends, ends[1:]) if a < b]
+
+
 def taken(columns: list[pa.Array], rows: np.ndarray) -> list[pa.Array]:
     index = pa.array(rows)
     return [c.take(index) for c in columns]

@@ -45,12 +45,34 @@ def postings(docs: DataFrame, id_column: str = "id", content: str = "content", s
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+#: Tokens that a task counts at once, about.
+TOKENS = 1 << 20
+
+
+def counted(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, term, tf) of the distinct terms of each list, by rows: one sort of all tokens, however many a list has."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    cell, tf = np.unique(np.repeat(np.arange(len(lists)), sizes) * max(len(coded.dictionary), 1) + coded.indices.to_numpy(), return_counts=True)
+    row, term = np.divmod(cell, max(len(coded.dictionary), 1))
+    return row, coded.dictionary.take(pa.array(term)), tf
+
+
 def term_rows(docs: DataFrame, id_column: str = "id", content: str = "content") -> DataFrame:
-    """(id, term, tf, dl) without positions and without a shuffle: terms are counted inside the row."""
-    found = tokens(content)
-    rows = docs.select(F.col(id_column).alias("id"), found.alias("_t")).select("id", F.size("_t").alias("dl"), F.array_sort("_t").alias("_t"))
-    counted = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_t", lambda x: x == t)).alias("tf")))
-    return rows.select("id", "dl", F.explode(counted).alias("p")).select("id", "p.term", "p.tf", "dl")
+    """(id, term, tf, dl) without positions and without a shuffle: terms are counted where the row is."""
+    rows = docs.select(F.col(id_column).alias("id"), tokens(content).alias("t"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, term string, tf int, dl int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().fill_null(0)
+            for a, b in blocks.spans(sizes.to_numpy(), TOKENS):
+                row, term, tf = counted(batch.column(1).slice(a, b - a))
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), term, pa.array(tf.astype(np.int32)), sizes.take(at).cast(pa.int32())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def query_terms(queries: DataFrame, analyze: Callable[[str], Column] = tokens) -> DataFrame:
@@ -138,16 +160,17 @@ def asked_vectors(docs: DataFrame, names: list[str], id_column: str = "id", cont
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            sizes = lists.value_lengths()
-            found = pc.index_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), sizes.fill_null(0).to_numpy())
-            hit = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), bool)
-            cell, tf = np.unique(row[hit] * len(known) + found[hit].astype(np.int64), return_counts=True)
-            row, at = np.divmod(cell, max(len(known), 1))
-            edges = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (at, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes.cast(pa.int32()), *lists], schema=arrow)
+            for a, b in blocks.spans(batch.column(1).value_lengths().fill_null(0).to_numpy(), TOKENS):
+                lists = batch.column(1).slice(a, b - a)
+                sizes = lists.value_lengths()
+                found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+                row = np.repeat(np.arange(len(lists)), sizes.fill_null(0).to_numpy())
+                hit = found >= 0
+                cell, tf = np.unique(row[hit] * len(known) + found[hit], return_counts=True)
+                row, at = np.divmod(cell, max(len(known), 1))
+                edges = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (at, tf)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes.cast(pa.int32()), *lists], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

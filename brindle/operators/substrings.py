@@ -5,6 +5,8 @@ The automaton (Aho-Corasick) goes through each text once, however many patterns
 
 from __future__ import annotations
 
+from array import array
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -40,31 +42,43 @@ def _blocks(patterns: list[str]) -> list[list[str]]:
     return [[p for p, e in zip(patterns, edges) if e == b] for b in np.unique(edges)]
 
 
+#: Matches that a task holds at once, about.
+MATCHES = 1 << 18
+
+
 def occurrences(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """``rows`` x (pattern, n): a row for each of ``patterns`` (pattern) that stands in the row's text, and how often. Empty and null patterns stand nowhere.
+    """The other columns of ``rows`` x (pattern, n): a row for each of ``patterns`` (pattern) that stands in the row's text, and how often. Empty and null patterns stand nowhere.
 
-    The patterns are a stated set, which goes to every task block by block; texts don't move.
+    The patterns are a stated set, which goes to every task block by block; texts don't move, nor are they repeated for each match.
     """
     wanted = sorted({r[0] for r in patterns.select("pattern").where("pattern <> ''").distinct().toLocalIterator()})
-    names = rows.columns
-    plain = rows.withColumn("_text", F.make_valid_utf8(F.col(text)))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, pattern string, n int"
+    kept = rows.drop(text)
+    names = kept.columns
+    plain = rows.select(*names, F.make_valid_utf8(F.col(text)).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "pattern string", "n int"])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def search(block: list[str]) -> DataFrame:
         def run(batches):
-            automaton = _automaton(block)
+            automaton, known = _automaton(block), pa.array(block, pa.string())
+
+            def table(batch, at: array, found: array, n: array) -> pa.RecordBatch:
+                index = pa.array(np.array(at, np.int64))
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(len(names))), known.take(pa.array(np.array(found, np.int64))), pa.array(np.array(n, np.int32))], schema=arrow)
+
             for batch in batches:
-                at, found, n = [], [], []
-                for i, t in enumerate(batch.column(len(names)).to_pylist()):
-                    for p, c in _counts(automaton, t or "").items():
+                at, found, n = array("q"), array("q"), array("q")
+                for i, t in enumerate(batch.column(len(names))):
+                    for p, c in _counts(automaton, t.as_py() or "").items():
                         at.append(i)
-                        found.append(block[p])
+                        found.append(p)
                         n.append(c)
-                index = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(len(names))), pa.array(found, pa.string()), pa.array(n, pa.int32())], schema=arrow)
+                    if len(at) >= MATCHES:
+                        yield table(batch, at, found, n)
+                        at, found, n = array("q"), array("q"), array("q")
+                yield table(batch, at, found, n)
 
-        return plain.select(*names, "_text").mapInArrow(run, schema)
+        return plain.mapInArrow(run, schema)
 
     out = rows.sparkSession.createDataFrame([], schema)
     for block in _blocks(wanted):

@@ -23,6 +23,39 @@ def best_rows(scores: np.ndarray, k: int | None, slack: float, most: float = np.
     return row, query
 
 
+class Best:
+    """What a task has seen of the scores of each of ``queries`` so far: the k greatest, and no rows.
+
+    A row goes on only if it can be among the best ``k`` of all rows up to it, so that of n rows about k ln(n / k) of a query
+    do, instead of k of each batch.
+    """
+
+    def __init__(self, k: int, queries: int, slack: float, most: float = np.inf):
+        self.k, self.slack, self.most = k, slack, most
+        self.held = np.full((queries, k), -np.inf)
+
+    def rows(self, scores: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) of scores (rows x queries; -inf: no hit) as ``best_rows`` gives them. ``of``: the places of the columns among all queries."""
+        of = np.arange(scores.shape[1]) if of is None else of
+        found = scores > -np.inf
+        hit = found & (scores >= np.minimum(self.held[of, 0], self.most) - self.slack)
+        if len(scores) > self.k and np.count_nonzero(hit) > 8 * self.k * len(of):  # as of the first rows
+            least = np.maximum(np.partition(scores, len(scores) - self.k, 0)[len(scores) - self.k], self.held[of, 0])
+            hit = found & (scores >= np.minimum(least, self.most) - self.slack)
+        row, query = np.nonzero(hit)
+        if len(row):
+            self._keep(scores[row, query], of[query])
+        return row, query
+
+    def _keep(self, scores: np.ndarray, query: np.ndarray) -> None:
+        at, place = np.unique(query, return_inverse=True)
+        every = np.concatenate([scores, self.held[at].ravel()])
+        owner = np.concatenate([place, np.repeat(np.arange(len(at)), self.k)])
+        every = every[np.lexsort((-every, owner))]
+        first = np.concatenate([[0], np.cumsum(np.bincount(owner))[:-1]])
+        self.held[at] = every[first[:, None] + np.arange(self.k)][:, ::-1]
+
+
 def slices(rows: int, width: int) -> list[tuple[int, int]]:
     """Where to cut ``rows`` so that each part times ``width`` has at most CELLS cells."""
     step = max(1, CELLS // max(width, 1))

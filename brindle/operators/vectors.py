@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brindle.operators import blocks
+from brindle.session import materialize
 
 #: Queries (about) whose vectors go to every task at once; more are searched in blocks of this size.
 QUERY_BLOCK = 4_000
@@ -50,7 +51,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: floa
     """Best ``k`` chunks (id, embedding) of each query (query_id, query_embedding), as (query_id, id, score, rank).
 
     The queries are a stated set, taken in blocks of bounded size; every batch of chunks is multiplied with the block's
-    matrix and keeps the best k of each query before rows move. A vector of norm 0 has cosine 0; null vectors and
+    matrix, and rows move only if they can be among the best k of those that their task has seen. A vector of norm 0 has cosine 0; null vectors and
     those of another length than the query's are not found.
     Of equal scores the columns ``tie_breaks`` (descending) and then the least id decide.
     """
@@ -80,6 +81,7 @@ def _search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: flo
     arrow = to_arrow_schema(StructType([*queries.select("query_id").schema, *out, StructField("score", DoubleType())]))
 
     def run(batches):
+        best = None if k is None else blocks.Best(k + exclude_self, len(lengths), 2e-6)
         for batch in batches:
             sizes = batch.column(0).value_lengths().to_numpy()
             for n, (at, mine) in units.items():
@@ -88,7 +90,7 @@ def _search(chunks: DataFrame, queries: DataFrame, k: int | None, threshold: flo
                     part = batch.take(pa.array(rows[a:b]))
                     scores = _unit(_matrix(part.column(0))) @ mine.T
                     scores[scores < threshold - 1e-6] = -np.inf
-                    row, query = blocks.best_rows(scores, None if k is None else k + exclude_self, 2e-6)
+                    row, query = blocks.best_rows(scores, None, 2e-6) if best is None else best.rows(scores, at)
                     if len(row):
                         yield pa.RecordBatch.from_arrays([names.take(pa.array(at[query])), *blocks.taken(part.columns[1:], row), pa.array(scores[row, query])], schema=arrow)
 
@@ -105,7 +107,10 @@ def search_blocks(
     chunks: DataFrame, queries: DataFrame, k: int | None, block: int = QUERY_BLOCK, threshold: float = 0.7, strict: bool = False, tie_breaks: tuple[str, ...] = (), exclude_self: bool = False
 ) -> DataFrame:
     """``search`` for any number of queries: as many scans of the chunks as there are blocks of about ``block`` queries."""
+    queries = materialize(queries.select("query_id", "query_embedding"), "queries")
     n = max(1, -(-queries.count() // block))
+    if n > 1:  # each block reads the vectors; what makes them runs once
+        chunks = materialize(chunks.select("id", "embedding", *tie_breaks), "vectors")
     out = None
     for b in range(n):
         part = _search(chunks, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k, threshold, strict, tie_breaks, exclude_self)
@@ -135,11 +140,47 @@ def ivf_index(chunks: DataFrame, n_lists: int = 32, sample: int = 20_000, seed:
 
 
 def ivf_search(indexed: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-    """Approximate ``search`` over the ``probes`` nearest lists of each query."""
+    """Approximate ``search`` over the ``probes`` nearest lists of each query, which are taken in blocks: a batch's rows of a list meet the queries that probe it in one product."""
     near = queries.crossJoin(F.broadcast(centroids)).withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(cosine(F.col("query_embedding"), F.col("centroid"))), "list_id")))
-    near = near.where(F.col("_n") <= probes).select("query_id", "query_embedding", "list_id")
-    pairs = indexed.join(near, "list_id").select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    near = near.where(F.col("_n") <= probes).groupBy("query_id").agg(F.first("query_embedding").alias("query_embedding"), F.collect_list("list_id").alias("lists"))
+    near = materialize(near, "probes")
+    n = max(1, -(-near.count() // QUERY_BLOCK))
+    if n > 1:
+        indexed = materialize(indexed.select("list_id", "embedding", "id"), "lists")
+    out = None
+    for b in range(n):
+        part = _ivf_block(indexed, near.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b), k)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _ivf_block(indexed: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of what can be among the best ``k`` of a block of queries (query_id, query_embedding, lists)."""
+    kinds = {c: f.schema[c] for c, f in (("query_id", near), ("id", indexed))}
+    asked = near.where("query_embedding is not null").toArrow()
+    vector, names = asked["query_embedding"].combine_chunks(), asked["query_id"].combine_chunks()
+    lengths = vector.value_lengths().to_numpy()
+    probed = asked["lists"].combine_chunks()
+    owner, lists = np.repeat(np.arange(len(probed)), probed.value_lengths().to_numpy()), probed.flatten().to_numpy()
+    groups = {(int(c), int(n)): owner[(lists == c) & (lengths[owner] == n)] for c in np.unique(lists) for n in np.unique(lengths) if n}
+    units = {int(n): _unit(_matrix(vector.filter(pa.array(lengths == n)))) for n in np.unique(lengths) if n}
+    place = {int(n): np.cumsum(lengths == n) - 1 for n in units}
+    arrow = to_arrow_schema(StructType([kinds["query_id"], kinds["id"], StructField("score", DoubleType())]))
+
+    def run(batches):
+        best = blocks.Best(k, len(lengths), 2e-6)
+        for batch in batches:
+            sizes, mine = batch.column(1).value_lengths().to_numpy(), batch.column(0).to_numpy()
+            for (c, n), at in groups.items():
+                rows = np.flatnonzero((sizes == n) & (mine == c)) if len(at) else []
+                for a, b in blocks.slices(len(rows), len(at)):
+                    part = batch.take(pa.array(rows[a:b]))
+                    row, query = best.rows(scores := _unit(_matrix(part.column(1))) @ units[n][place[n][at]].T, at)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(at[query])), part.column(2).take(pa.array(row)), pa.array(scores[row, query])], schema=arrow)
+
+    types = {c: f.dataType.simpleString() for c, f in kinds.items()}
+    return indexed.where("size(embedding) > 0").select("list_id", "embedding", "id").mapInArrow(run, f"query_id {types['query_id']}, id {types['id']}, score double")
 
 
 def hashed_words(texts, dimension: int = 64) -> list[list[float]]:

@@ -219,6 +219,7 @@ def best(
 
         def run(batches):
             used, table = shared.value
+            seen = None if k >= blocks.CELLS // max(len(ids), 1) else blocks.Best(k, len(ids), 2e-6, 1.0 if by == "bm25" and clip else np.inf)
             for batch in batches:
                 lists = batch.column(2)
                 row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
@@ -234,7 +235,7 @@ def best(
                     none = (weights > 0).astype(np.float64) @ table < many if mode == "all" else scores <= 0
                     scores = scores / many if by != "bm25" else scores / (clip or 1.0)
                     scores[none] = -np.inf
-                    hit, of = blocks.best_rows(scores, k, 2e-6, 1.0 if by == "bm25" and clip else np.inf)
+                    hit, of = blocks.best_rows(scores, None, 2e-6) if seen is None else seen.rows(scores)
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), batch.column(0).slice(a, b - a).take(pa.array(hit)), pa.array(scores[hit, of])], schema=arrow)
 

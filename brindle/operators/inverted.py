@@ -21,9 +21,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from brindle.functions import vocabulary as V
 from brindle.operators import lexical, store
@@ -63,12 +67,52 @@ def living(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "docs").join(few(dead), ["_segment", "docno"], "left_anti")
 
 
+#: Regions that a part of the documents holds while their postings are made.
+PART_REGIONS = 4
+
+
+def _region_postings(docs: DataFrame) -> DataFrame:
+    """(term, region, n, max_tf, min_dl, off, tf, dl) of documents (docno, dl, terms): a region's documents meet in one task, where its postings are sorted once."""
+    rows = docs.where("dl > 0").select(F.expr(f"docno div {REGION}").alias("region"), (F.col("docno") % REGION).cast("int").alias("off"), "dl", "terms")
+    schema = "term string, region bigint, n int, max_tf int, min_dl int, off array<int>, tf array<int>, dl array<int>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def packed(region: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        off, dl = whole["off"].to_numpy(), whole["dl"].to_numpy()
+        row, term, tf = lexical.counted(whole["terms"].combine_chunks())
+        coded = term.dictionary_encode()
+        order = np.lexsort((off[row], coded.indices.to_numpy()))
+        row, tf, at = row[order], tf[order].astype(np.int32), coded.indices.to_numpy()[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        edges = np.concatenate([first, [len(at)]]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x.astype(np.int32))) for x in (off[row], tf, dl[row])]
+        sums = [np.diff(edges), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl[row], first)]
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(first), region)), *(pa.array(x.astype(np.int32)) for x in sums), *lists], schema=arrow)
+
+    def run(batches):
+        held, of = [], None
+        for batch in batches:
+            region = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and of != region[a]:
+                    yield packed(of, held)
+                    held = []
+                held, of = [*held, batch.slice(a, b - a)], region[a]
+        if held:
+            yield packed(of, held)
+
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // (REGION * PART_REGIONS)))
+    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, schema)
+
+
 def _write_postings(docs: DataFrame, folder: str) -> None:
-    tokens = docs.select(F.expr(f"docno div {REGION}").alias("region"), (F.col("docno") % REGION).cast("int").alias("off"), "dl", F.explode("terms").alias("term"))
-    counted = tokens.repartition("term", "region").groupBy("term", "region", "off", "dl").agg(F.count("*").cast("int").alias("tf"))
-    rows = counted.groupBy("term", "region").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("off", "tf", "dl"))).alias("p"))
-    whole = rows.repartitionByRange("term", "region").sortWithinPartitions("term", "region")
-    postings = _write(whole.select("term", "region", "n", "max_tf", "min_dl", F.col("p.off").alias("off"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl")), f"{folder}/postings")
+    # the sample of the range partitioning reads what it sorts once more
+    whole = materialize(_region_postings(docs), "postings").repartitionByRange("term", "region").sortWithinPartitions("term", "region")
+    postings = _write(whole, f"{folder}/postings")
     _write(postings.select("term", "region", "n", "max_tf", "min_dl"), f"{folder}/blocks")
 
 

@@ -90,12 +90,28 @@ def recently_accessed(chunks: DataFrame, now: Column, days: int = 30) -> DataFra
     return chunks.where(F.col("last_accessed") > now - F.make_dt_interval(F.lit(days)))
 
 
+#: Pairs of a user and a row (about) that a task makes.
+VISIBLE_PAIRS = 4_000_000
+
+
 def visible(rows: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, row) that a user may see: rows of its studies, or all for holders of ``admin``. ``users``: user_id, studies, permissions."""
+    """(user_id, row) that a user may see: rows of its studies, or all for holders of ``admin``. ``users``: user_id, studies, permissions.
+
+    Users, their studies and rows are made distinct before they meet, so pairs never move. A study's users are dealt out by
+    the pairs that they make, and its rows go to each part: few studies, or a large one, are many tasks.
+    """
+    rows = rows.distinct()
+    admins = users.where(F.array_contains("permissions", "admin")).select("user_id").distinct()
     own = users.select("user_id", F.explode("studies").alias("study_id")).distinct()
-    listed = rows.join(own, "study_id")
-    admins = users.where(F.array_contains("permissions", "admin")).select("user_id")
-    return listed.select("user_id", *rows.columns).unionByName(rows.crossJoin(few(admins)).select("user_id", *rows.columns)).distinct()
+    own = own.join(admins.select(F.col("user_id").alias("_admin")), F.col("user_id").eqNullSafe(F.col("_admin")), "left_anti")
+    sizes = own.groupBy("study_id").agg(F.count("*").alias("_users")).join(rows.groupBy("study_id").agg(F.count("*").alias("_rows")), "study_id")
+    sizes = sizes.select("study_id", (F.col("_users") * F.col("_rows")).alias("_pairs"))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(sizes.agg(F.sum("_pairs")).first()[0] or 0) // VISIBLE_PAIRS))
+    sizes = sizes.select("study_id", F.ceil(F.col("_pairs") / VISIBLE_PAIRS).cast("int").alias("_n"))
+    own = own.join(sizes, "study_id").select("user_id", "study_id", F.pmod(F.xxhash64("user_id"), F.col("_n")).cast("int").alias("_part"))
+    listed = rows.join(sizes, "study_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    listed = listed.repartition(parts, "study_id", "_part").hint("shuffle_hash").join(own.repartition(parts, "study_id", "_part"), ["study_id", "_part"])
+    return listed.select("user_id", *rows.columns).unionByName(rows.crossJoin(few(admins)).select("user_id", *rows.columns))
 
 
 # --- ingestion tasks and object stores ---------------------------------------------------------

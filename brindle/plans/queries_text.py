@@ -92,9 +92,11 @@ def _(spark, d):
 @query("phi_positions", f"""WITH a AS (SELECT doc_id, {_ASCII} AS t FROM documents), m AS ({_PHI_SQL}) SELECT doc_id, count(*) AS n_matches, true AS positions_hold FROM m GROUP BY doc_id""")
 def _(spark, d):
     ascii_text = F.regexp_replace("text", r"[^\x00-\x7f]", "x")
-    found = docs(spark, d).select("doc_id", ascii_text.alias("t"), F.explode(T.phi_matches(ascii_text)).alias("m"))
-    held = F.substring(F.col("t"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")) == F.col("m.text")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.bool_and(held).alias("positions_hold"))
+    found = docs(spark, d).select("doc_id", ascii_text.alias("t")).select("doc_id", F.col("t").cast("binary").alias("b"), T.phi_matches("t").alias("ms"))
+    # a byte is a character of ``t``, and bytes are cut out without a walk through the text before them
+    held = F.forall("ms", lambda m: F.substring("b", m["start"] + 1, m["end"] - m["start"]) == m["text"].cast("binary"))
+    each = found.select("doc_id", F.size("ms").alias("n"), held.alias("held"))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n_matches"), F.bool_and("held").alias("positions_hold")).where("n_matches > 0")
 
 
 def _redact_sql(x: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from brindle.llm import queries
+from brindle.llm.texts import labelled_sample
 from brindle.session import materialize
 from test_operators import brute_components, brute_contained
 
@@ -60,3 +61,15 @@ def test_broken_bytes_by_stage(spark, broken):
     assert {r["doc_id"] for r in left.collect()} == {20, 21, 22}
     assert left.selectExpr("hex(cast(text as binary)) h").where("h = 'FF'").count() == 1
     assert pipeline.encoding(spark, bad, SMALL).count() == 4
+
+
+def test_training_rows_of_repeated_ids_are_bounded(spark):
+    """A table that repeats its ids trained on each copy: the rows that reach the driver grew with it."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows = lambda d, bound: sorted(map(tuple, labelled_sample(d, labels, "toxic", bound).collect()))
+    once = rows(docs, 50)
+    assert len(once) == len({r[0] for r in once}) == 50
+    assert rows(docs.unionByName(docs).unionByName(docs), 50) == once
+    other = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert len(rows(other, 50)) == 50 and len(rows(other, 5_000)) == 2 * len(rows(docs, 5_000))

@@ -147,8 +147,16 @@ def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: st
     return summed.withColumn("score", F.round(F.least(F.col("score") / clip, F.lit(1.0)) if clip else F.col("score"), 6))
 
 
-#: Cells of a block's table of terms and queries at most; more queries are taken in several blocks, each of which reads the counts again.
+#: Terms of queries in a block at most, times 16; more queries are taken in several blocks, each of which reads the counts again.
 TABLE_CELLS = 1 << 24
+#: Queries whose scores a task holds at once.
+ASKED = 2048
+#: Common terms of a block of queries at most that meet the rows in a product; of the others each posting goes to its queries.
+COMMON = 1024
+#: Queries times results from which on some rows are scored first, so that only what can be among the best of all leaves a task.
+SEEDED = 100_000
+#: Rows of which one is scored first.
+SEED_SHARE = 16
 
 
 def asked_vectors(docs: DataFrame, names: list[str], id_column: str = "id", content: str = "content", analyze: Callable[[str], Column] = tokens) -> DataFrame:
@@ -175,24 +183,66 @@ def asked_vectors(docs: DataFrame, names: list[str], id_column: str = "id", cont
     return rows.mapInArrow(run, schema)
 
 
+class Counts:
+    """Which of the terms of ``queries`` (query_id, query_text) each of ``docs`` has and how often, written once for any searches of these queries or of some of them."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content", analyze: Callable[[str], Column] = tokens):
+        self.terms = materialize(query_terms(queries, analyze), "terms")
+        self.names = sorted(self.terms.select("term").distinct().toArrow()["term"].to_pylist())
+        self.rows = materialize(asked_vectors(docs, self.names, id_column, content, analyze), "counts")
+
+
+class _Asked:
+    """Some of a block's queries, from ``first`` to ``last``, as a task holds them: which of them have a term, and the table of common terms."""
+
+    def __init__(self, term: np.ndarray, query: np.ndarray, n_terms: int, first: int, last: int, df: np.ndarray, rows: int):
+        here = (query >= first) & (query < last)
+        order = np.argsort(term[here], kind="stable")
+        self.first, self.last = first, last
+        self.queries = query[here][order] - first
+        self.sizes = np.bincount(term[here], minlength=n_terms)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # a term costs a product about 1/1000 of what a posting's way to a query costs
+        shared = self.sizes * df
+        common = np.argsort(-shared, kind="stable")[:COMMON]
+        common = common[shared[common] * 1000 > rows * (last - first)]
+        self.place = np.full(n_terms, -1)
+        self.place[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), last - first), np.float32)
+        at = self.place[term[here]]
+        self.table[at[at >= 0], query[here][at >= 0] - first] = 1.0
+
+    def sums(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries: the sum of the values of a row's terms (row, column) that the query has, in single precision."""
+        at = self.place[column]
+        weights = np.zeros((rows, len(self.table)), np.float32)
+        weights[row[at >= 0], at[at >= 0]] = value[at >= 0]
+        out = weights @ self.table if len(self.table) else np.zeros((rows, self.last - self.first), np.float32)
+        rare = np.flatnonzero((at < 0) & (self.sizes[column] > 0))
+        for a, b in blocks.spans(self.sizes[column[rare]], 1 << 20):
+            some = rare[a:b]
+            n = self.sizes[column[some]]
+            query = self.queries[np.repeat(self.starts[column[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            np.add.at(out.reshape(-1), np.repeat(row[some], n) * out.shape[1] + query, np.repeat(value[some].astype(np.float32), n))
+        return out
+
+
 def best(
     docs: DataFrame, queries: DataFrame, k: int, by: str = "bm25", mode: str = "any", clip: float | None = 10.0, id_column: str = "id", content: str = "content",
-    analyze: Callable[[str], Column] = tokens,
+    analyze: Callable[[str], Column] = tokens, counts: Counts | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` of ``bm25`` or of ``ts_rank`` (``by`` "rank", ``mode`` "any" or "all"), with equal rows, for a stated set of queries.
 
-    The asked terms of each document become a sparse row of weights; a batch's rows times the table of terms and
-    queries are all scores of the batch, of which each query's best go on. So postings don't multiply with the queries that
-    ask for them.
+    The asked terms of each document become a sparse row of weights. In a task a batch's rows meet a block of queries: terms that many have in
+    a product, the others posting by posting, both in single precision; what can be among the best is then summed exactly. So postings
+    don't multiply with the queries that ask for them. Of many queries a share of the rows is scored first: what k of these reach is the
+    least that others must score to leave their task. ``counts`` of these queries and more saves the pass over the texts.
     """
-    terms = query_terms(queries, analyze).select("query_id", "term", "n_terms").toArrow()
-    asked = terms["query_id"].combine_chunks().dictionary_encode()
-    names = sorted(set(terms["term"].to_pylist()))
-    query = asked.indices.to_numpy()
-    term = pc.index_in(terms["term"].combine_chunks(), value_set=pa.array(names, pa.string())).to_numpy()
-    n_terms = np.zeros(len(asked.dictionary), np.int64)
-    n_terms[query] = terms["n_terms"].to_numpy()
-    rows = materialize(asked_vectors(docs, names, id_column, content, analyze), "counts")
+    whole = counts or Counts(docs, queries, id_column, content, analyze)
+    names, rows = whole.names, whole.rows
+    terms = whole.terms if counts is None else materialize(query_terms(queries, analyze), "terms")
+    n_pairs, n_asked = terms.agg(F.count("*"), F.count_distinct("query_id")).first()
+    n_blocks = -(-n_pairs // max(1, TABLE_CELLS >> 4))
     weight, mean = np.ones(len(names)), 1.0
     if by == "bm25":
         n_docs, mean = rows.agg(F.count("*"), F.avg("dl")).first()
@@ -202,48 +252,98 @@ def best(
     arrow = to_arrow_schema(StructType([*queries.select("query_id").schema, StructField("id", id_type), StructField("score", DoubleType())]))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_type.simpleString()}, score double"
     squares = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 51) ** 2)])
+    context = rows.sparkSession.sparkContext
+    weights = context.broadcast(weight)
+    most = 1.0 if by == "bm25" and clip else np.inf
 
     def part(at: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
         if by == "bm25":
-            return weight[at] * tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / (mean or 1.0)))
+            return weights.value[at] * tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / (mean or 1.0)))
         n = tf.astype(np.float64)
         return 0.1 * np.where(tf <= 50, squares[np.minimum(tf, 50)], math.pi**2 / 6 - 1 / n + 1 / (2 * n**2) - 1 / (6 * n**3) + 1 / (30 * n**5)) / 1.64493406685
 
-    def block(first: int, last: int) -> DataFrame:
-        mine = (query >= first) & (query < last)
-        used, place = np.unique(term[mine], return_inverse=True)
-        table = np.zeros((len(used), last - first))
-        table[place, query[mine] - first] = 1.0
-        ids, many = asked.dictionary.slice(first, last - first), n_terms[first:last]
-        shared = rows.sparkSession.sparkContext.broadcast((used, table))  # TABLE_CELLS at most
+    def asked(b: int):
+        """A block of queries for its tasks, TABLE_CELLS / 16 pairs of a query and a term (about)."""
+        mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "term", "n_terms").toArrow()
+        ids = mine["query_id"].combine_chunks().dictionary_encode()
+        term = pc.index_in(mine["term"].combine_chunks(), value_set=pa.array(names, pa.string())).to_numpy()
+        many = np.zeros(len(ids.dictionary), np.int64)
+        many[ids.indices.to_numpy()] = mine["n_terms"].to_numpy()
+        query, term = np.divmod(np.unique(ids.indices.to_numpy().astype(np.int64) * len(names) + term), max(len(names), 1))
+        used, term = np.unique(term, return_inverse=True)
+        return context.broadcast((ids.dictionary, many, query, term, used)), len(many)
+
+    n_names = len(names)
+
+    def scored(rows: DataFrame, shared, floors, b: int | None) -> DataFrame:
+        """What can be among the best of a block's queries; with ``b``, the best scores alone, as (block, query, scores)."""
 
         def run(batches):
-            used, table = shared.value
-            seen = None if k >= blocks.CELLS // max(len(ids), 1) else blocks.Best(k, len(ids), 2e-6, 1.0 if by == "bm25" and clip else np.inf)
+            ids, many, query, term, used = shared.value
+            place = np.full(n_names, -1)
+            place[used] = np.arange(len(used))
+            starts = np.searchsorted(query, np.arange(len(many)))  # each query has a term
+            sizes = np.diff(np.append(starts, len(query)))
+            unit = many.astype(np.float64) if by != "bm25" else np.full(len(many), clip or 1.0)
+            error = (int(sizes.max(initial=0)) + 4) * 1.2e-7
+            seen = None if k >= blocks.CELLS // max(len(many), 1) and k >= ASKED else blocks.Best(k, len(many), 2e-6, most, None if floors is None else floors.value)
+            groups: list[_Asked] = []
             for batch in batches:
                 lists = batch.column(2)
                 row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
                 at, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-                column = np.minimum(np.searchsorted(used, at), len(used) - 1)
-                ours = used[column] == at
-                row, column, value = row[ours], column[ours], part(at[ours], tf[ours], batch.column(1).to_numpy(zero_copy_only=False)[row[ours]])
-                for a, b in blocks.slices(len(lists), len(used) + len(ids)):
-                    here = (row >= a) & (row < b)
-                    weights = np.zeros((b - a, len(used)))
-                    weights[row[here] - a, column[here]] = value[here]
-                    scores = weights @ table
-                    none = (weights > 0).astype(np.float64) @ table < many if mode == "all" else scores <= 0
-                    scores = scores / many if by != "bm25" else scores / (clip or 1.0)
-                    scores[none] = -np.inf
-                    hit, of = blocks.best_rows(scores, None, 2e-6) if seen is None else seen.rows(scores)
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), batch.column(0).slice(a, b - a).take(pa.array(hit)), pa.array(scores[hit, of])], schema=arrow)
-
-        return rows.mapInArrow(run, schema)
-
-    step = max(1, TABLE_CELLS // max(len(names), 1))
-    parts = [block(i, min(len(n_terms), i + step)) for i in range(0, len(n_terms), step)]
-    found = reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+                column = place[at]
+                ours = column >= 0
+                row, column = row[ours], column[ours]
+                value = part(at[ours], tf[ours], batch.column(1).to_numpy(zero_copy_only=False)[row])
+                cells = row * len(used) + column  # in order
+                if not groups:
+                    groups = [_Asked(term, query, len(used), a, min(a + ASKED, len(many)), np.bincount(column, minlength=len(used)), len(lists)) for a in range(0, len(many), ASKED)]
+                for a, z in blocks.slices(len(lists), min(ASKED, len(many))):
+                    i, j = np.searchsorted(row, [a, z])
+                    for g in groups:
+                        of = np.arange(g.first, g.last)
+                        if mode == "all":
+                            sums = g.sums(row[i:j] - a, column[i:j], np.ones(j - i), z - a)
+                            hit, at_ = blocks.passing(sums, many[of] - np.float32(0.5))
+                        else:
+                            sums = g.sums(row[i:j] - a, column[i:j], value[i:j], z - a)
+                            low = np.full(len(of), -np.inf) if seen is None else seen.least(of) * unit[of] * (1 - error)
+                            low = np.maximum(blocks.under(low), np.float32(1e-30))
+                            hit, at_ = blocks.passing(sums, low, None if seen is None else k, 4e-6 * float(unit[of].max(initial=1)), error, most * unit[of])
+                        at_ = at_ + g.first
+                        for c, d in blocks.spans(sizes[at_], 1 << 20):
+                            h, q = hit[c:d] + a, at_[c:d]
+                            n = sizes[q]
+                            edges = np.cumsum(n) - n
+                            wanted = np.repeat(h, n) * len(used) + term[np.repeat(starts[q] - edges, n) + np.arange(n.sum())]
+                            found = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
+                            score = np.add.reduceat(np.where(cells[found] == wanted, value[found], 0.0), edges) / unit[q]
+                            go = np.ones(len(q), bool) if seen is None else seen.kept(score, q)
+                            if b is None and go.any():
+                                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[go])), batch.column(0).take(pa.array(h[go])), pa.array(score[go])], schema=arrow)
+            if b is not None and groups:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(many), b, np.int32)), pa.array(np.arange(len(many), dtype=np.int32)), pa.array(list(seen.held), pa.list_(pa.float64()))], names=["block", "query", "scores"])
+
+        return rows.mapInArrow(run, schema if b is None else "block int, query int, scores array<double>")
+
+    parts = [asked(b) for b in range(n_blocks)]
+    floors = [None] * n_blocks
+    n_rows = rows.count()
+    if n_asked * k >= SEEDED and mode == "any" and n_rows >= SEED_SHARE * k:
+        # long documents have most terms, so they say most of ranks
+        cut = rows.agg(F.percentile_approx("dl", 1 - 1 / SEED_SHARE)).first()[0] if by == "rank" else None
+        seeds = rows.where(F.col("dl") > cut) if by == "rank" and cut is not None else rows.where(F.pmod(F.xxhash64("id"), F.lit(SEED_SHARE)) == 0)
+        seeds = materialize(seeds.repartition(blocks.tasks(n_rows // SEED_SHARE, n_blocks, context.defaultParallelism)), "seeds")
+        heads = reduce(DataFrame.unionByName, [scored(seeds, shared, None, b) for b, (shared, _) in enumerate(parts)])
+        heads = heads.groupBy("block", "query").agg(F.get(F.sort_array(F.flatten(F.collect_list("scores")), False), F.lit(k - 1)).alias("least")).toArrow()  # a row a query
+        block, query, least = (heads[c].to_numpy() for c in ("block", "query", "least"))
+        for b, (_, n) in enumerate(parts):
+            floor = np.full(n, -np.inf)
+            floor[query[block == b]] = least[block == b]
+            floors[b] = context.broadcast(floor)
+    found = [scored(rows, shared, floors[b], None) for b, (shared, _) in enumerate(parts)]
+    found = reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
     return top(found.withColumn("score", F.round(F.least("score", F.lit(1.0)) if by == "bm25" and clip else F.col("score"), 6)), k)
 
 

@@ -128,6 +128,78 @@ def cover_density(post: DataFrame, terms: DataFrame) -> DataFrame:
     return shortest.select("query_id", "id", F.round(r / (r + 1), 6).alias("score"))
 
 
+def best_covers(docs: DataFrame, queries: DataFrame, k: int, analyze: Callable[[str], Column] = tokens) -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` of ``cover_density`` over all ``docs`` (id, content), for a stated set of queries (query_id, query_text).
+
+    Covers are found where the tokens are, so neither tokens nor hits move: a task sends on what can be among the best of its rows.
+    Rows that share an id count together and go through ``postings``.
+    """
+    docs = docs.where("id is not null")
+    terms = materialize(query_terms(queries, analyze), "terms")
+    shared = materialize(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "shared")
+    rest = None
+    if not shared.isEmpty():
+        shared = few(shared)
+        rest = cover_density(postings(docs.join(shared, "id", "left_semi"), analyze=analyze), terms)
+        docs = docs.join(shared, "id", "left_anti")
+    rows = docs.select("id", analyze("content").alias("t"))
+    out = StructType([queries.select("query_id").schema[0], rows.schema["id"], StructField("score", DoubleType())])
+    schema, arrow = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out), to_arrow_schema(out)
+    n_blocks = -(-terms.count() // max(1, TABLE_CELLS >> 4))
+
+    def block(b: int) -> DataFrame:
+        mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()
+        coded, known = mine["query_id"].combine_chunks().dictionary_encode(), mine["term"].combine_chunks().dictionary_encode()
+        asked = [known.indices.to_numpy()[np.flatnonzero(coded.indices.to_numpy() == q)] for q in range(len(coded.dictionary))]
+        given = rows.sparkSession.sparkContext.broadcast((coded.dictionary, known.dictionary, asked))
+
+        def run(batches):
+            names, words, asked = given.value
+            seen = blocks.Best(k, len(asked), 2e-6)
+            for batch in batches:
+                for a, b in blocks.spans(batch.column(1).value_lengths().fill_null(0).to_numpy(), TOKENS):
+                    lists = batch.column(1).slice(a, b - a)
+                    sizes = lists.value_lengths().fill_null(0).to_numpy()
+                    code = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy()
+                    row, start = np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes
+                    order = np.argsort(code, kind="stable")
+                    edges = np.searchsorted(code[order], np.arange(len(words) + 1))
+                    found, of, score = [], [], []
+                    for q, its in enumerate(asked):
+                        places = [order[edges[t] : edges[t + 1]] for t in its]
+                        if all(map(len, places)):
+                            at, r = _covers(places, row, start)
+                            found.append(at)
+                            of.append(np.full(len(at), q))
+                            score.append(r / (r + 1))
+                    if found:
+                        found, of, score = map(np.concatenate, (found, of, score))
+                        go = seen.kept(score, of)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(of[go])), batch.column(0).take(pa.array(found[go] + a)), pa.array(score[go])], schema=arrow)
+
+        return rows.mapInArrow(run, schema)
+
+    found = reduce(DataFrame.unionByName, [block(b) for b in range(n_blocks)], rows.sparkSession.createDataFrame([], schema)).withColumn("score", F.round("score", 6))
+    return top(found if rest is None else found.unionByName(rest), k)
+
+
+def _covers(places: list[np.ndarray], row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, sum of n / length over its covers) of the rows that hold all n terms. ``places``: of each term, in rising order, among all tokens; ``row``: of each token, ``start``: of each row's tokens."""
+    ends = np.concatenate(places)
+    order = np.argsort(ends, kind="stable")
+    term, ends = np.repeat(np.arange(len(places)), list(map(len, places)))[order], ends[order]
+    since = ends
+    for t in range(len(places)):
+        since = np.minimum(since, np.maximum.accumulate(np.where(term == t, ends, -1)))
+    whole = since >= start[row[ends]]
+    since, ends = since[whole], ends[whole]
+    at = row[ends]
+    # a cover that starts where the one before does is longer
+    short = np.append(True, (at[1:] != at[:-1]) | (since[1:] > since[:-1]))[: len(at)]
+    rows, place = np.unique(at[short], return_inverse=True)
+    return rows, np.bincount(place, len(places) / (ends[short] - since[short] + 1), len(rows))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_column: str = "id", content: str = "content", clip: float | None = 10.0) -> DataFrame:
     """(query_id, id, score) for every document with a term of the query; divided by ``clip`` and at most 1 if given.
 

@@ -195,8 +195,7 @@ _FEW = "array_to_string((" + _tokens("text") + ")[1:3], ' ')"
 def _(spark, d):
     """Cover density by stems of the first three tokens of each item."""
     asked = english_text(item_queries(spark, d).withColumn("query_text", F.array_join(F.slice(lexical.tokens("query_text"), 1, 3), " ")), "query_text")
-    docs = lexical.holding_all(english_chunks(spark, d), asked, lexical.english)
-    return lexical.top(lexical.cover_density(lexical.postings(docs, analyze=lexical.english), lexical.query_terms(asked, lexical.english)), 10)
+    return lexical.best_covers(english_chunks(spark, d), asked, 10, lexical.english)
 
 
 @query("postings_table", f"WITH {_POSTINGS} SELECT id, term, tf, dl FROM p")

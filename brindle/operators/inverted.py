@@ -5,7 +5,7 @@ Layout below a folder: segments, each with
 * ``docs``: one row a document (docno, id, hash of the content, dl, its sorted terms);
 * ``blocks``: one row for each term and region of ``REGION`` documents that has it: number of postings, greatest term
   frequency, least document length - all that a bound on the block's scores needs;
-* ``postings``: the same rows with the postings (offset in the region, tf, dl), which Parquet delta-codes and packs; both are sorted by term and region;
+* ``postings``: the same rows with the postings (offset in the region, tf, dl), which Parquet delta-codes and packs; both go by regions, and by terms within one;
 * ``dead`` and ``lost``: documents of earlier segments that this one replaces or deletes, and how many of them each term loses;
 
 and a manifest of the segments, saved by versions, that holds the collection's counts. A change writes one more
@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,13 +31,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from brindle.functions import vocabulary as V
-from brindle.operators import lexical, store
+from brindle.operators import blocks, lexical, store
 from brindle.session import few, materialize
 
 #: Documents of a region.
 REGION = 1024
 #: Regions of each query that are scored before there is a threshold.
 SEEDS = 4
+#: Queries whose scores of a region a task holds at once; more are taken in blocks, each of which reads the postings again.
+ASKED = 1024
+#: Rows of ids or places that are sent to every task, so that texts and terms don't move.
+SENT = 1_000_000
 _MANIFEST = "segment int, n_docs bigint, n_texts bigint, sum_dl bigint, dead_docs bigint, dead_texts bigint, dead_dl bigint"
 #: Delta coding, of integers and of sorted terms, comes with the second version of Parquet's pages.
 _PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd", "parquet.bloom.filter.enabled#term": "true"}
@@ -64,15 +69,15 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
 def living(spark: SparkSession, path: str) -> DataFrame:
     """(_segment, docno, id, hash, dl, terms) of the documents that no later segment replaces or deletes."""
     dead = _read(spark, path, "dead").select(F.col("segment").alias("_segment"), "docno")
-    return _read(spark, path, "docs").join(few(dead), ["_segment", "docno"], "left_anti")
-
-
-#: Regions that a part of the documents holds while their postings are made.
-PART_REGIONS = 4
+    return _read(spark, path, "docs").join(few(dead, SENT), ["_segment", "docno"], "left_anti")
 
 
 def _region_postings(docs: DataFrame) -> DataFrame:
-    """(term, region, n, max_tf, min_dl, off, tf, dl) of documents (docno, dl, terms): a region's documents meet in one task, where its postings are sorted once."""
+    """(term, region, n, max_tf, min_dl, off, tf, dl) of documents (docno, dl, terms) in the order of docno: a region's postings are sorted once, where its documents are.
+
+    Nothing moves. Where files are read in parts, a region that is cut has a row of a term for each of its parts: their counts add up, and their
+    bounds add up to no less than that of the whole.
+    """
     rows = docs.where("dl > 0").select(F.expr(f"docno div {REGION}").alias("region"), (F.col("docno") % REGION).cast("int").alias("off"), "dl", "terms")
     schema = "term string, region bigint, n int, max_tf int, min_dl int, off array<int>, tf array<int>, dl array<int>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -105,14 +110,11 @@ def _region_postings(docs: DataFrame) -> DataFrame:
         if held:
             yield packed(of, held)
 
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // (REGION * PART_REGIONS)))
-    return rows.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _write_postings(docs: DataFrame, folder: str) -> None:
-    # the sample of the range partitioning reads what it sorts once more
-    whole = materialize(_region_postings(docs), "postings").repartitionByRange("term", "region").sortWithinPartitions("term", "region")
-    postings = _write(whole, f"{folder}/postings")
+    postings = _write(_region_postings(docs), f"{folder}/postings")
     _write(postings.select("term", "region", "n", "max_tf", "min_dl"), f"{folder}/blocks")
 
 
@@ -153,7 +155,7 @@ def update(path: str, changed: DataFrame, deleted: DataFrame | None = None, anal
     manifest = store.load(spark, f"{path}/manifest")
     ids = changed.select("id")
     ids = (ids.unionByName(deleted.select("id")) if deleted is not None else ids).distinct()
-    gone = living(spark, path).join(few(materialize(ids, "ids")), "id", "left_semi")
+    gone = living(spark, path).join(few(materialize(ids, "ids"), SENT), "id", "left_semi")
     _add_segment(spark, path, max(_segments(spark, path)) + 1, _analysed(changed, analyze), gone, manifest)
     return path
 
@@ -164,7 +166,7 @@ def refresh(path: str, docs: DataFrame, analyze: Callable[[str], Column] = lexic
     known = living(spark, path).select("id", F.col("hash").alias("_known"), F.lit(True).alias("_there"))
     now = docs.select("id", F.md5("content").alias("_hash"), F.lit(True).alias("_here"))
     met = materialize(now.join(known, "id", "full_outer").where(~F.col("_hash").eqNullSafe(F.col("_known")) | F.col("_here").isNull() | F.col("_there").isNull()).select("id", "_here"), "changes")
-    changed = docs.select("id", "content").join(few(met.where("_here").select("id")), "id", "left_semi")
+    changed = docs.select("id", "content").join(few(met.where("_here").select("id"), SENT), "id", "left_semi")
     return update(path, changed, met.where("_here is null").select("id"), analyze)
 
 
@@ -188,37 +190,118 @@ class Search:
         self.avg_dl = length / texts if length else 1.0
         terms = materialize(lexical.query_terms(queries, analyze).select("query_id", "term"), "terms")
         wanted = few(terms.select("term").distinct())
-        blocks = materialize(_read(spark, path, "blocks").join(wanted, "term"), "blocks")
+        # rows of each region: where a task has met so many it has all of the region
+        self.sizes = _read(spark, path, "blocks").groupBy("_segment", "region").agg(F.count("*").alias("n")).toArrow().sort_by([("_segment", "ascending"), ("region", "ascending")])
+        asked = materialize(_read(spark, path, "blocks").join(wanted, "term"), "blocks")
         lost = _read(spark, path, "lost").join(wanted, "term").groupBy("term").agg(F.sum("n").alias("lost"))
-        df = blocks.groupBy("term").agg(F.sum("n").alias("n")).join(lost, "term", "left").select("term", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
+        df = asked.groupBy("term").agg(F.sum("n").alias("n")).join(lost, "term", "left").select("term", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("df")).where("df > 0")
         idf = F.ln(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         self.weights = materialize(terms.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights")
         self.dead = _read(spark, path, "dead").select(F.col("segment").alias("_segment"), "docno")
         bound = F.sum(_part(F.col("max_tf"), F.col("min_dl"), self.avg_dl)).alias("bound")
-        self.bounds = materialize(blocks.join(few(self.weights), "term").groupBy("query_id", "_segment", "region").agg(bound), "bounds")
+        self.bounds = materialize(asked.join(few(self.weights), "term").groupBy("query_id", "_segment", "region").agg(bound), "bounds")
 
     def _final(self, score: Column) -> Column:
         return F.round(F.least(score / self.clip, F.lit(1.0)) if self.clip else score, 6)
 
-    def score(self, regions: DataFrame) -> DataFrame:
-        """(query_id, _segment, docno, score) of the living documents of (query_id, _segment, region)."""
-        pairs = regions.select("query_id", "_segment", "region").join(few(self.weights), "query_id")
-        blocks = _read(self.spark, self.path, "postings").select("term", "_segment", "region", F.arrays_zip("off", "tf", "dl").alias("p"))
-        met = blocks.join(few(pairs), ["term", "_segment", "region"]).select("query_id", "_segment", "region", "idf", F.explode("p").alias("x"))
-        part = _part(F.col("x.tf"), F.col("x.dl"), self.avg_dl)
-        summed = met.select("query_id", "_segment", (F.col("region") * REGION + F.col("x.off")).alias("docno"), part.alias("part")).groupBy("query_id", "_segment", "docno").agg(F.sum("part").alias("score"))
-        return summed.join(few(self.dead), ["_segment", "docno"], "left_anti").withColumn("score", self._final(F.col("score")))
+    def score(self, regions: DataFrame, k: int) -> DataFrame:
+        """(query_id, _segment, docno, score) of those living documents of (query_id, _segment, region) that can be among the best ``k`` of a query.
+
+        A region's postings lie together, so its scores are summed where they are read. Only of regions that are cut between two tasks all sums move.
+        """
+        names = self.weights.select("query_id").distinct().toArrow()["query_id"].combine_chunks()
+        parts = [self._scored(names.slice(at, ASKED), regions, k) for at in range(0, len(names), ASKED)]
+        if not parts:
+            return self.spark.createDataFrame([], StructType([self.weights.schema["query_id"], *StructType.fromDDL("_segment int, docno bigint, score double")]))
+        found = reduce(DataFrame.unionByName, parts)
+        cut = found.where("not whole").groupBy("query_id", "_segment", "docno").agg(F.sum("score").alias("score"))
+        return found.where("whole").drop("whole").unionByName(cut).withColumn("score", self._final(F.col("score")))
+
+    def _scored(self, names: pa.Array, regions: DataFrame, k: int) -> DataFrame:
+        kind = self.weights.schema["query_id"]
+        mine = few(self.spark.createDataFrame(pa.table({"query_id": names})).select(F.col("query_id").cast(kind.dataType)))
+        weights = self.weights.join(mine, "query_id").toArrow()
+        term = weights["term"].combine_chunks().dictionary_encode()
+        query = pc.index_in(weights["query_id"].combine_chunks(), value_set=names).to_numpy()
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        first = np.searchsorted(term.indices.to_numpy()[order], np.arange(len(term.dictionary) + 1))
+        idf = weights["idf"].to_numpy()[order][first[:-1]]
+        known = {(s, r): (i, n) for i, (s, r, n) in enumerate(zip(*(self.sizes[c].to_pylist() for c in ("_segment", "region", "n"))))}
+        pairs = regions.join(mine, "query_id").toArrow()  # ASKED for each region at most
+        at = np.array([known[x][0] for x in zip(pairs["_segment"].to_pylist(), pairs["region"].to_pylist())], np.int64)
+        asks = pc.index_in(pairs["query_id"].combine_chunks(), value_set=names).to_numpy()[np.argsort(at, kind="stable")]
+        edges = np.searchsorted(np.sort(at), np.arange(len(known) + 1))
+        width, mean, clip = REGION, self.avg_dl, self.clip
+        gone = self.dead.groupBy("_segment", F.expr(f"docno div {width}").alias("region")).agg(F.collect_list((F.col("docno") % width).cast("int")).alias("off")).toArrow()
+        gone = {(s, r): np.packbits(np.isin(np.arange(width), off)) for s, r, off in zip(*(gone[c].to_pylist() for c in ("_segment", "region", "off")))}
+        shared = self.spark.sparkContext.broadcast((names, term.dictionary, idf, first, query[order], known, edges, asks, gone))
+        out = StructType([kind, *StructType.fromDDL("_segment int, docno bigint, score double, whole boolean")])
+        arrow = to_arrow_schema(out)
+
+        def run(batches):
+            names, words, idf, first, query, known, edges, asks, gone = shared.value
+            best = blocks.Best(k, len(names), 2e-6, 1.0 if clip else np.inf)
+            of, rows, sums, ours = None, 0, None, None
+
+            def scores():
+                whole = rows == known[of][1]
+                if whole and of in gone:
+                    sums[:, np.unpackbits(gone[of])[:width].astype(bool)] = 0
+                place, off = np.nonzero(sums)
+                score, asked = sums[place, off], ours[place]
+                if whole:
+                    go = best.kept(score / (clip or 1.0), asked)
+                    score, asked, off = score[go], asked[go], off[go]
+                columns = [np.full(len(off), of[0], np.int32), of[1] * width + off.astype(np.int64), score, np.full(len(off), whole)]
+                return pa.RecordBatch.from_arrays([names.take(pa.array(asked)), *map(pa.array, columns)], schema=arrow)
+
+            for batch in batches:
+                segment, region = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                code = pc.index_in(batch.column(0), value_set=words).fill_null(-1).to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(region) != 0) | (np.diff(segment) != 0)) + 1).tolist(), len(region)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    if of != (here := (int(segment[a]), int(region[a]))):
+                        if of is not None and len(ours):
+                            yield scores()
+                        of, rows = here, 0
+                        i = known[of][0]
+                        ours = asks[edges[i] : edges[i + 1]]
+                        sums, place = np.zeros((len(ours), width)), np.full(len(names), -1)
+                        place[ours] = np.arange(len(ours))
+                    rows += b - a
+                    hit = np.flatnonzero(code[a:b] >= 0)
+                    if not len(ours) or not len(hit):
+                        continue
+                    some = batch.slice(a, b - a).take(pa.array(hit))
+                    n = some.column(3).value_lengths().to_numpy()
+                    off, tf, dl = (some.column(c).flatten().to_numpy() for c in (3, 4, 5))
+                    t = np.repeat(code[a:b][hit], n)
+                    part = idf[t] * tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / mean))
+                    many = first[t + 1] - first[t]
+                    for c, d in blocks.spans(many, 1 << 20):
+                        m = many[c:d]
+                        to = place[query[np.repeat(first[t[c:d]] - np.cumsum(m) + m, m) + np.arange(m.sum())]]
+                        met = to >= 0
+                        np.add.at(sums.reshape(-1), to[met] * width + np.repeat(off[c:d], m)[met], np.repeat(part[c:d], m)[met])
+            if of is not None and len(ours):
+                yield scores()
+
+        found = _read(self.spark, self.path, "postings").select("term", "_segment", "region", "off", "tf", "dl").mapInArrow(run, out)
+        dead = self.dead.withColumn("whole", F.lit(False))
+        return found.join(few(dead, SENT), ["_segment", "docno", "whole"], "left_anti").select("query_id", "_segment", "docno", "score", "whole")
 
     def top(self, k: int) -> DataFrame:
         """(query_id, id, score, rank), ties to smaller ids."""
         by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), "_segment", "region")
         seeds = self.seeds = materialize(self.bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= SEEDS).drop("n"), "seeds")
-        first = materialize(self.score(seeds), "first")
+        first = materialize(self.score(seeds, k), "first")
         best = first.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("n") == k).select("query_id", F.col("score").alias("least"))
         # a bound is rounded up, as scores are rounded
         left = self.bounds.join(few(seeds), ["query_id", "_segment", "region"], "left_anti").join(few(best), "query_id", "left").where(F.coalesce(self._final(F.col("bound")) + 2e-6 >= F.col("least"), F.lit(True)))
         self.rest = materialize(left.select("query_id", "_segment", "region"), "rest")
-        found = first.unionByName(self.score(self.rest))
+        found = first.unionByName(self.score(self.rest, k))
         ids = _read(self.spark, self.path, "docs").select("_segment", "docno", "id")
         # ties at the k-th score are kept until their ids are known
         near = materialize(found.withColumn("n", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("n") <= k).drop("n"), "near")

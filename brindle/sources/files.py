@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from brindle.functions import text as T
+from brindle.operators.blocks import spans
+from brindle.session import materialize
 
 EXTENSIONS = ("json", "md", "txt", "csv")
 MAX_BYTES = 100 << 20
@@ -27,8 +32,10 @@ def files(spark: SparkSession, paths: str | list[str], recursive: bool = True, e
     """
     if oversize not in ("fail", "skip"):
         raise ValueError(f"oversize is fail or skip, not {oversize!r}")
-    raw = _scan(spark, paths, recursive, extensions)
-    small = raw.where(F.col("length") <= max_bytes).select("path", F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"))
+    listed = _listed(spark, paths, extensions) if recursive else None
+    raw = _scan(spark, paths, recursive, extensions) if listed is None else listed
+    small = raw.where(F.col("length") <= max_bytes)
+    small = (small if listed is None else _read(small)).select("path", F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"))
     if oversize == "skip":
         return small
     message = F.concat(F.lit("file too large: "), "path", F.lit(", bytes: "), F.col("length").cast("string"))
@@ -38,7 +45,8 @@ def files(spark: SparkSession, paths: str | list[str], recursive: bool = True, e
 
 def rejected(spark: SparkSession, paths: str | list[str], recursive: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, size, reason) of the files that ``files`` doesn't take: over the cap, or of another extension."""
-    raw = _scan(spark, paths, recursive, None).select("path", F.col("length").alias("size"))
+    listed = _listed(spark, paths, None) if recursive else None
+    raw = (_scan(spark, paths, recursive, None) if listed is None else listed).select("path", F.col("length").alias("size"))
     reason = F.when(~F.coalesce(allowed("path"), F.lit(False)), "extension").when(F.col("size") > max_bytes, "size")
     return raw.withColumn("reason", reason).where("reason is not null")
 
@@ -77,6 +85,71 @@ def _scan(spark: SparkSession, paths: str | list[str], recursive: bool, extensio
     return (reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}") if extensions else reader).load(paths)
 
 
+#: Files that a task reads, and bytes of a batch of theirs (about).
+_TASK_FILES, _BATCH_BYTES = 10_000, 8 << 20
+
+
+def _listed(spark: SparkSession, paths: str | list[str], extensions: tuple[str, ...] | None) -> DataFrame | None:
+    """(path, modificationTime, length) of all files below folders of the file system that driver and executors share, listed in tasks, level by level, into a written table;
+    None for other paths, which Spark lists.
+
+    Spark's scan holds the state of each file in the driver. What it leaves out (hidden and empty files) and how it writes a path is the same.
+    """
+    folders = []
+    for one in [paths] if isinstance(paths, str) else paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(one)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.getScheme() != "file" or any(c in one for c in r"*?[]{}\%") or not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+            return None
+        folders.append(fs.makeQualified(at).toString())
+    wanted = None if extensions is None else tuple(f".{e}" for e in extensions)
+    schema = "path string, modificationTime timestamp, length bigint, folder boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def hidden(name: str) -> bool:
+        return name[0] == "." or name.endswith("._COPYING_") or name[0] == "_" and "=" not in name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                with os.scandir(folder.removeprefix("file:")) as found:
+                    for x in found:
+                        if not hidden(x.name) and ((down := x.is_dir()) or wanted is None or x.name.endswith(wanted)):
+                            state = x.stat()
+                            if state.st_size or down:
+                                rows.append((f"{folder}/{x.name}", state.st_mtime_ns // 1_000_000 * 1000, state.st_size, down))
+                for a in range(0, len(rows), 10_000):
+                    columns = list(zip(*rows[a : a + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    level, levels, cores = spark.createDataFrame([(f.rstrip("/"),) for f in folders], "path string"), [], spark.sparkContext.defaultParallelism
+    while True:
+        found = materialize(level.repartition(cores, "path").mapInArrow(run, schema), "files")
+        levels.append(found.where("not folder").drop("folder"))
+        level = found.where("folder").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def _read(listed: DataFrame) -> DataFrame:
+    """``listed`` with the files' ``content``, read in tasks of _TASK_FILES files (about) each."""
+    out = StructType([*listed.schema, StructField("content", BinaryType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in spans(batch.column(2).to_numpy(), _BATCH_BYTES):
+                part, held = batch.slice(a, b - a), []
+                for path in part.column(0).to_pylist():
+                    with open(path.removeprefix("file:"), "rb") as file:
+                        held.append(file.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], schema=arrow)
+
+    parts = max(listed.sparkSession.sparkContext.defaultParallelism, -(-listed.count() // _TASK_FILES))
+    return listed.repartition(parts, "path").mapInArrow(run, out)
+
+
 def documents(scan: DataFrame) -> DataFrame:
     """Documents of scanned files: id, title, content, type, path, size, study, domains."""
     name = F.substring_index("path", "/", -1)
